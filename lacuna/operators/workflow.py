@@ -48,7 +48,7 @@ def first_case_per_tick(probes: DataFrame, cases: DataFrame, window_seconds: int
     out = in_minute.join(in_day, ["cse_id", "m"], "left")
     by_day = by_minute.groupBy("cse_id", "d").agg(F.min("first_hit").alias("first_hit"))
     found = [F.col("same_minute"), F.col("same_day")]
-    for ahead in range(1, 2 * window_seconds // _DAY + 2):
+    for ahead in range(1, -(-2 * window_seconds // _DAY) + 1):
         step = by_day.select("cse_id", (F.col("d") - ahead).alias("d"), F.col("first_hit").alias(f"ahead_{ahead}"))
         out = out.join(step, ["cse_id", "d"], "left")
         found.append(F.col(f"ahead_{ahead}"))
