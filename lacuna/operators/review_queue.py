@@ -48,67 +48,61 @@ def candidates(findings: DataFrame, risk: DataFrame, assets: DataFrame, params:
             .withColumn("rule_category", S.rule_category(F.col("rule_id"))))
 
 
-def _greedy(limits: QueueParams):
-    """Pass 1 on an already pruned, tiny group: take a row while neither cap is reached."""
+def _select(limits: QueueParams):
+    """Both passes on an already pruned, tiny group of one run.
+
+    Pass 1 walks down the priority order and takes a row while neither cap is reached. Pass 2
+    fills up to the target with the best rows that pass 1 left out.
+    """
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         if rows["rule_category"].nunique() > limits.max_categories:
             raise ValueError("more rule categories than max_categories allows; raise the parameter")
-        rows = rows.sort_values(SORT_KEYS, ascending=[False, False, False, False, True], kind="stable")
-        per_entity: dict = {}
-        per_category: dict = {}
-        keep = []
-        for entity, category in zip(rows["cse_id"], rows["rule_category"]):
-            ok = (per_entity.get(entity, 0) < limits.max_per_entity
-                  and per_category.get(category, 0) < limits.max_per_category)
-            keep.append(ok)
-            if ok:
-                per_entity[entity] = per_entity.get(entity, 0) + 1
-                per_category[category] = per_category.get(category, 0) + 1
-        return rows.loc[keep, ["analysis_run_id", "finding_id"]]
+        rows = rows.drop_duplicates("finding_id").sort_values(
+            SORT_KEYS, ascending=[False, False, False, False, True], kind="stable").reset_index(drop=True)
+        entity_left = dict.fromkeys(rows["cse_id"], limits.max_per_entity)
+        category_left = dict.fromkeys(rows["rule_category"], limits.max_per_category)
+        passes = pd.Series(0, index=rows.index)
+        for i, pair in enumerate(zip(rows["cse_id"], rows["rule_category"])):
+            if entity_left[pair[0]] > 0 and category_left[pair[1]] > 0:
+                entity_left[pair[0]] -= 1
+                category_left[pair[1]] -= 1
+                passes[i] = 1
+        room = max(0, limits.target_size - int((passes == 1).sum()))
+        passes[rows.index[passes == 0][:room]] = 2
+        out = rows[passes > 0].copy()
+        out["selection_pass"] = passes[passes > 0].astype("int32")
+        out["rank"] = range(1, len(out) + 1)
+        return out
     return run
 
 
-def first_pass(cands: DataFrame, params: QueueParams = QUEUE) -> DataFrame:
-    """Finding ids chosen by the greedy diversity pass.
+def selected(cands: DataFrame, params: QueueParams = QUEUE) -> DataFrame:
+    """Rows of both passes with their rank.
 
-    Two exact prunings come first. Counters only grow, so inside one (entity, category) pair
-    the chosen rows are a prefix of at most m = min(both caps). At most caps-many rows per
-    category are chosen in total, so only F entities can fill up, and a row is passed over
-    while its category is open only if its entity is full; hence no chosen row lies deeper than
-    Q + m*F in its category. Both rank filters are literals, so each task prunes before shuffling.
+    Three exact prunings come first. Counters only grow, so inside one (entity, category) pair the
+    rows of pass 1 are a prefix of at most m = min(both caps). At most Q rows per category are chosen,
+    so only F entities can fill up, and a row is passed over while its category is open only if
+    its entity is full; hence no row of pass 1 lies deeper than Q + m*F in its category. Pass 2 only
+    reaches into the overall first (target + rows of pass 1). All rank filters are literals, so each
+    task prunes before shuffling and one hot category or entity never gathers in one place.
     """
     p, q = params.max_per_entity, params.max_per_category
     m, full = min(p, q), q * params.max_categories // p
-    slim = cands.select("analysis_run_id", "cse_id", "rule_category", *SORT_KEYS)
     pair = Window.partitionBy("analysis_run_id", "cse_id", "rule_category").orderBy(*rank_order())
     kind = Window.partitionBy("analysis_run_id", "rule_category").orderBy(*rank_order())
-    pruned = (slim.withColumn("r", F.row_number().over(pair)).where(F.col("r") <= m)
-              .withColumn("r", F.row_number().over(kind)).where(F.col("r") <= q + m * full).drop("r"))
-    return pruned.groupBy("analysis_run_id").applyInPandas(_greedy(params), "analysis_run_id string, finding_id string")
+    whole = Window.partitionBy("analysis_run_id").orderBy(*rank_order())
+    best = lambda df, window, n: df.withColumn("r", F.row_number().over(window)).where(F.col("r") <= n).drop("r")
+    one = best(best(cands, pair, m), kind, q + m * full)
+    two = best(cands, whole, params.target_size + q * params.max_categories)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cands.schema) + ", selection_pass int, rank int"
+    return one.unionByName(two).groupBy("analysis_run_id").applyInPandas(_select(params), schema)
 
 
 def review_queue(cands: DataFrame, params: QueueParams = QUEUE) -> DataFrame:
-    """Both passes, ranked. The second pass fills up to the target in plain priority order.
-
-    At most Q rows per category come from pass 1, so the rows pass 2 may need are among
-    the global first (target + Q * categories); the rest is cut by a literal rank filter.
-    """
-    depth = params.target_size + params.max_per_category * params.max_categories
-    chosen = first_pass(cands, params)
-    run_order = Window.partitionBy("analysis_run_id").orderBy(*rank_order())
-    top = cands.withColumn("r", F.row_number().over(run_order)).where(F.col("r") <= depth).drop("r")
-    one = (cands.join(F.broadcast(chosen), ["analysis_run_id", "finding_id"], "left_semi")
-           .withColumn("selection_pass", F.lit(1)))
-    missing = (chosen.groupBy("analysis_run_id").agg(F.count(F.lit(1)).alias("taken")))
-    rest = (top.join(F.broadcast(chosen), ["analysis_run_id", "finding_id"], "left_anti")
-            .join(F.broadcast(missing), "analysis_run_id", "left")
-            .withColumn("r", F.row_number().over(run_order))
-            .where(F.col("r") <= params.target_size - F.coalesce("taken", F.lit(0))).drop("r", "taken")
-            .withColumn("selection_pass", F.lit(2)))
-    ranked = one.unionByName(rest).withColumn("rank", F.row_number().over(run_order))
+    """The ranked queue with bands, rationale and factor values."""
     band = S.priority_band(F.col("priority_score"))
     note = F.when(F.col("selection_pass") == 1, "Pass 1: diversity selection").otherwise("Pass 2: concentration fallback")
-    return ranked.select(
+    return selected(cands, params).select(
         S.key_hash(F.col("analysis_run_id"), F.col("finding_id")).alias("queue_item_id"), "analysis_run_id", "finding_id",
         "cse_id", "rule_id", "rule_category", "severity", "risk_score_id", "priority_score", "rank", band.alias("priority_band"),
         F.concat(F.lit("Rank "), F.col("rank").cast("string"), F.lit(", priority "), S.one_decimal(F.col("priority_score")),
