@@ -79,9 +79,8 @@ def all_evaluations(est: Estate, params: RuleParams = RULES) -> DataFrame:
 
 def analysis_run(est: Estate, found: DataFrame) -> DataFrame:
     """One provenance row for the run."""
-    n_alerts = est.alerts.agg(F.count(F.lit(1)).alias("records_processed"))
-    n_found = found.agg(F.count(F.lit(1)).alias("findings_generated"))
-    return n_alerts.join(n_found).select(
+    n_found = found.agg(F.count(F.lit(1))).scalar()
+    return est.alerts.agg(F.count(F.lit(1)).alias("records_processed")).withColumn("findings_generated", n_found).select(
         F.lit(est.run_id).alias("analysis_run_id"), F.lit(est.import_id).alias("dataset_import_id"),
         F.lit("COMPLETED").alias("status"), F.lit("1.0.0").alias("rule_version"), F.lit("1.0.0").alias("model_version"),
         "records_processed", "findings_generated")

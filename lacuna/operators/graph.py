@@ -195,8 +195,9 @@ def analyst_shares(est: Estate) -> DataFrame:
     known = est.analysts.select(F.col("id").alias("analyst_id"))
     per = (est.investigations.join(known, "analyst_id", "left_semi")
            .groupBy("analyst_id").agg(F.count(F.lit(1)).alias("handled")))
-    team = per.agg(F.sum("handled").alias("total_handled"), F.count(F.lit(1)).alias("team_size"))
-    return per.join(F.broadcast(team)).withColumn("share", F.col("handled") / F.col("total_handled"))
+    total, team = per.agg(F.sum("handled")).scalar(), per.agg(F.count(F.lit(1))).scalar()
+    return (per.withColumn("total_handled", total).withColumn("team_size", team)
+            .withColumn("share", F.col("handled") / F.col("total_handled")))
 
 
 def anomalies(est: Estate, findings: DataFrame, node_rows: DataFrame, edge_rows: DataFrame) -> DataFrame:
@@ -214,9 +215,9 @@ def anomalies(est: Estate, findings: DataFrame, node_rows: DataFrame, edge_rows:
         F.when(c("case_before_investigation"), F.lit("CASE_BEFORE_INVESTIGATION"))), lambda x: x.isNotNull())))
     backwards = shape(checks, "TEMPORAL_VIOLATION", "HIGH", F.concat(F.lit("ALERT:"), c("alert_id")), c("cse_id"), c("what"), "DATA_QUALITY")
     loose = shape(orphans(node_rows, edge_rows), "ORPHAN_ENTITY", "MEDIUM", c("id"), c("cse_id"), c("entity_type"), "MISSING_EXPECTED_RECORD")
-    counts = est.investigations.agg(F.count(F.lit(1)).alias("inv")).join(
-        F.broadcast(est.escalations.agg(F.count(F.lit(1)).alias("esc"))))
-    counts = counts.withColumn("ratio", S.ratio(c("esc"), c("inv")))
+    n_esc = est.escalations.agg(F.count(F.lit(1))).scalar()
+    counts = (est.investigations.agg(F.count(F.lit(1)).alias("inv")).withColumn("esc", n_esc)
+              .withColumn("ratio", S.ratio(c("esc"), c("inv"))))
     bottleneck = shape(counts.where("inv >= 5 AND ratio < 0.15"), "WORKFLOW_BOTTLENECK", "HIGH", F.lit("GRAPH_AGGREGATE"), no_cse,
                        c("ratio").cast("string"), "STATISTICAL_DEVIATION")
     crowded = shape(analyst_shares(est).where("total_handled >= 10 AND team_size >= 3 AND share > 0.40"), "ANALYST_CONCENTRATION",
@@ -268,9 +269,9 @@ def metrics(node_rows: DataFrame, edge_rows: DataFrame) -> DataFrame:
     of = lambda kind: S.count_where(F.col("entity_type") == kind)
     n = node_rows.agg(F.count(F.lit(1)).alias("node_count"), of("INVESTIGATION").alias("inv"), of("ESCALATION").alias("esc"),
                       of("CASE").alias("cas"), of("CLOSURE").alias("clo"), of("MISSING_EXPECTED").alias("missing_expected_count"))
-    e = edge_rows.agg(F.count(F.lit(1)).alias("edge_count"))
-    o = orphans(node_rows, edge_rows).agg(F.count(F.lit(1)).alias("orphan_nodes_count"))
-    return n.join(F.broadcast(e)).join(F.broadcast(o)).select(
+    n_edges = edge_rows.agg(F.count(F.lit(1))).scalar()
+    n_orphans = orphans(node_rows, edge_rows).agg(F.count(F.lit(1))).scalar()
+    return n.withColumn("edge_count", n_edges).withColumn("orphan_nodes_count", n_orphans).select(
         "node_count", "edge_count", S.ratio(F.col("esc"), F.col("inv")).alias("escalation_investigation_ratio"),
         S.ratio(F.col("clo"), F.col("cas")).alias("closure_case_ratio"), "orphan_nodes_count", "missing_expected_count")
 

@@ -8,9 +8,11 @@ row of every source table is kept; the mapping only renames and classifies.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lacuna.schemas import SOURCE_DDL
 from lacuna.session import use_utc
 
 AS_OF = "2024-01-31 00:00:00"
@@ -39,16 +41,22 @@ class Estate:
 
 
 class Tables:
-    """Lazy access to one folder of source tables."""
+    """Lazy access to one folder of source tables, each opened once with its declared schema."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = use_utc(spark)
         self.folder = folder
+        self.opened: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self.opened:
+            reader = self.spark.read
+            if name in SOURCE_DDL:
+                reader = reader.schema(SOURCE_DDL[name])
+            self.opened[name] = reader.parquet(f"{self.folder}/{name}.parquet")
+        return self.opened[name]
 
 
 def tag(prefix: str, col):
@@ -171,17 +179,44 @@ def telemetry(t: Tables) -> DataFrame:
         F.col("ts").cast("timestamp").alias("created_at"))
 
 
-def estate(spark: SparkSession, folder: str) -> Estate:
-    t = Tables(spark, folder)
-    return Estate(entities(t), assets(t), analysts(t), alerts(t), investigations(t), escalations(t),
-                  cases(t), closures(t), maintenance(t), telemetry(t))
+class LensEstate(Estate):
+    """The estate of one source folder; tables are built when first asked for."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.tables = Tables(spark, folder)
 
+    entities = cached_property(lambda self: entities(self.tables))
+    assets = cached_property(lambda self: assets(self.tables))
+    analysts = cached_property(lambda self: analysts(self.tables))
+    alerts = cached_property(lambda self: alerts(self.tables))
+    investigations = cached_property(lambda self: investigations(self.tables))
+    escalations = cached_property(lambda self: escalations(self.tables))
+    cases = cached_property(lambda self: cases(self.tables))
+    closures = cached_property(lambda self: closures(self.tables))
+    maintenance = cached_property(lambda self: maintenance(self.tables))
+    telemetry = cached_property(lambda self: telemetry(self.tables))
 
-def asset_entities(est: Estate) -> Estate:
+
+class AssetEntityEstate(LensEstate):
     """Every asset as an entity of its own, for volume rules on fine-grained telemetry."""
-    own = est.assets.select("id", "name", F.col("asset_type").alias("sector"),
-                            F.lit("OPERATOR").alias("entity_type"), F.lit("TIER_1").alias("size_tier"))
-    tele = est.telemetry.withColumn("cse_id", F.col("asset_id"))
-    maint = est.maintenance.withColumn("cse_id", F.col("asset_id"))
-    return Estate(own, est.assets, est.analysts, est.alerts, est.investigations, est.escalations,
-                  est.cases, est.closures, maint, tele, est.as_of, est.run_id, est.import_id, est.completeness)
+
+    @cached_property
+    def entities(self) -> DataFrame:
+        return self.assets.select("id", "name", F.col("asset_type").alias("sector"),
+                                  F.lit("OPERATOR").alias("entity_type"), F.lit("TIER_1").alias("size_tier"))
+
+    @cached_property
+    def telemetry(self) -> DataFrame:
+        return telemetry(self.tables).withColumn("cse_id", F.col("asset_id"))
+
+    @cached_property
+    def maintenance(self) -> DataFrame:
+        return maintenance(self.tables).withColumn("cse_id", F.col("asset_id"))
+
+
+def estate(spark: SparkSession, folder: str) -> Estate:
+    return LensEstate(spark, folder)
+
+
+def asset_entities(spark: SparkSession, folder: str) -> Estate:
+    return AssetEntityEstate(spark, folder)
