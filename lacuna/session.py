@@ -15,7 +15,7 @@ def build_session(app: str, cores: int | str = "*", shuffle_partitions: int | No
                .config("spark.sql.adaptive.enabled", "true")
                .config("spark.sql.adaptive.skewJoin.enabled", "true")
                .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-               .config("spark.ui.enabled", "false")
+               .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
                .config("spark.driver.memory", os.environ.get("LACUNA_DRIVER_MEMORY", "8g")))
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
