@@ -1 +1,61 @@
-"""Placeholder."""
+"""Audit-trail queries. The event stream plays the audit events; its id is the sequence number."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lacuna.functions import scalar as S
+from lacuna.operators import audit as A
+from lacuna.params import GENESIS_HASH
+from lacuna.plans.ctes import cte
+from lacuna.plans.lens import Tables, tag
+from lacuna.plans.registry import query
+
+
+def audit_events(spark, d):
+    e = Tables(spark, d).events
+    none = F.lit(None).cast("string")
+    return e.select(F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("timestamp"), tag("USR", F.col("user_id")).alias("user_id"),
+                    F.lit("EXAMINER").alias("actor_role"), F.upper("event_type").alias("action"), F.lit("Event").alias("entity_type"),
+                    F.col("event_id").cast("string").alias("entity_id"), F.when(F.col("event_type") == "error", "FAILURE").otherwise("SUCCESS").alias("status"),
+                    none.alias("correlation_id"), none.alias("before_after"), F.col("props").alias("metadata"))
+
+
+cte("audit_events", "", """SELECT event_id AS seq, ts AS timestamp, 'USR-' || user_id AS user_id, upper(event_type) AS action, CASE WHEN event_type = 'error' THEN 'FAILURE' ELSE 'SUCCESS' END AS status, event_id // 512 AS pos,
+ to_json(struct_pack("action" := upper(event_type), actor_role := 'EXAMINER', before_after := '{}', correlation_id := NULL::varchar, entity_id := cast(event_id as varchar), entity_type := 'Event', metadata := coalesce(props, '{}'),
+ status := CASE WHEN event_type = 'error' THEN 'FAILURE' ELSE 'SUCCESS' END, ts := strftime(ts, '%Y-%m-%dT%H:%M:%SZ'), user_id := 'USR-' || user_id))::varchar AS payload FROM events""")
+cte("audit_blocks", "audit_events", "SELECT pos, sha256(string_agg(sha256(payload), '' ORDER BY seq)) AS digest FROM audit_events GROUP BY pos")
+cte("audit_anchors", "audit_blocks", f"""SELECT pos, CASE WHEN before IS NULL THEN '{GENESIS_HASH}' ELSE sha256('/' || before) END AS anchor FROM
+ (SELECT b.pos, (SELECT sha256(string_agg(digest, '' ORDER BY p.pos)) FROM audit_blocks p WHERE p.pos < b.pos HAVING count(*) > 0) AS before FROM audit_blocks b)""")
+cte("audit_numbered", "audit_events", "SELECT *, row_number() OVER (PARTITION BY pos ORDER BY seq) AS i FROM audit_events")
+cte("audit_chain", "audit_numbered audit_anchors", """SELECT n.pos, i, seq, anchor AS previous_hash, sha256(anchor || payload) AS integrity_hash FROM audit_numbered n JOIN audit_anchors a ON a.pos = n.pos WHERE i = 1
+ UNION ALL SELECT n.pos, n.i, n.seq, c.integrity_hash, sha256(c.integrity_hash || n.payload) FROM audit_chain c JOIN audit_numbered n ON n.pos = c.pos AND n.i = c.i + 1""")
+
+
+@query("audit_chain", "audit_chain", "SELECT seq, previous_hash, integrity_hash FROM audit_chain")
+def audit_chain(spark, d):
+    return A.chain(audit_events(spark, d)).select("seq", "previous_hash", "integrity_hash")
+
+
+@query("audit_verification", "audit_events", "SELECT count(*) AS total_events, 0::BIGINT AS problem_count, count(*) AS verified_count, NULL::BIGINT AS first_broken_seq, NULL::varchar AS first_problem, true AS is_intact FROM audit_events")
+def audit_verification(spark, d):
+    return A.verify(A.chain(audit_events(spark, d)))
+
+
+@query("audit_tamper_check", "audit_events", """SELECT count(*) AS total_events, min(seq) FILTER (action = 'ERROR') AS first_broken_seq, count(*) FILTER (seq < (SELECT min(seq) FROM audit_events WHERE action = 'ERROR')) AS verified_count, false AS is_intact FROM audit_events""")
+def audit_tamper_check(spark, d):
+    """Rewrite the status of every failed event after the fact: the first one must be reported."""
+    log = A.chain(audit_events(spark, d)).withColumn("status", F.lit("SUCCESS"))
+    return A.verify(log).select("total_events", "first_broken_seq", "verified_count", "is_intact")
+
+
+@query("audit_search", "audit_events", """SELECT seq, user_id, action, status FROM audit_events WHERE timestamp >= TIMESTAMP '2024-01-05' AND timestamp <= TIMESTAMP '2024-01-20' AND action = 'ERROR' AND status = 'FAILURE'""")
+def audit_search(spark, d):
+    return A.search(audit_events(spark, d), date_from="2024-01-05", date_to="2024-01-20", action="ERROR", status="FAILURE",
+                    actor_role="EXAMINER", entity_type="Event").select("seq", "user_id", "action", "status")
+
+
+@query("audit_page", "audit_events", """SELECT seq, action, (SELECT count(*) FROM audit_events) AS total FROM audit_events ORDER BY timestamp DESC, seq DESC LIMIT 50 OFFSET 100""")
+def audit_page(spark, d):
+    rows, total = A.page(audit_events(spark, d), 50, 100)
+    return rows.select("seq", "action").withColumn("total", total.scalar())

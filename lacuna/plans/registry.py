@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lacuna.plans.ctes import with_ctes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+_TWINS: dict[str, tuple[str, str]] = {}
 
 
 def query(name: str, needs: str = "", sql: str | None = None):
@@ -17,7 +17,7 @@ def query(name: str, needs: str = "", sql: str | None = None):
     def add(fn: Callable[[SparkSession, str], DataFrame]):
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = with_ctes(needs, sql)
+            _TWINS[name] = (needs, sql)
         return fn
     return add
 
@@ -26,3 +26,8 @@ def load() -> None:
     """Import every module that registers queries."""
     from lacuna.plans import (q_audit, q_evaluation, q_graph, q_ingest, q_intel, q_reports, q_rules,  # noqa: F401
                               q_scoring, q_stream)
+
+
+def oracles() -> dict[str, str]:
+    """Full SQL text of every twin."""
+    return {name: with_ctes(needs, sql) for name, (needs, sql) in _TWINS.items()}
