@@ -9,6 +9,7 @@ from lacuna.plans.lens import Estate
 from lacuna.session import checkpoint_dir
 
 WORKFLOW_TYPES = ["INVESTIGATION", "ESCALATION", "CASE"]
+NODE_TYPES = ["CSE", "ASSET", "ANALYST", "ALERT", "INVESTIGATION", "ESCALATION", "CASE", "CLOSURE", "MISSING_EXPECTED"]
 
 
 def _node(df: DataFrame, kind: str, record: Column, *, cse: Column, status, ts: Column | None = None,
@@ -279,7 +280,8 @@ def metrics(node_rows: DataFrame, edge_rows: DataFrame) -> DataFrame:
 def induced(node_rows: DataFrame, edge_rows: DataFrame, entity_type: str = "ALL", cap: int = 40) -> tuple[DataFrame, DataFrame]:
     """The display subgraph: the first ``cap`` nodes of a type and the edges among them."""
     picked = node_rows if entity_type == "ALL" else node_rows.where(F.col("entity_type") == entity_type)
-    picked = picked.orderBy("id").limit(cap)
+    place = F.array_position(F.array(*[F.lit(t) for t in NODE_TYPES]), F.col("entity_type"))
+    picked = picked.orderBy(place, "id").limit(cap)
     ids = F.broadcast(picked.select("id"))  # at most ``cap`` rows
     inside = (edge_rows.join(ids.withColumnRenamed("id", "src"), "src", "left_semi")
               .join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi"))

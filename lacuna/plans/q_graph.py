@@ -134,7 +134,7 @@ def graph_export(spark, d):
     return G.nodes(estate(spark, d)).select("id", S.canonical_json(F.struct(*cols)).alias("document"))
 
 
-@query("graph_subgraph", "nodes edges", """SELECT src, dst, relationship FROM edges WHERE src IN (SELECT id FROM nodes ORDER BY id LIMIT 40) AND dst IN (SELECT id FROM nodes ORDER BY id LIMIT 40)""")
+@query("graph_subgraph", "nodes edges", """SELECT src, dst, relationship FROM edges WHERE src IN (SELECT id FROM nodes ORDER BY list_position(['CSE','ASSET','ANALYST','ALERT','INVESTIGATION','ESCALATION','CASE','CLOSURE','MISSING_EXPECTED'], entity_type), id LIMIT 40) AND dst IN (SELECT id FROM nodes ORDER BY list_position(['CSE','ASSET','ANALYST','ALERT','INVESTIGATION','ESCALATION','CASE','CLOSURE','MISSING_EXPECTED'], entity_type), id LIMIT 40)""")
 def graph_subgraph(spark, d):
     _, _, n, e = _graph(spark, d)
     return G.induced(n, e)[1].select("src", "dst", "relationship")
