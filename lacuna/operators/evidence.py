@@ -34,6 +34,21 @@ def _keep(*items: Column) -> Column:
     return F.filter(F.array(*items), lambda x: x.isNotNull())
 
 
+def gap_kinds() -> Column:
+    """Evidence types a workflow finding has, without building the evidence itself."""
+    lost = ~F.col("has_investigation") | ((F.col("rule_id") == "GAP-01") & ~F.col("has_escalation"))
+    return _keep(F.lit("DIRECT_RECORD"), F.when(lost, F.lit("MISSING_EXPECTED_RECORD")), F.lit("WORKFLOW_TRANSITION"), F.lit("DATA_QUALITY"))
+
+
+def negative_kinds() -> Column:
+    """Evidence types a negative-space finding has: the subject, its rule's own types, and data quality."""
+    rule = F.col("rule_id")
+    return _keep(F.lit("DIRECT_RECORD"), F.when(rule.isin("NEG-01", "NEG-03"), F.lit("MISSING_EXPECTED_RECORD")),
+                 F.when(rule.isin("NEG-01", "NEG-05"), F.lit("CONTEXT_SUPPRESSION")), F.when(rule == "NEG-02", F.lit("HISTORICAL_BASELINE")),
+                 F.when(rule == "NEG-04", F.lit("PEER_COMPARISON")), F.when(rule.isin("NEG-02", "NEG-04"), F.lit("STATISTICAL_DEVIATION")),
+                 F.lit("DATA_QUALITY"))
+
+
 def gap_items(completeness: float, import_id: str) -> Column:
     """Evidence of a workflow finding, in fixed order, as one array."""
     c = F.col
@@ -105,14 +120,14 @@ def required_types() -> Column:
     return F.coalesce(F.try_element_at(contract, F.col("rule_id")), F.array(*[F.lit(k) for k in P.DEFAULT_CONTRACT]))
 
 
-def attach(findings: DataFrame, items: Column) -> DataFrame:
-    """Add the evidence array, score it against the contract and scale the confidence.
+def attach(findings: DataFrame, items: Column, kinds: Column) -> DataFrame:
+    """Add the evidence array, score its types against the contract and scale the confidence.
 
-    All narrow: a finding's evidence follows from its own row, so no join is needed and the
-    rows are exploded only by those who ask for them.
+    All narrow: a finding's evidence follows from its own row, so no join is needed. The score
+    needs only the types, so a plan that drops the evidence column never builds it.
     """
     with_items = findings.withColumn("evidence", items)
-    need, have = required_types(), F.array_distinct(F.transform("evidence", lambda e: e["evidence_type"]))
+    need, have = required_types(), kinds
     pct = S.rounded(F.size(F.array_intersect(need, have)) / F.size(need) * 100.0, 2)
     return (with_items.withColumn("evidence_completeness", pct)
             .withColumn("confidence", F.when(F.col("evidence_completeness") < 100.0, S.rounded(

@@ -28,7 +28,7 @@ def _finish(df: DataFrame) -> DataFrame:
 def gap_findings(est: Estate, params: RuleParams = RULES) -> DataFrame:
     rows = gap_rules.gap_evaluations(workflow(est, params), est.completeness, params)
     hits = to_findings(rows, est.run_id, est.as_of)
-    return _finish(evidence.attach(hits, evidence.gap_items(est.completeness, est.import_id)))
+    return _finish(evidence.attach(hits, evidence.gap_items(est.completeness, est.import_id), evidence.gap_kinds()))
 
 
 _CONTEXT = {  # columns that only some negative-space rules carry
@@ -57,7 +57,7 @@ def negative_findings(est: Estate, params: RuleParams = RULES) -> DataFrame:
             if name not in hits.columns:
                 hits = hits.withColumn(name, F.lit(None).cast(kind))
         hits = hits.withColumn("evidence_refs", _negative_refs())
-        parts.append(_finish(evidence.attach(hits, evidence.negative_items(est.completeness, est.import_id))))
+        parts.append(_finish(evidence.attach(hits, evidence.negative_items(est.completeness, est.import_id), evidence.negative_kinds())))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 

@@ -97,8 +97,8 @@ def case_links(est: Estate, findings: DataFrame) -> DataFrame:
     return named.unionByName(rest)
 
 
-def edges(est: Estate, findings: DataFrame) -> DataFrame:
-    """All relationships whose two ends exist, one row per (src, dst)."""
+def edges(est: Estate, links: DataFrame) -> DataFrame:
+    """All relationships whose two ends exist, one row per (src, dst). ``links`` is :func:`case_links`."""
     c = F.col
     known_cse = est.entities.select(c("id").alias("cse_id"), F.lit(True).alias("cse_known"))
     known_asset = est.assets.select(c("id").alias("asset_id"), F.lit(True).alias("asset_known"))
@@ -114,7 +114,7 @@ def edges(est: Estate, findings: DataFrame) -> DataFrame:
     assigned = inv.join(known_analyst, "analyst_id", "left_semi")
     esc = _owned_escalations(est).where("inv_known")
     cases = est.cases.select(c("id").alias("case_id"), "cse_id", "opened_at")
-    linked = (case_links(est, findings).join(cases, "case_id")
+    linked = (links.join(cases, "case_id")
               .select("src", F.concat(F.lit("CASE:"), c("case_id")).alias("dst"), F.lit("RESULTS_IN").alias("relationship"),
                       S.iso(c("opened_at")).alias("timestamp"), "cse_id"))
     closed = est.closures.join(cases.select("case_id", "cse_id"), "case_id")
@@ -201,10 +201,10 @@ def analyst_shares(est: Estate) -> DataFrame:
             .withColumn("share", F.col("handled") / F.col("total_handled")))
 
 
-def anomalies(est: Estate, findings: DataFrame, node_rows: DataFrame, edge_rows: DataFrame) -> DataFrame:
+def anomalies(est: Estate, links: DataFrame, node_rows: DataFrame, edge_rows: DataFrame) -> DataFrame:
     """The six detectors as one table."""
     c = F.col
-    path_rows = paths(est, case_links(est, findings))
+    path_rows = paths(est, links)
     shape = lambda df, kind, severity, source, cse, detail, evidence: df.select(
         F.lit(kind).alias("anomaly_type"), F.lit(severity).alias("severity"), source.alias("source_node"), cse.alias("cse_id"),
         detail.alias("detail"), F.lit(evidence).alias("evidence_type"))

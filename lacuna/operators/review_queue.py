@@ -132,10 +132,18 @@ def status_changes(queue: DataFrame, changes: DataFrame) -> tuple[DataFrame, Dat
 
     Returns the queue with its latest status and one audit row per event with before and after.
     """
-    by_item = Window.partitionBy("queue_item_id").orderBy("changed_at", "event_id")
     known = queue.select("queue_item_id", "finding_id", "cse_id", F.col("status").alias("initial_status"))
-    steps = (changes.join(known, "queue_item_id")
-             .withColumn("previous_status", F.coalesce(F.lag("new_status").over(by_item), F.col("initial_status"))))
+    # Two grains, so that one busy item is spread over the hours it was busy in: inside the hour
+    # the event before, otherwise the last event of the latest earlier hour.
+    stamp = F.struct("changed_at", "event_id")
+    hourly = changes.withColumn("hour", F.date_trunc("hour", "changed_at"))
+    ends = hourly.groupBy("queue_item_id", "hour").agg(F.max_by("new_status", stamp).alias("end_status"))
+    by_hour = Window.partitionBy("queue_item_id").orderBy("hour")
+    carried = ends.withColumn("carried", F.lag("end_status").over(by_hour)).drop("end_status")
+    inside = Window.partitionBy("queue_item_id", "hour").orderBy("changed_at", "event_id")
+    steps = (hourly.withColumn("before", F.lag("new_status").over(inside))
+             .join(carried, ["queue_item_id", "hour"]).join(known, "queue_item_id")
+             .withColumn("previous_status", F.coalesce("before", "carried", "initial_status")))
     audit = steps.select("event_id", F.lit("UPDATE_QUEUE_ITEM_STATUS").alias("action"), F.lit("ReviewQueueItem").alias("entity_type"),
                          F.col("queue_item_id").alias("entity_id"), "user_id", "changed_at", "previous_status", "new_status",
                          "notes", "finding_id", "cse_id")

@@ -6,15 +6,12 @@ from pyspark.sql import functions as F
 
 from lacuna.functions import scalar as S
 from lacuna.operators import evaluation as V
-from lacuna.operators import findings as FD
-from lacuna.operators import graph as G
 from lacuna.operators import negative_space as N
-from lacuna.operators import review_queue as Q
-from lacuna.operators import risk as R
 from lacuna.params import T_CRITICAL_95
 from lacuna.plans.ctes import cte, r
 from lacuna.plans.lens import estate, tag
 from lacuna.plans.registry import query
+from lacuna.plans.stages import analysis, written
 
 
 def truth(spark, d):
@@ -65,8 +62,8 @@ cte("truth_rules", "truth_counts", _binary("SELECT * FROM truth_counts"))
 
 
 def _found(spark, d):
-    est = estate(spark, d)
-    return est, FD.findings(est), truth(spark, d)
+    run = analysis(spark, d)
+    return run.estate, run.findings, truth(spark, d)
 
 
 @query("truth_evaluation", "truth_rules", "SELECT * FROM truth_rules")
@@ -107,9 +104,8 @@ def exception_safety(spark, d):
 
 
 def _queued(spark, d):
-    est, found, gt = _found(spark, d)
-    cands = Q.candidates(found, R.entity_risk(est, found), est.assets)
-    return est, found, gt, cands, Q.review_queue(cands)
+    run = analysis(spark, d)
+    return run.estate, run.findings, truth(spark, d), run.candidates, run.queue
 
 
 cte("relevant", "judged findings", "SELECT j.finding_id AS id, CASE severity WHEN 'CRITICAL' THEN 3 WHEN 'HIGH' THEN 2 ELSE 1 END AS grade FROM judged j JOIN findings f ON f.finding_id = j.finding_id WHERE matched")
@@ -140,7 +136,7 @@ def queue_reduction(spark, d):
 @query("explainability", "findings", "SELECT count(*) AS total, count(*) AS full, 0::BIGINT AS partial, 0::BIGINT AS unexplained, 0::BIGINT AS placeholder_rejections, 100.0::double AS completeness_pct, "
        + ", ".join(f"1.0::double AS rate_{n}" for n in V.EXPLAINED) + " FROM findings")
 def explainability(spark, d):
-    return V.explainability(FD.findings(estate(spark, d)))
+    return V.explainability(analysis(spark, d).findings)
 
 
 cte("base_findings", "alerts assets", "SELECT sha256('BASELINE:' || a.id) AS finding_id, a.cse_id, a.asset_id FROM alerts a JOIN assets s ON s.id = a.asset_id WHERE severity = 'CRITICAL' AND a.status = 'CLOSED' AND s.criticality = 'CRITICAL'")
@@ -163,6 +159,11 @@ def _ablation(spark, d):
     return V.ablation(est, found, queue, gt)
 
 
+def _written_ablation(spark, d):
+    """The eight-row table, written once because the deltas read it several times."""
+    return written(_ablation(spark, d), "ablation", analysis(spark, d).root)
+
+
 @query("ablation", "ablation", "SELECT * FROM ablation")
 def ablation(spark, d):
     return _ablation(spark, d)
@@ -174,7 +175,7 @@ _D = lambda m, k: f"{r(f'f.{m} - a.{m}', k)} AS delta_{m}"
 @query("ablation_deltas", "ablation", f"""SELECT CASE a.config WHEN 'A1' THEN 'Negative space' WHEN 'A3' THEN 'Evidence' WHEN 'A4' THEN 'Risk' ELSE 'Diversity' END AS component, a.config, {_D('f1_score', 4)}, {_D('false_positive_rate', 4)}, {_D('top_k_recall', 4)},
  {_D('explainability_pct', 2)}, {_D('review_reduction', 4)}, f.cses_in_queue - a.cses_in_queue AS delta_cses_in_queue FROM ablation a, ablation f WHERE f.config = 'A7' AND a.config IN ('A1','A3','A4','A5')""")
 def ablation_deltas(spark, d):
-    return V.ablation_deltas(_ablation(spark, d))
+    return V.ablation_deltas(_written_ablation(spark, d))
 
 
 _GRID = {"NEG-01": [24.0, 36.0, 47.9, 48.0, 48.1, 72.0], "NEG-04": [0.05, 0.1, 0.2, 0.25, 0.5], "GAP-03": [5.0, 8.0, 15.0, 16.0, 30.0]}
@@ -209,8 +210,8 @@ cte("run_values", "risk entities", """SELECT 'entity.' || m AS metric, v AS valu
  {r('CASE WHEN high <= 1 THEN least(1, m + mar) ELSE m + mar END', 4)} AS ci_95_upper, greatest(1, n - 1)::INT AS degrees_of_freedom, {_TC} AS t_critical FROM (SELECT *, {_TC} * sd / sqrt(n::double) AS mar FROM (
  SELECT metric, count(*) AS n, avg(value) AS m, median(value) AS med, stddev_samp(value) AS sd, min(value) AS low, max(value) AS high FROM run_values GROUP BY metric))""")
 def run_statistics(spark, d):
-    est, found, _ = _found(spark, d)
-    risk = R.entity_risk(est, found)
+    run = analysis(spark, d)
+    est, risk = run.estate, run.risk
     names = ["execution_gap", "negative_space", "asset_criticality", "normalized_score"]
     values = risk.select(F.explode(F.array(*[F.struct(F.lit(f"entity.{n}").alias("metric"), F.col(n).alias("value")) for n in names])).alias("x")).select("x.*")
     total = est.entities.agg(F.count(F.lit(1))).scalar()
@@ -233,7 +234,5 @@ def _digest_sql(name, src, *parts):
     _digest_sql("queue", "queue", "rank", "cse_id", "rule_id", "severity", "priority_band", r("priority_score", 2)),
     _digest_sql("graph", "anomalies", "anomaly_type", "severity")]))
 def state_digest(spark, d):
-    est, found, _, _, queue = _queued(spark, d)
-    gaps = FD.gap_findings(est)
-    anomalies = G.anomalies(est, gaps, G.nodes(est), G.edges(est, gaps))
-    return V.state_digest(found, R.entity_risk(est, found), queue, anomalies)
+    run = analysis(spark, d)
+    return V.state_digest(run.findings, run.risk, run.queue, run.anomalies)

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from lacuna.functions import scalar as S
 from lacuna.operators import evaluation as V
-from lacuna.operators import findings as FD
 from lacuna.operators import graph as G
 from lacuna.plans.ctes import cte, r
 from lacuna.plans.lens import estate
+from lacuna.plans.stages import analysis
 from lacuna.plans.registry import query
 
 _TS = lambda c: f"strftime({c}, '%Y-%m-%dT%H:%M:%S')"
@@ -52,10 +52,9 @@ cte("anomalies", "paths orphans investigations escalations shares silent", f"""S
  UNION ALL SELECT 'MISSING_EXPECTED_ACTIVITY', 'HIGH', 'MISSING_EXPECTED:' || id, cse_id, 'no alerts' FROM silent""")
 
 
-def _graph(spark, d):
-    est = estate(spark, d)
-    found = FD.gap_findings(est)  # only workflow findings can name a case
-    return est, found, G.nodes(est), G.edges(est, found)
+def _paths(spark, d):
+    run = analysis(spark, d)
+    return G.paths(run.estate, run.case_links)
 
 
 @query("graph_nodes", "nodes", "SELECT id, entity_type, canonical_record_id, cse_id, timestamp, status, criticality FROM nodes")
@@ -65,39 +64,36 @@ def graph_nodes(spark, d):
 
 @query("graph_edges", "edges", "SELECT src, dst, relationship, timestamp, cse_id FROM edges")
 def graph_edges(spark, d):
-    return _graph(spark, d)[3]
+    return analysis(spark, d).edges
 
 
 @query("graph_case_links", "links", "SELECT case_id, src FROM links")
 def graph_case_links(spark, d):
-    est, found, _, _ = _graph(spark, d)
-    return G.case_links(est, found).select("case_id", "src")
+    return analysis(spark, d).case_links.select("case_id", "src")
 
 
 @query("graph_paths", "paths", f"""SELECT alert_id, cse_id, severity, CASE WHEN severity = 'CRITICAL' THEN 'ALERT>INVESTIGATION>ESCALATION>CASE>CLOSURE' ELSE 'ALERT>INVESTIGATION>CASE>CLOSURE' END AS expected_path,
  concat_ws('>', 'ALERT', CASE WHEN investigation_id IS NOT NULL THEN 'INVESTIGATION' END, CASE WHEN escalation_id IS NOT NULL THEN 'ESCALATION' END, CASE WHEN case_id IS NOT NULL THEN 'CASE' END,
  CASE WHEN closure_id IS NOT NULL THEN 'CLOSURE' END) AS observed_path, {_ANOM} AS is_anomalous FROM paths""")
 def graph_paths(spark, d):
-    est, found, _, _ = _graph(spark, d)
-    return G.paths(est, G.case_links(est, found)).select("alert_id", "cse_id", "severity", "expected_path", "observed_path", "is_anomalous")
+    return _paths(spark, d).select("alert_id", "cse_id", "severity", "expected_path", "observed_path", "is_anomalous")
 
 
 @query("graph_temporal_checks", "paths", """SELECT alert_id, coalesce(started_at < created_at, false) AS investigation_before_alert, coalesce(direct_opened_at < started_at, false) AS case_before_investigation,
  NOT coalesce(started_at < created_at, false) AND NOT coalesce(direct_opened_at < started_at, false) AS is_valid FROM paths""")
 def graph_temporal_checks(spark, d):
-    est, found, _, _ = _graph(spark, d)
-    return G.temporal_checks(G.paths(est, G.case_links(est, found))).drop("cse_id")
+    return G.temporal_checks(_paths(spark, d)).drop("cse_id")
 
 
 @query("graph_anomalies", "anomalies", "SELECT anomaly_type, severity, source_node, cse_id, detail FROM anomalies")
 def graph_anomalies(spark, d):
-    return G.anomalies(*_graph(spark, d)).drop("evidence_type")
+    return analysis(spark, d).anomalies.drop("evidence_type")
 
 
 @query("graph_in_degrees", "nodes edges", "SELECT n.id, entity_type, count(e.dst) AS in_degree FROM nodes n LEFT JOIN edges e ON e.dst = n.id GROUP BY 1, 2")
 def graph_in_degrees(spark, d):
-    _, _, n, e = _graph(spark, d)
-    return G.in_degrees(n, e)
+    run = analysis(spark, d)
+    return G.in_degrees(run.nodes, run.edges)
 
 
 @query("graph_analyst_shares", "shares", f"SELECT analyst_id, handled, total_handled::BIGINT AS total_handled, team_size, {r('share', 6)} AS share FROM shares")
@@ -107,8 +103,8 @@ def graph_analyst_shares(spark, d):
 
 @query("graph_type_counts", "nodes edges", "SELECT 'node' AS kind, entity_type AS name, count(*) AS n FROM nodes GROUP BY 2 UNION ALL SELECT 'edge', relationship, count(*) FROM edges GROUP BY 2")
 def graph_type_counts(spark, d):
-    _, _, n, e = _graph(spark, d)
-    return G.type_counts(n, e)
+    run = analysis(spark, d)
+    return G.type_counts(run.nodes, run.edges)
 
 
 _M = lambda t: f"(SELECT count(*) FROM nodes WHERE entity_type = '{t}')"
@@ -117,15 +113,15 @@ _M = lambda t: f"(SELECT count(*) FROM nodes WHERE entity_type = '{t}')"
 @query("graph_metrics", "nodes edges orphans", f"""SELECT (SELECT count(*) FROM nodes) AS node_count, (SELECT count(*) FROM edges) AS edge_count, {r(_M('ESCALATION') + ' / ' + _M('INVESTIGATION'), 4)} AS escalation_investigation_ratio,
  {r(_M('CLOSURE') + ' / ' + _M('CASE'), 4)} AS closure_case_ratio, (SELECT count(*) FROM orphans) AS orphan_nodes_count, {_M('MISSING_EXPECTED')} AS missing_expected_count""")
 def graph_metrics(spark, d):
-    _, _, n, e = _graph(spark, d)
-    return G.metrics(n, e)
+    run = analysis(spark, d)
+    return G.metrics(run.nodes, run.edges)
 
 
 @query("graph_components")
 def graph_components(spark, d):
     """Component sizes; iterative, so it has no SQL twin and is tested against brute force."""
-    _, _, n, e = _graph(spark, d)
-    return G.components(n.select("id"), e).groupBy("label").agg(F.count(F.lit(1)).alias("members"))
+    run = analysis(spark, d)
+    return G.components(run.nodes.select("id"), run.edges).groupBy("label").agg(F.count(F.lit(1)).alias("members"))
 
 
 @query("graph_export", "nodes", """SELECT id, to_json(struct_pack(canonical_record_id := canonical_record_id, criticality := criticality, cse_id := cse_id, entity_type := entity_type, id := id, status := status, timestamp := timestamp))::varchar AS document FROM nodes""")
@@ -136,11 +132,11 @@ def graph_export(spark, d):
 
 @query("graph_subgraph", "nodes edges", """SELECT src, dst, relationship FROM edges WHERE src IN (SELECT id FROM nodes ORDER BY list_position(['CSE','ASSET','ANALYST','ALERT','INVESTIGATION','ESCALATION','CASE','CLOSURE','MISSING_EXPECTED'], entity_type), id LIMIT 40) AND dst IN (SELECT id FROM nodes ORDER BY list_position(['CSE','ASSET','ANALYST','ALERT','INVESTIGATION','ESCALATION','CASE','CLOSURE','MISSING_EXPECTED'], entity_type), id LIMIT 40)""")
 def graph_subgraph(spark, d):
-    _, _, n, e = _graph(spark, d)
-    return G.induced(n, e)[1].select("src", "dst", "relationship")
+    run = analysis(spark, d)
+    return G.induced(run.nodes, run.edges)[1].select("src", "dst", "relationship")
 
 
 @query("graph_evaluation", "anomalies findings", """SELECT anomaly_type, count(*) AS n, 100.0::double AS traceability_pct, 3.0::double AS mean_depth FROM anomalies GROUP BY 1""")
 def graph_evaluation(spark, d):
-    est, found, n, e = _graph(spark, d)
-    return V.graph_evaluation(G.anomalies(est, found, n, e), found)
+    run = analysis(spark, d)
+    return V.graph_evaluation(run.anomalies, run.findings)

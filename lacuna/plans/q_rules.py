@@ -15,6 +15,7 @@ from lacuna.params import RULES
 from lacuna.plans.ctes import AS_OF_SQL, IMPORT_SQL, RUN_SQL, cte, key, one, r
 from lacuna.plans.lens import asset_entities, estate
 from lacuna.plans.registry import query
+from lacuna.plans.stages import analysis
 
 VERDICTS = ["target_id", "status", "severity", "confidence", "risk_contribution"]
 
@@ -296,8 +297,8 @@ def findings(spark, d):
 
 @query("analysis_run", "alerts findings", f"""SELECT {RUN_SQL} AS analysis_run_id, 'COMPLETED' AS status, (SELECT count(*) FROM alerts) AS records_processed, (SELECT count(*) FROM findings) AS findings_generated""")
 def analysis_run(spark, d):
-    est = estate(spark, d)
-    return FD.analysis_run(est, FD.findings(est)).select("analysis_run_id", "status", "records_processed", "findings_generated")
+    run = analysis(spark, d)
+    return FD.analysis_run(run.estate, run.findings).select("analysis_run_id", "status", "records_processed", "findings_generated")
 
 
 # --- evidence -------------------------------------------------------------------------
@@ -323,14 +324,14 @@ cte("evidence", "findings flow", f"""SELECT finding_id, rule_id, {_EV}, {key('fi
 
 @query("evidence_rows", "evidence", f"SELECT evidence_id, finding_id, rule_id, {_EV} FROM evidence")
 def evidence_rows(spark, d):
-    return E.evidence_rows(FD.findings(estate(spark, d))).select("evidence_id", "finding_id", "rule_id", *_EV.split(", "))
+    return E.evidence_rows(analysis(spark, d).findings).select("evidence_id", "finding_id", "rule_id", *_EV.split(", "))
 
 
 @query("evidence_completeness", "findings evidence", """SELECT f.finding_id, f.rule_id, evidence_completeness, confidence, kinds AS present_types, n AS record_count FROM findings f JOIN
  (SELECT finding_id, string_agg(DISTINCT evidence_type, ',' ORDER BY evidence_type) AS kinds, count(*) AS n FROM evidence GROUP BY 1) e ON e.finding_id = f.finding_id""")
 def evidence_completeness(spark, d):
-    est = estate(spark, d)
-    p = E.packages(FD.findings(est), est.as_of, est.import_id)
+    run = analysis(spark, d)
+    p = E.packages(run.findings, run.estate.as_of, run.estate.import_id)
     return p.select("finding_id", "rule_id", "evidence_completeness", "confidence", F.array_join("present_evidence_types", ",").alias("present_types"),
                     F.size("supporting_records").cast("long").alias("record_count"))
 
@@ -339,8 +340,8 @@ def evidence_completeness(spark, d):
  f.rule_id LIKE 'GAP%' AS has_workflow, f.rule_id = 'NEG-02' AS has_baseline, f.rule_id = 'NEG-04' AS has_peers, supervisory_priority,
  '{"completeness_score":100.0,"is_clean":true}' AS data_quality FROM findings f""")
 def evidence_packages(spark, d):
-    est = estate(spark, d)
-    p = E.packages(FD.findings(est), est.as_of, est.import_id)
+    run = analysis(spark, d)
+    p = E.packages(run.findings, run.estate.as_of, run.estate.import_id)
     return p.select("finding_id", "engine", "is_evidence_complete", F.col("workflow_difference").isNotNull().alias("has_workflow"),
                     F.col("baseline_stats").isNotNull().alias("has_baseline"), F.col("peer_stats").isNotNull().alias("has_peers"),
                     "supervisory_priority", "data_quality")
@@ -350,5 +351,5 @@ def evidence_packages(spark, d):
  CASE WHEN count(*) FILTER (gone) > 0 THEN 'INTEGRITY_COMPROMISED' ELSE 'VERIFIED' END AS status FROM (SELECT *,
  (source_table = 'alerts' AND source_record_id NOT IN (SELECT id FROM alerts)) OR (source_table = 'assets' AND source_record_id NOT IN (SELECT id FROM assets)) AS gone FROM evidence) GROUP BY 1, 2""")
 def evidence_integrity(spark, d):
-    est = estate(spark, d)
-    return E.integrity(E.evidence_rows(FD.findings(est)), est).select("finding_id", "rule_id", "evidence_count", "tampered_count", "status")
+    run = analysis(spark, d)
+    return E.integrity(E.evidence_rows(run.findings), run.estate).select("finding_id", "rule_id", "evidence_count", "tampered_count", "status")

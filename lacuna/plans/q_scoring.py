@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lacuna.functions import scalar as S
-from lacuna.operators import findings as FD
 from lacuna.operators import lookups as L
 from lacuna.operators import review_queue as Q
 from lacuna.operators import risk as R
 from lacuna.plans.ctes import RUN_SQL, cte, key, one, r
 from lacuna.plans.lens import estate, tag
 from lacuna.plans.registry import query
+from lacuna.plans.stages import analysis
 
 _BAND = lambda c, mid: f"CASE WHEN {c} <= 24.99 THEN 'LOW' WHEN {c} >= 25 AND {c} <= 49.99 THEN '{mid}' WHEN {c} >= 50 AND {c} <= 74.99 THEN 'HIGH' WHEN {c} >= 75 THEN 'CRITICAL' ELSE 'LOW' END"
 _SEV = lambda a, b, c, d: f"CASE severity WHEN 'CRITICAL' THEN {a} WHEN 'HIGH' THEN {b} WHEN 'MEDIUM' THEN {c} ELSE {d} END"
@@ -34,14 +34,13 @@ _R = "risk_score_id, cse_id, execution_gap, negative_space, peer_deviation, inve
 
 
 def _scored(spark, d):
-    est = estate(spark, d)
-    found = FD.findings(est)
-    return est, found, R.entity_risk(est, found)
+    run = analysis(spark, d)
+    return run.estate, run.findings, R.entity_risk(run.estate, run.findings)
 
 
 @query("finding_contributions", "contrib", "SELECT finding_id, cse_id, rule_id, component, base_contribution, effective_contribution, is_qualified FROM contrib")
 def finding_contributions(spark, d):
-    return R.contributions(FD.findings(estate(spark, d))).select("finding_id", "cse_id", "rule_id", "component", "base_contribution", "effective_contribution", "is_qualified")
+    return R.contributions(analysis(spark, d).findings).select("finding_id", "cse_id", "rule_id", "component", "base_contribution", "effective_contribution", "is_qualified")
 
 
 @query("entity_risk", "risk", f"SELECT {_R} FROM risk")
@@ -63,14 +62,14 @@ CTES["refs"][0].extend(["escalations", "closures"])
 
 @query("risk_explanation_refs", "refs", """SELECT cse_id, rn AS ref_rank, finding_id, source_table, source_record_id FROM (SELECT *, row_number() OVER (PARTITION BY cse_id ORDER BY finding_id, position) AS rn FROM refs) WHERE rn <= 10""")
 def risk_explanation_refs(spark, d):
-    return R.explanation_refs(R.contributions(FD.findings(estate(spark, d))))
+    return R.explanation_refs(R.contributions(analysis(spark, d).findings))
 
 
 @query("risk_explanations", "risk", f"""SELECT cse_id, 'Supervisory risk of ' || cse_name || ': ' || {one('normalized_score')} || ' / 100, ' || risk_band AS title,
  to_json(struct_pack(component_breakdown := struct_pack(asset_criticality := asset_criticality, execution_gap := execution_gap, investigation_anomaly := investigation_anomaly, negative_space := negative_space, peer_deviation := peer_deviation),
  contributing_findings_count := contributing_findings, normalized_score := normalized_score, overall_confidence := overall_confidence, raw_score := raw_score, risk_band := risk_band))::varchar AS explanation_json FROM risk""")
 def risk_explanations(spark, d):
-    return R.explanations(_scored(spark, d)[2])
+    return R.explanations(analysis(spark, d).risk)
 
 
 # --- review queue -----------------------------------------------------------------------
@@ -97,8 +96,8 @@ _QC = "queue_item_id, finding_id, cse_id, rule_id, risk_score_id, priority_score
 
 
 def _cands(spark, d):
-    est, found, risk = _scored(spark, d)
-    return est, found, risk, Q.candidates(found, risk, est.assets)
+    run = analysis(spark, d)
+    return run.estate, run.findings, run.risk, Q.candidates(run.findings, run.risk, run.estate.assets)
 
 
 @query("candidate_priority", "cand", f"SELECT {_C} FROM cand")
@@ -108,20 +107,20 @@ def candidate_priority(spark, d):
 
 @query("review_queue", "queue", f"SELECT {_QC}, 'Rank ' || rank || ', priority ' || {one('priority_score')} || ' (' || priority_band || ')' AS rationale FROM queue")
 def review_queue(spark, d):
-    return Q.review_queue(_cands(spark, d)[3]).select(*_QC.split(", "), "rationale")
+    return Q.review_queue(analysis(spark, d).candidates).select(*_QC.split(", "), "rationale")
 
 
 @query("queue_diversity", "cand queue", """SELECT (SELECT count(*) FROM cand) AS candidates_processed, count(*) AS queue_items_generated, (SELECT count(*) FROM cand) - count(*) AS candidates_excluded_by_diversity,
  count(*) FILTER (selection_pass = 2) AS candidates_reintroduced_by_fallback, (SELECT max(n) >= 3 FROM (SELECT count(*) AS n FROM queue GROUP BY cse_id)) AS systemic_concentration_detected,
  count(DISTINCT cse_id) AS cse_diversity_count, count(DISTINCT rule_category) AS category_diversity_count FROM queue""")
 def queue_diversity(spark, d):
-    cands = _cands(spark, d)[3]
-    return Q.diversity_metrics(cands, Q.review_queue(cands)).drop("analysis_run_id")
+    run = analysis(spark, d)
+    return Q.diversity_metrics(run.candidates, run.queue).drop("analysis_run_id")
 
 
 @query("queue_search", "queue", f"SELECT {_QC} FROM queue WHERE priority_band = 'CRITICAL' AND severity = 'CRITICAL' AND (queue_item_id LIKE '%cse%' OR lower(cse_id) LIKE '%cse%')")
 def queue_search(spark, d):
-    queue = Q.review_queue(_cands(spark, d)[3])
+    queue = analysis(spark, d).queue
     return Q.search(queue, "CSE", "NEW", "CRITICAL", "CRITICAL", "priority_score", False).select(*_QC.split(", "))
 
 
@@ -139,7 +138,7 @@ cte("changes", "queue", """SELECT event_id, queue_item_id, ts AS changed_at, CAS
 
 
 def _changed(spark, d):
-    queue = Q.review_queue(_cands(spark, d)[3])
+    queue = analysis(spark, d).queue
     keyed = _changes(spark, d).join(queue.select("rank", "queue_item_id"), "rank").drop("rank")
     return queue, *Q.status_changes(queue, keyed)
 
@@ -166,8 +165,8 @@ def queue_history(spark, d):
  (SELECT {r('sum(round_even(evidence_completeness * 100, 0)::BIGINT)::double / count(*) / 100.0::double', 1)} FROM findings) AS avg_evidence_completeness,
  (SELECT count(*) FROM cases WHERE status = 'OPEN') AS open_cases, (SELECT count(*) FROM queue WHERE priority_score >= 50 OR priority_band IN ('CRITICAL','HIGH')) AS high_priority_reviews""")
 def dashboard(spark, d):
-    est, found, risk, cands = _cands(spark, d)
-    return L.dashboard(est, found, risk, Q.review_queue(cands))
+    run = analysis(spark, d)
+    return L.dashboard(run.estate, run.findings, run.risk, run.queue)
 
 
 cte("profiles", "entities assets findings risk", """SELECT e.id AS cse_id, e.name, sector, entity_type, size_tier, coalesce(na, 0) AS asset_count, coalesce(nf, 0) AS finding_count, normalized_score AS risk_score, risk_band FROM entities e
@@ -175,8 +174,8 @@ cte("profiles", "entities assets findings risk", """SELECT e.id AS cse_id, e.nam
 
 
 def _profiles(spark, d):
-    est, found, risk = _scored(spark, d)
-    return L.entity_profiles(est, found, risk)
+    run = analysis(spark, d)
+    return L.entity_profiles(run.estate, run.findings, run.risk)
 
 
 @query("entity_profiles", "profiles", "SELECT * FROM profiles")
@@ -196,7 +195,7 @@ def risk_bands(spark, d):
 
 @query("latest_risk", "risk", "SELECT cse_id, 'RUN-2' AS analysis_run_id, normalized_score, risk_band FROM risk")
 def latest_risk(spark, d):
-    risk = _scored(spark, d)[2].select("cse_id", "analysis_run_id", "normalized_score", "risk_band")
+    risk = analysis(spark, d).risk.select("cse_id", "analysis_run_id", "normalized_score", "risk_band")
     older = risk.withColumn("computed_at", F.to_timestamp(F.lit("2024-01-30 00:00:00")))
     newer = risk.withColumn("analysis_run_id", F.lit("RUN-2")).withColumn("computed_at", F.to_timestamp(F.lit("2024-01-31 00:00:00")))
     return L.latest_risk(older.unionByName(newer))
@@ -204,4 +203,4 @@ def latest_risk(spark, d):
 
 @query("risk_by_entity", "contrib", "SELECT finding_id, rule_id, component, effective_contribution FROM contrib WHERE cse_id = 'CSE-3'")
 def risk_by_entity(spark, d):
-    return L.by_key(R.contributions(FD.findings(estate(spark, d))), cse_id="CSE-3").select("finding_id", "rule_id", "component", "effective_contribution")
+    return L.by_key(R.contributions(analysis(spark, d).findings), cse_id="CSE-3").select("finding_id", "rule_id", "component", "effective_contribution")
