@@ -25,7 +25,7 @@ def with_ctes(needs: str, final: str) -> str:
 
     for name in needs.split():
         visit(name)
-    body = ",\n".join(f"{n} AS (\n{CTES[n][1]}\n)" for n in done)
+    body = ",\n".join(f"\"{n}\" AS (\n{CTES[n][1]}\n)" for n in done)
     return f"WITH RECURSIVE {body}\n{final}" if body else final
 
 
