@@ -53,12 +53,8 @@ def evaluate(rows: DataFrame, verdicts: list[Column]) -> DataFrame:
 def to_findings(evaluations: DataFrame, run_id: str, as_of: str) -> DataFrame:
     """Keep failed or confirmed evaluations and give them identity, priority and status."""
     hits = evaluations.where(F.col("status").isin(FINDING_STATES))
-    return (hits.withColumn("rule_status", F.col("status"))
-            .withColumn("finding_id", S.key_hash(run_id, F.col("rule_id"), F.col("target_type"),
-                                                 F.col("target_id"), F.col("qualifier")))
-            .withColumn("analysis_run_id", F.lit(run_id)).withColumn("rule_version", F.lit("1.0.0"))
-            .withColumn("anomaly_score", F.lit(0.0))
-            .withColumn("supervisory_priority", S.rounded(F.col("risk_contribution") * F.col("confidence"), 2))
-            .withColumn("risk_score", F.col("risk_contribution"))
-            .withColumn("status", F.lit("NEW"))
-            .withColumn("found_at", F.to_timestamp(F.lit(as_of))))
+    return hits.withColumns({
+        "rule_status": F.col("status"), "status": F.lit("NEW"), "analysis_run_id": F.lit(run_id), "rule_version": F.lit("1.0.0"),
+        "finding_id": S.key_hash(run_id, F.col("rule_id"), F.col("target_type"), F.col("target_id"), F.col("qualifier")),
+        "anomaly_score": F.lit(0.0), "risk_score": F.col("risk_contribution"), "found_at": F.to_timestamp(F.lit(as_of)),
+        "supervisory_priority": S.rounded(F.col("risk_contribution") * F.col("confidence"), 2)})

@@ -126,10 +126,9 @@ def attach(findings: DataFrame, items: Column, kinds: Column) -> DataFrame:
     All narrow: a finding's evidence follows from its own row, so no join is needed. The score
     needs only the types, so a plan that drops the evidence column never builds it.
     """
-    with_items = findings.withColumn("evidence", items)
-    need, have = required_types(), kinds
-    pct = S.rounded(F.size(F.array_intersect(need, have)) / F.size(need) * 100.0, 2)
-    return (with_items.withColumn("evidence_completeness", pct)
+    need = required_types()
+    pct = S.rounded(F.size(F.array_intersect(need, kinds)) / F.size(need) * 100.0, 2)
+    return (findings.withColumns({"evidence": items, "evidence_completeness": pct})
             .withColumn("confidence", F.when(F.col("evidence_completeness") < 100.0, S.rounded(
                 F.col("confidence") * (F.col("evidence_completeness") / 100.0), 4)).otherwise(F.col("confidence"))))
 

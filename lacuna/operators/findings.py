@@ -19,10 +19,9 @@ _REF = "array<struct<source_table:string,source_record_id:string,description:str
 
 
 def _finish(df: DataFrame) -> DataFrame:
-    for name in ("asset_id", "case_id", "alert_id", "investigation_id"):
-        if name not in df.columns:
-            df = df.withColumn(name, F.lit(None).cast("string"))
-    return df.withColumn("evidence_refs", F.col("evidence_refs").cast(_REF)).select(*FINDING_COLUMNS)
+    have = set(df.columns)
+    none = F.lit(None).cast("string")
+    return df.select(*[F.col(c).cast(_REF).alias(c) if c == "evidence_refs" else F.col(c) if c in have else none.alias(c) for c in FINDING_COLUMNS])
 
 
 def gap_findings(est: Estate, params: RuleParams = RULES) -> DataFrame:
@@ -53,9 +52,8 @@ def negative_findings(est: Estate, params: RuleParams = RULES) -> DataFrame:
     for rows in (negative_space.asset_evaluations(est, params), negative_space.entity_evaluations(est, params),
                  negative_space.category_evaluations(est, params)):
         hits = to_findings(rows, est.run_id, est.as_of)
-        for name, kind in _CONTEXT.items():
-            if name not in hits.columns:
-                hits = hits.withColumn(name, F.lit(None).cast(kind))
+        have = set(hits.columns)
+        hits = hits.withColumns({n: F.lit(None).cast(k) for n, k in _CONTEXT.items() if n not in have})
         hits = hits.withColumn("evidence_refs", _negative_refs())
         parts.append(_finish(evidence.attach(hits, evidence.negative_items(est.completeness, est.import_id), evidence.negative_kinds())))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])

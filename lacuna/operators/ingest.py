@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -114,10 +115,17 @@ class Ingested:
     counters: DataFrame
 
 
-def ingest(raw: DataFrame, entity: str, order_by: list[str], import_id: str, as_of: str) -> Ingested:
-    """De-duplicate, validate and split one batch of raw records."""
+def ingest(raw: DataFrame, entity: str, order_by: list[str], import_id: str, as_of: str,
+           stage: Callable[[DataFrame], DataFrame] | None = None) -> Ingested:
+    """De-duplicate, validate and split one batch of raw records.
+
+    ``stage`` may write the checked records and hand back a scan of them; both outputs and the
+    counters then read that table instead of each repeating the de-duplication.
+    """
     checked = first_records(raw, entity, order_by)
     checked = checked.withColumn("issue", issue(checked, entity))
+    if stage is not None:
+        checked = stage(checked)
     good = checked.where("issue is null")
     valid = good.select(*canonical(good, entity, as_of)) if entity in RULES else good.select("record_key")
     ref = F.coalesce(_field(checked, "id"), F.concat(F.lit("row_"), F.col("record_key")))

@@ -70,16 +70,13 @@ def entity_risk(est: Estate, findings: DataFrame, params: RiskParams = RISK) ->
     crit = asset_component(est.assets, params)
     rows = (est.entities.select(F.col("id").alias("cse_id"), F.col("name").alias("cse_name"))
             .join(scored, "cse_id", "left").join(crit, "cse_id", "left"))
-    cap = params.caps
-    bounded = lambda c, name: F.least(F.lit(cap[name]), F.greatest(F.lit(0.0), c))
-    rows = rows.withColumn("raw_asset_criticality", F.when(F.col("has_critical"), 10.0).when(F.col("has_high"), 6.0).otherwise(0.0))
-    for c in COMPONENTS:
-        rows = rows.withColumn(c, bounded(F.coalesce(F.col(f"raw_{c}"), F.lit(0.0)), c))
+    level = F.when(F.col("has_critical"), 10.0).when(F.col("has_high"), 6.0).otherwise(0.0)
+    points = {c: F.coalesce(F.col(f"raw_{c}"), F.lit(0.0)) for c in COMPONENTS[:4]} | {"asset_criticality": level}
+    rows = rows.withColumns({c: F.least(F.lit(params.caps[c]), F.greatest(F.lit(0.0), v)) for c, v in points.items()})
     raw = sum((F.col(c) for c in COMPONENTS[1:]), F.col(COMPONENTS[0]))
-    rows = (rows.withColumn("raw_score", raw)
-            .withColumn("normalized_score", S.rounded(S.clamp(F.col("raw_score")), 2))
-            .withColumn("risk_band", S.risk_band(F.col("normalized_score")))
-            .withColumn("overall_confidence", F.coalesce(S.rounded(F.col("mean_confidence"), 4), F.lit(1.0))))
+    score = S.rounded(S.clamp(raw), 2)
+    rows = rows.withColumns({"raw_score": raw, "normalized_score": score, "risk_band": S.risk_band(score),
+                             "overall_confidence": F.coalesce(S.rounded(F.col("mean_confidence"), 4), F.lit(1.0))})
     return rows.select(
         S.key_hash(F.lit(est.run_id), F.col("cse_id")).alias("risk_score_id"), F.lit(est.run_id).alias("analysis_run_id"),
         "cse_id", "cse_name", *COMPONENTS, "raw_score", "normalized_score", "risk_band", "overall_confidence",

@@ -66,8 +66,8 @@ cte("checked_alerts", "first_alerts", """SELECT *, CASE WHEN id = 'no-uuid' THEN
 _UU = "regexp_replace(md5({0}), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5')"
 
 
-def _alerts(spark, d):
-    return I.ingest(raw_alerts(spark, d), "alerts", LINE_ORDER, IMPORT_ID, AS_OF)
+def _alerts(spark, d, stage=None):
+    return I.ingest(raw_alerts(spark, d), "alerts", LINE_ORDER, IMPORT_ID, AS_OF, stage)
 
 
 @query("ingest_alerts", "checked_alerts", f"""SELECT CASE WHEN id = '' THEN {_UU.format('record_key')} ELSE id END AS id, cse_id, asset_id, category, CASE severity WHEN 'P1' THEN 'CRITICAL' WHEN ' sev-2 ' THEN 'HIGH' ELSE 'MEDIUM' END AS severity,

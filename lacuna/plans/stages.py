@@ -17,7 +17,7 @@ from lacuna.operators import findings as FD
 from lacuna.operators import graph as G
 from lacuna.operators import review_queue as Q
 from lacuna.operators import risk as R
-from lacuna.plans.lens import Estate, estate
+from lacuna.plans.lens import LensEstate
 from lacuna.session import checkpoint_dir
 
 
@@ -29,20 +29,57 @@ def written(df: DataFrame, name: str, root: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+class StoredEstate(LensEstate):
+    """Canonical tables written once and scanned from then on, as after an import."""
+
+    def __init__(self, spark: SparkSession, folder: str, root: str):
+        super().__init__(spark, folder)
+        self.root = root
+
+    def _stored(self, name: str) -> DataFrame:
+        return written(getattr(super(), name), name, self.root)
+
+    entities = cached_property(lambda self: self._stored("entities"))
+    assets = cached_property(lambda self: self._stored("assets"))
+    analysts = cached_property(lambda self: self._stored("analysts"))
+    alerts = cached_property(lambda self: self._stored("alerts"))
+    investigations = cached_property(lambda self: self._stored("investigations"))
+    escalations = cached_property(lambda self: self._stored("escalations"))
+    cases = cached_property(lambda self: self._stored("cases"))
+    closures = cached_property(lambda self: self._stored("closures"))
+    maintenance = cached_property(lambda self: self._stored("maintenance"))
+    telemetry = cached_property(lambda self: self._stored("telemetry"))
+
+    TABLES = ["entities", "assets", "analysts", "alerts", "investigations", "escalations", "cases", "closures", "maintenance", "telemetry"]
+
+    def load(self) -> None:
+        """Write all canonical tables now."""
+        for name in self.TABLES:
+            getattr(self, name)
+
+
 class AnalysisRun:
     """Stage tables of one run, each built when first asked for."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.estate: Estate = estate(spark, folder)
         self.root = f"{checkpoint_dir(spark)}/lacuna-run-{uuid.uuid4().hex}"
+        self.estate = StoredEstate(spark, folder, self.root)
 
     def _write(self, df: DataFrame, name: str) -> DataFrame:
         return written(df, name, self.root)
 
+    @cached_property
+    def gap_findings(self) -> DataFrame:
+        return self._write(FD.gap_findings(self.estate), "gap_findings")
+
+    @cached_property
+    def negative_findings(self) -> DataFrame:
+        return self._write(FD.negative_findings(self.estate), "negative_findings")
+
     @cached_property
     def findings(self) -> DataFrame:
         """Findings with their nested evidence; readers that skip the evidence never load it."""
-        return self._write(FD.findings(self.estate), "findings")
+        return self.gap_findings.unionByName(self.negative_findings)
 
     @cached_property
     def risk(self) -> DataFrame:
@@ -58,7 +95,8 @@ class AnalysisRun:
 
     @cached_property
     def case_links(self) -> DataFrame:
-        return self._write(G.case_links(self.estate, self.findings), "case_links")
+        """Only workflow findings can name a case."""
+        return self._write(G.case_links(self.estate, self.gap_findings), "case_links")
 
     @cached_property
     def nodes(self) -> DataFrame:
