@@ -75,43 +75,41 @@ def gap_items(completeness: float, import_id: str) -> Column:
                  _quality_item(completeness, import_id))
 
 
-def negative_items(completeness: float, import_id: str) -> Column:
-    """Evidence of a negative-space finding, by rule."""
-    c = F.col
-    rule = lambda r, item: F.when(c("rule_id") == r, item)
-    about_asset = F.when(c("target_type") == "Asset", _item(
-        "DIRECT_RECORD", "assets", c("asset_id"), F.lit(None), F.concat(F.lit("Asset "), c("asset_name")), "CRITICAL",
-        F.struct("asset_type", c("asset_criticality").alias("criticality"), c("asset_name").alias("name"),
-                 c("asset_status").alias("status"))))
-    about_entity = F.when(c("target_type") == "CSE", _item(
-        "DIRECT_RECORD", "cses", c("cse_id"), F.lit(None), F.concat(F.lit("Entity "), c("cse_name")), "CRITICAL",
-        F.struct(c("cse_name").alias("name"), "sector", "size_tier")))
-    subject = F.coalesce(c("asset_id"), c("cse_id"))
-    none = F.lit(None)
-    volume = F.struct(S.rounded(c("mean_daily"), 2).alias("mean_daily_volume"), c("recent_count"),
-                      S.rounded(c("std_daily"), 2).alias("std_dev"))
-    peers = F.struct("asset_type", c("peer_count").alias("peer_group_size"), c("peer_median").alias("peer_median_density"))
-    return _keep(
-        about_asset, about_entity,
-        rule("NEG-01", _item("MISSING_EXPECTED_RECORD", "alerts", F.concat(F.lit("MISSING_TELEMETRY_"), subject), none,
-                             "Expected telemetry is absent.", "CRITICAL", _absence("Regular telemetry", "48 hours"))),
-        rule("NEG-01", _item("CONTEXT_SUPPRESSION", "maintenance_logs", F.concat(F.lit("MAINT_CHECK_"), subject), none,
-                             "No maintenance or retirement explains the silence.", "HIGH",
-                             F.struct(c("asset_status"), F.lit(False).alias("maintenance_overlap")))),
-        rule("NEG-02", _item("HISTORICAL_BASELINE", "baselines", F.concat(F.lit("BASELINE_30D_"), c("cse_id")), none,
-                             "Rolling volume baseline.", "HIGH", volume)),
-        rule("NEG-02", _item("STATISTICAL_DEVIATION", "baseline_deviations", F.concat(F.lit("DEV_NEG02_"), c("cse_id")),
-                             none, "Measured volume drop.", "CRITICAL", F.struct("drop_pct", "z_score"))),
-        rule("NEG-03", _item("MISSING_EXPECTED_RECORD", "alerts", F.concat(F.lit("MISSING_CATEGORY_"), c("cse_id")), none,
-                             "Mandatory category is absent.", "CRITICAL", F.struct("expected_category"))),
-        rule("NEG-04", _item("PEER_COMPARISON", "peer_groups", F.concat(F.lit("PEER_GROUP_"), c("cse_id")), none,
-                             "Peer alert density.", "HIGH", peers)),
-        rule("NEG-04", _item("STATISTICAL_DEVIATION", "peer_deviations", F.concat(F.lit("DEV_NEG04_"), c("asset_id")),
-                             none, "Deviation from peers.", "CRITICAL", F.struct("density", "density_ratio"))),
-        rule("NEG-05", _item("CONTEXT_SUPPRESSION", "maintenance_logs", F.concat(F.lit("MAINT_AUDIT_"), c("asset_id")),
-                             none, "Silence without maintenance record.", "CRITICAL",
-                             F.struct(c("maintenance_count").alias("maintenance_logs_count")))),
-        _quality_item(completeness, import_id))
+def negative_items(completeness: float, import_id: str, rules: list[str]) -> Column:
+    """Evidence of negative-space findings; only the items of the given rules are built."""
+    c, none = F.col, F.lit(None)
+    by_rule = {
+        "NEG-01": lambda: [
+            _item("MISSING_EXPECTED_RECORD", "alerts", F.concat(F.lit("MISSING_TELEMETRY_"), c("asset_id")), none,
+                  "Expected telemetry is absent.", "CRITICAL", _absence("Regular telemetry", "48 hours")),
+            _item("CONTEXT_SUPPRESSION", "maintenance_logs", F.concat(F.lit("MAINT_CHECK_"), c("asset_id")), none,
+                  "No maintenance or retirement explains the silence.", "HIGH",
+                  F.struct(c("asset_status"), F.lit(False).alias("maintenance_overlap")))],
+        "NEG-02": lambda: [
+            _item("HISTORICAL_BASELINE", "baselines", F.concat(F.lit("BASELINE_30D_"), c("cse_id")), none, "Rolling volume baseline.", "HIGH",
+                  F.struct(S.rounded(c("mean_daily"), 2).alias("mean_daily_volume"), c("recent_count"), S.rounded(c("std_daily"), 2).alias("std_dev"))),
+            _item("STATISTICAL_DEVIATION", "baseline_deviations", F.concat(F.lit("DEV_NEG02_"), c("cse_id")), none,
+                  "Measured volume drop.", "CRITICAL", F.struct("drop_pct", "z_score"))],
+        "NEG-03": lambda: [
+            _item("MISSING_EXPECTED_RECORD", "alerts", F.concat(F.lit("MISSING_CATEGORY_"), c("cse_id")), none,
+                  "Mandatory category is absent.", "CRITICAL", F.struct("expected_category"))],
+        "NEG-04": lambda: [
+            _item("PEER_COMPARISON", "peer_groups", F.concat(F.lit("PEER_GROUP_"), c("cse_id")), none, "Peer alert density.", "HIGH",
+                  F.struct("asset_type", c("peer_count").alias("peer_group_size"), c("peer_median").alias("peer_median_density"))),
+            _item("STATISTICAL_DEVIATION", "peer_deviations", F.concat(F.lit("DEV_NEG04_"), c("asset_id")), none,
+                  "Deviation from peers.", "CRITICAL", F.struct("density", "density_ratio"))],
+        "NEG-05": lambda: [
+            _item("CONTEXT_SUPPRESSION", "maintenance_logs", F.concat(F.lit("MAINT_AUDIT_"), c("asset_id")), none,
+                  "Silence without maintenance record.", "CRITICAL", F.struct(c("maintenance_count").alias("maintenance_logs_count")))],
+    }
+    if rules[0] in ("NEG-02", "NEG-03"):
+        subject = _item("DIRECT_RECORD", "cses", c("cse_id"), none, F.concat(F.lit("Entity "), c("cse_name")), "CRITICAL",
+                        F.struct(c("cse_name").alias("name"), "sector", "size_tier"))
+    else:
+        subject = _item("DIRECT_RECORD", "assets", c("asset_id"), none, F.concat(F.lit("Asset "), c("asset_name")), "CRITICAL",
+                        F.struct("asset_type", c("asset_criticality").alias("criticality"), c("asset_name").alias("name"), c("asset_status").alias("status")))
+    own = [F.when(c("rule_id") == rule, item) for rule in rules for item in by_rule[rule]()]
+    return _keep(subject, *own, _quality_item(completeness, import_id))
 
 
 def required_types() -> Column:

@@ -30,33 +30,21 @@ def gap_findings(est: Estate, params: RuleParams = RULES) -> DataFrame:
     return _finish(evidence.attach(hits, evidence.gap_items(est.completeness, est.import_id), evidence.gap_kinds()))
 
 
-_CONTEXT = {  # columns that only some negative-space rules carry
-    "asset_id": "string", "asset_name": "string", "asset_type": "string", "asset_criticality": "string",
-    "asset_status": "string", "maintenance_count": "long", "density": "long", "density_ratio": "double",
-    "peer_count": "long", "peer_median": "double", "cse_name": "string", "sector": "string", "size_tier": "string",
-    "mean_daily": "double", "std_daily": "double", "recent_count": "long", "drop_pct": "double", "z_score": "double",
-    "expected_category": "string"}
-
-
-def _negative_refs():
-    about = F.when(F.col("target_type") == "Asset", F.array(F.struct(
-        F.lit("assets").alias("source_table"), F.col("asset_id").alias("source_record_id"),
-        F.concat(F.lit("Asset "), F.col("asset_name")).alias("description"))))
-    return about.otherwise(F.array(F.struct(
-        F.lit("cses").alias("source_table"), F.col("cse_id").alias("source_record_id"),
-        F.concat(F.lit("Entity "), F.col("cse_name")).alias("description"))))
+def _subject_ref(table: str, id_col: str, name_col: str):
+    return F.array(F.struct(F.lit(table).alias("source_table"), F.col(id_col).alias("source_record_id"), F.col(name_col).alias("description")))
 
 
 def negative_findings(est: Estate, params: RuleParams = RULES) -> DataFrame:
-    parts = []
-    for rows in (negative_space.asset_evaluations(est, params), negative_space.entity_evaluations(est, params),
-                 negative_space.category_evaluations(est, params)):
-        hits = to_findings(rows, est.run_id, est.as_of)
-        have = set(hits.columns)
-        hits = hits.withColumns({n: F.lit(None).cast(k) for n, k in _CONTEXT.items() if n not in have})
-        hits = hits.withColumn("evidence_refs", _negative_refs())
-        parts.append(_finish(evidence.attach(hits, evidence.negative_items(est.completeness, est.import_id), evidence.negative_kinds())))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    parts = [(negative_space.asset_evaluations(est, params), ["NEG-01", "NEG-04", "NEG-05"], _subject_ref("assets", "asset_id", "asset_name")),
+             (negative_space.entity_evaluations(est, params), ["NEG-02"], _subject_ref("cses", "cse_id", "cse_name")),
+             (negative_space.category_evaluations(est, params), ["NEG-03"], _subject_ref("cses", "cse_id", "cse_name"))]
+    out = None
+    for rows, rules, ref in parts:
+        hits = to_findings(rows, est.run_id, est.as_of).withColumn("evidence_refs", ref)
+        items = evidence.negative_items(est.completeness, est.import_id, rules)
+        part = _finish(evidence.attach(hits, items, evidence.negative_kinds()))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def findings(est: Estate, params: RuleParams = RULES) -> DataFrame:

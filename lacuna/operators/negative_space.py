@@ -86,10 +86,9 @@ def asset_rows(est: Estate, params: RuleParams = RULES) -> DataFrame:
                              "decommissioned_at")
     silent = (S.seconds(F.to_timestamp(F.lit(est.as_of))) - S.seconds(F.col("last_seen"))) / 3600.0
     return (base.join(seen, "asset_id", "left").join(dens, "asset_id", "left").join(maint, "asset_id", "left")
-            .withColumn("maintenance_count", F.coalesce("maintenance_count", F.lit(0)).cast("long"))
-            .withColumn("silence_hours", silent)
-            .withColumn("density_ratio", F.when(_c("peer_median") > 0, _c("density") / _c("peer_median"))
-                        .when(_c("peer_median").isNotNull(), F.lit(1.0))))
+            .withColumns({"maintenance_count": F.coalesce("maintenance_count", F.lit(0)).cast("long"), "silence_hours": silent,
+                          "density_ratio": F.when(_c("peer_median") > 0, _c("density") / _c("peer_median"))
+                          .when(_c("peer_median").isNotNull(), F.lit(1.0))}))
 
 
 def _retired() -> Column:
