@@ -34,6 +34,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not configured and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         current = configured or tempfile.mkdtemp(prefix="lacuna-ckpt-")
         spark.sparkContext.setCheckpointDir(current)
     return configured or current
