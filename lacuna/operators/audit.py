@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from lacuna.functions import scalar as S
 from lacuna.params import GENESIS_HASH
 
-BLOCK = 512
+BLOCK = 128
 PAYLOAD = ["action", "actor_role", "before_after", "correlation_id", "entity_id", "entity_type", "metadata", "status", "ts", "user_id"]
 
 

@@ -21,12 +21,15 @@ def audit_events(spark, d):
                     none.alias("correlation_id"), none.alias("before_after"), F.col("props").alias("metadata"))
 
 
-cte("audit_events", "", """SELECT event_id AS seq, ts AS timestamp, 'USR-' || user_id AS user_id, upper(event_type) AS action, CASE WHEN event_type = 'error' THEN 'FAILURE' ELSE 'SUCCESS' END AS status, event_id // 512 AS pos,
+cte("audit_events", "", """SELECT event_id AS seq, ts AS timestamp, 'USR-' || user_id AS user_id, upper(event_type) AS action, CASE WHEN event_type = 'error' THEN 'FAILURE' ELSE 'SUCCESS' END AS status, event_id // 128 AS pos,
  to_json(struct_pack("action" := upper(event_type), actor_role := 'EXAMINER', before_after := '{}', correlation_id := NULL::varchar, entity_id := cast(event_id as varchar), entity_type := 'Event', metadata := coalesce(props, '{}'),
  status := CASE WHEN event_type = 'error' THEN 'FAILURE' ELSE 'SUCCESS' END, ts := strftime(ts, '%Y-%m-%dT%H:%M:%SZ'), user_id := 'USR-' || user_id))::varchar AS payload FROM events""")
 cte("audit_blocks", "audit_events", "SELECT pos, sha256(string_agg(sha256(payload), '' ORDER BY seq)) AS digest FROM audit_events GROUP BY pos")
-cte("audit_anchors", "audit_blocks", f"""SELECT pos, CASE WHEN before IS NULL THEN '{GENESIS_HASH}' ELSE sha256('/' || before) END AS anchor FROM
- (SELECT b.pos, (SELECT sha256(string_agg(digest, '' ORDER BY p.pos)) FROM audit_blocks p WHERE p.pos < b.pos HAVING count(*) > 0) AS before FROM audit_blocks b)""")
+_BEFORE = lambda src, same: f"coalesce((SELECT sha256(string_agg(digest, '' ORDER BY p.pos)) FROM {src} p WHERE p.pos < b.pos{same} HAVING count(*) > 0), '')"
+cte("audit_groups", "audit_blocks", "SELECT pos // 128 AS pos, sha256(string_agg(digest, '' ORDER BY pos)) AS digest FROM audit_blocks GROUP BY 1")
+cte("audit_trails", "audit_blocks audit_groups", f"""SELECT x.pos, '/' || x.before || CASE WHEN (SELECT max(pos) FROM audit_blocks) >= 128 THEN '/' || g.before ELSE '' END AS trail FROM
+ (SELECT b.pos, {_BEFORE('audit_blocks', ' AND p.pos // 128 = b.pos // 128')} AS before FROM audit_blocks b) x JOIN (SELECT b.pos, {_BEFORE('audit_groups', '')} AS before FROM audit_groups b) g ON g.pos = x.pos // 128""")
+cte("audit_anchors", "audit_trails", f"""SELECT pos, CASE WHEN replace(trail, '/', '') = '' THEN '{GENESIS_HASH}' ELSE sha256(trail) END AS anchor FROM audit_trails""")
 cte("audit_numbered", "audit_events", "SELECT *, row_number() OVER (PARTITION BY pos ORDER BY seq) AS i FROM audit_events")
 cte("audit_chain", "audit_numbered audit_anchors", """SELECT n.pos, i, seq, anchor AS previous_hash, sha256(anchor || payload) AS integrity_hash FROM audit_numbered n JOIN audit_anchors a ON a.pos = n.pos WHERE i = 1
  UNION ALL SELECT n.pos, n.i, n.seq, c.integrity_hash, sha256(c.integrity_hash || n.payload) FROM audit_chain c JOIN audit_numbered n ON n.pos = c.pos AND n.i = c.i + 1""")

@@ -31,7 +31,7 @@ def report_executive(spark, d):
     return _executive(spark, d)
 
 
-@query("report_top_gaps", "findings technique_map", """SELECT cse_id, place, finding_id, f.rule_id, severity, supervisory_priority, technique_id FROM (SELECT *, row_number() OVER (PARTITION BY cse_id ORDER BY supervisory_priority DESC, finding_id) AS place FROM findings) f
+@query("report_top_gaps", "findings technique_map", """SELECT cse_id, CAST(place AS INT) AS place, finding_id, f.rule_id, severity, supervisory_priority, technique_id FROM (SELECT *, row_number() OVER (PARTITION BY cse_id ORDER BY supervisory_priority DESC, finding_id) AS place FROM findings) f
  LEFT JOIN technique_map t ON t.rule_id = f.rule_id WHERE place <= 5""")
 def report_top_gaps(spark, d):
     return RP.top_gaps(analysis(spark, d).findings, technique_map(spark, d)).select("cse_id", "place", "finding_id", "rule_id", "severity", "supervisory_priority", "technique_id")

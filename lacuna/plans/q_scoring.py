@@ -60,7 +60,7 @@ from lacuna.plans.ctes import CTES  # noqa: E402
 CTES["refs"][0].extend(["escalations", "closures"])
 
 
-@query("risk_explanation_refs", "refs", """SELECT cse_id, rn AS ref_rank, finding_id, source_table, source_record_id FROM (SELECT *, row_number() OVER (PARTITION BY cse_id ORDER BY finding_id, position) AS rn FROM refs) WHERE rn <= 10""")
+@query("risk_explanation_refs", "refs", """SELECT cse_id, CAST(rn AS INT) AS ref_rank, finding_id, source_table, source_record_id FROM (SELECT *, row_number() OVER (PARTITION BY cse_id ORDER BY finding_id, position) AS rn FROM refs) WHERE rn <= 10""")
 def risk_explanation_refs(spark, d):
     return R.explanation_refs(R.contributions(analysis(spark, d).findings))
 
@@ -88,7 +88,7 @@ cte("greedy", "ordered", """SELECT 0::BIGINT AS pos, []::varchar[] AS cses, []::
  UNION ALL SELECT pick.pos, list_append(g.cses, pick.cse_id), list_append(g.cats, pick.rule_category) FROM greedy g, LATERAL (SELECT o.pos, o.cse_id, o.rule_category FROM ordered o
  WHERE o.pos > g.pos AND len(list_filter(g.cses, lambda x: x = o.cse_id)) < 2 AND len(list_filter(g.cats, lambda x: x = o.rule_category)) < 3 ORDER BY o.pos LIMIT 1) pick""")
 cte("queue", "ordered greedy", f"""SELECT *, {key(RUN_SQL, 'finding_id')} AS queue_item_id, {_BAND('priority_score', 'MEDIUM')} AS priority_band FROM (
- SELECT *, row_number() OVER (ORDER BY pos) AS rank FROM (
+ SELECT *, CAST(row_number() OVER (ORDER BY pos) AS INT) AS rank FROM (
  SELECT o.*, 1 AS selection_pass FROM ordered o WHERE pos IN (SELECT pos FROM greedy WHERE pos > 0)
  UNION ALL SELECT * FROM (SELECT o.*, 2 AS selection_pass FROM ordered o WHERE pos NOT IN (SELECT pos FROM greedy) ORDER BY pos LIMIT (SELECT greatest(0, 10 - (count(*) - 1)) FROM greedy))))""")
 _C = "finding_id, rule_id, cse_id, rule_category, priority_score, entity_risk, " + ", ".join(f"factor_{f}" for f in Q.FACTORS)
