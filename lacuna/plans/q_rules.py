@@ -197,7 +197,7 @@ def asset_activity(spark, d):
     return N.asset_activity(estate(spark, d).telemetry).select("asset_id", "alert_count", S.iso(F.col("last_seen")).alias("last_seen"))
 
 
-@query("peer_median", "density peer_med", "SELECT d.asset_id, density, peer_count, peer_median FROM density d LEFT JOIN peer_med p ON p.asset_id = d.asset_id")
+@query("peer_median", "density peer_med", "SELECT d.asset_id, density, coalesce(peer_count, CASE WHEN d.status = 'ACTIVE' THEN 0 END) AS peer_count, peer_median FROM density d LEFT JOIN peer_med p ON p.asset_id = d.asset_id")
 def peer_median(spark, d):
     est = estate(spark, d)
     return N.peer_medians(est.assets, N.asset_activity(est.alerts).select("asset_id", "alert_count"))
