@@ -4,7 +4,8 @@
 2. Two Bloom filters over the first half of the hash: seen once, seen twice. A few builders read the hashes; where two builders
    have both seen a key once, the merged filter has it twice. The filters are cut into segments and each segment is merged by itself.
 3. Only keys in the seen-twice filter are shuffled: exact counts of documents per 128-bit key, and the largest doc_id.
-4. Documents that lose lines meet their keys by doc_id; only their texts pass through Python again.
+4. Documents meet the keys they lose by doc_id, in one merge join at every size (a hot id can be split); only texts that lose lines pass
+   through Python again.
 
 The filter has about ``BITS_PER_KEY`` bits per key up to ``MAX_FILTER_BYTES``, the bound of what is sent to every worker.
 Beyond it more keys are suspected and shuffled; results don't change.
@@ -173,7 +174,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
 
     A null text counts as empty and comes back empty. ``n_chars``, where it is a column, follows the text."""
     drops = stage(dropped_keys(docs, min_chars, min_docs), "drops")
-    joined = docs.join(drops.select(F.col("drop_id").alias("__drop_id"), F.col("lost").alias("__lost")), F.col("doc_id").eqNullSafe(F.col("__drop_id")), "left")
+    joined = docs.hint("merge").join(drops.select(F.col("drop_id").alias("__drop_id"), F.col("lost").alias("__lost")), F.col("doc_id").eqNullSafe(F.col("__drop_id")), "left")
     text = F.coalesce(F.col("text"), F.lit(""))
     joined = joined.withColumn("__new", _rewrite(min_chars)(F.when(F.col("__lost").isNotNull(), text), F.col("__lost")))
     kept = F.coalesce(F.col("__new.text"), text)

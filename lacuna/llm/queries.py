@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from lacuna.llm import line_dedup, mixing
+from lacuna.llm import bpe, line_dedup, mixing, ordering, quality, shuffle, toxicity
 
 QUERIES = {
+    "op1_training_order": ordering.query,
+    "op3_quality_outliers": quality.query,
+    "op4_toxicity_rnn": toxicity.query,
+    "op5_byte_bpe": bpe.query,
+    "op6_external_shuffle": shuffle.query,
     "op8_source_mixing": mixing.query,
     "op9_line_dedup": line_dedup.query,
 }
