@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from lacuna.llm.common import table
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
-REMEMBERED = 250_000
+REMEMBERED = 120_000
 ODD_SPACE = re.compile(r"[^\S \n]|  |\n\n| \n|\n |^[ \n]|[ \n]\Z")
 
 
@@ -133,13 +133,13 @@ class Codec:
         left, right, whole = tables.pairs.T
         self.merged = dict(zip((left << 20 | right).tolist(), whole.tolist(), strict=True))
         self.pieces = regex.compile(tables.pattern).findall
-        self.plain = Remembered(self._chunk, REMEMBERED // 2)
+        self.plain = Remembered(self._chunk, REMEMBERED // 4)
         self.spaced = Remembered(lambda chunk: self._chunk(" " + chunk))
-        self.whole = Remembered(lambda text: tuple(self.piece(text)), REMEMBERED // 4)
+        self.whole = Remembered(lambda text: tuple(self.piece(text)))
         self.digits = [str(i) for i in range(len(self.tokens))]
 
     def _chunk(self, chunk: str) -> tuple[int, ...]:
-        return tuple(chain.from_iterable(map(self.piece, self.pieces(chunk))))
+        return tuple(chain.from_iterable(map(self.whole.__getitem__, self.pieces(chunk))))
 
     def piece(self, text: str) -> tuple[int, ...] | list[int]:
         """Ids of one pre-token."""
@@ -149,22 +149,23 @@ class Codec:
 
     def merge(self, data: bytes) -> list[int]:
         """Merge bytes by rank, leftmost first among equal ranks."""
-        merged, ids, n = self.merged, [self.byte_ids[b] for b in data], len(data)
+        find, ids, n = self.merged.get, [self.byte_ids[b] for b in data], len(data)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, k) for k in range(n - 1) if (r := merged.get(ids[k] << 20 | ids[k + 1])) is not None]
+        heap = [r << 32 | k for k in range(n - 1) if (r := find(ids[k] << 20 | ids[k + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            r, k = heapq.heappop(heap)
-            if ids[k] < 0 or (j := after[k]) >= n or merged.get(ids[k] << 20 | ids[j]) != r:
+            top = heapq.heappop(heap)
+            r, k = top >> 32, top & 0xFFFFFFFF
+            if ids[k] < 0 or (j := after[k]) >= n or find(ids[k] << 20 | ids[j]) != r:
                 continue
             ids[k], ids[j] = r, -1
             after[k] = m = after[j]
             if m < n:
                 before[m] = k
-                if (x := merged.get(r << 20 | ids[m])) is not None:
-                    heapq.heappush(heap, (x, k))
-            if (p := before[k]) >= 0 and (x := merged.get(ids[p] << 20 | r)) is not None:
-                heapq.heappush(heap, (x, p))
+                if (x := find(r << 20 | ids[m])) is not None:
+                    heapq.heappush(heap, x << 32 | k)
+            if (p := before[k]) >= 0 and (x := find(ids[p] << 20 | r)) is not None:
+                heapq.heappush(heap, x << 32 | p)
         return [i for i in ids if i >= 0]
 
     def encode(self, text: str | None) -> list[int]:
