@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from lacuna.llm import bpe, line_dedup, mixing, ordering, quality, shuffle, toxicity
+from lacuna.llm import bpe, chosen_path, grid_join, lattice_lm, line_dedup, mixing, ordering, quality, shuffle, toxicity
 
 QUERIES = {
     "op1_training_order": ordering.query,
+    "op2_grid_order_join": grid_join.query,
     "op3_quality_outliers": quality.query,
     "op4_toxicity_rnn": toxicity.query,
     "op5_byte_bpe": bpe.query,
     "op6_external_shuffle": shuffle.query,
+    "op7_chosen_path_join": chosen_path.query,
     "op8_source_mixing": mixing.query,
     "op9_line_dedup": line_dedup.query,
+    "op10_lattice_lm": lattice_lm.query,
 }
 ORACLES = {
     "op8_source_mixing": mixing.SQL,
