@@ -1,16 +1,34 @@
-"""The corpus pipeline: stages over the documents table, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages over the documents table, each written as Parquet and read again by the next.
+
+Toxic documents go, lines that many documents share stay in one of them, one document of each near-duplicate group stays, sources
+are repeated or thinned to their target weights, and what is left is encoded. Every stage works on all rows that the one
+before it kept; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lacuna.llm import line_dedup, mixing
+from lacuna.llm import bpe, chosen_path, line_dedup, mixing, toxicity
 from lacuna.llm.common import stage, table
 
 
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the network, trained on the learning folds of the labels, scores below the threshold."""
+    net = toxicity.trained(docs, table(spark, sf_dir, "labels"), toxicity.learning_rows(F.col("doc_id")))
+    return toxicity.scored(docs, net).where(F.col("__score") < toxicity.THRESHOLD).select(*[docs[c] for c in docs.columns])
+
+
 def without_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that many documents share stay in one of them; every document stays."""
-    return line_dedup.dedup_lines(docs).select(*docs.columns)
+    """Lines that many documents share stay in one of them; every document stays, with what is left of its text."""
+    out = line_dedup.dedup_lines(docs)
+    return out.select(*[out[c] for c in docs.columns])
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, and all documents outside groups."""
+    return chosen_path.one_of_each(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,9 +36,18 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs)
 
 
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text: doc_id, source, n_tokens and ids."""
+    out = bpe.encode_documents(docs)
+    return out.select("doc_id", "source", F.size("__ids").cast("long").alias("n_tokens"), F.col("__ids").alias("ids"))
+
+
 STAGES = [
+    ("toxicity", without_toxic),
     ("line_dedup", without_shared_lines),
+    ("ngram_join", without_near_copies),
     ("mixing", mixed),
+    ("byte_bpe", encoded),
 ]
 
 
@@ -32,5 +59,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: The first stage scores with a trained model, which SQL can't express; the tests hold each stage against plain Python.
+#: The first stage scores with a trained network, which SQL can't express; the tests hold each stage against plain Python.
 ORACLE_SQL = None
