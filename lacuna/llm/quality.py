@@ -18,6 +18,7 @@ verdicts; a group of one text takes its language's estimate; an empty table give
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -31,12 +32,12 @@ WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
 PUNCT = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 BLANK = SPACE.encode()
-COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_punct", "n_upper", "n_digits", "n_distinct", "n_lines"]
-FEATURES = ["length", "symbols", "punct", "upper", "digits", "repeats", "dup_lines"]
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_punct", "n_upper", "n_digits", "n_adjacent"]
+FEATURES = ["length", "symbols", "punct", "upper", "digits", "adjacent", "repeats"]
 P = len(FEATURES)
 STEPS = 5
 SHARE = 0.75
-FLOOR = np.array([0.05, 0.03, 0.04, 0.04, 0.03, 0.04, 0.04])
+FLOOR = np.array([0.1, 0.05, 0.06, 0.06, 0.2, 0.1, 0.35])  # repeats are for the base rules, digits often belong to clean texts
 BORROW = 30.0
 CUT = 10.0
 
@@ -74,7 +75,7 @@ def text_counts(texts: list[str], codes: WordCodes) -> pd.DataFrame:
         plain = dense.translate(None, PUNCT)
         upper = sum(map(str.isupper, text)) if not text.isascii() else len(plain) - len(plain.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
         rows.append((len(own), len(text) - len(data) + len(dense), len(dense) - len(dense.translate(None, SYMBOLS)), len(lines) - len(set(lines)), 0,
-                     len(dense) - len(plain), upper, len(plain) - len(plain.translate(None, b"0123456789")), len(set(own)), len(lines)))
+                     len(dense) - len(plain), upper, len(plain) - len(plain.translate(None, b"0123456789")), sum(map(eq, own[1:], own))))
     out = pd.DataFrame(rows, columns=COUNTS)
     ends = np.cumsum([len(w) for w in words])
     out["n_repeat_words"] = repeated_words(np.concatenate(words), ends) if words else 0
@@ -104,7 +105,7 @@ def features() -> list[Column]:
         return F.asin(F.sqrt(F.least(F.col(part) / F.greatest(F.col(whole), F.lit(1)), F.lit(1.0))))
     chars = "word_chars"
     return [F.log(F.col("word_chars") / F.greatest(F.col("n_words"), F.lit(1))), share("n_symbols", chars), share("n_punct", chars), share("n_upper", chars),
-            share("n_digits", chars), share("n_repeat_words", "n_words"), share("n_dup_lines", "n_lines")]
+            share("n_digits", chars), share("n_adjacent", "n_words"), share("n_repeat_words", "n_words")]
 
 
 def _starts(vectors: DataFrame) -> DataFrame:
