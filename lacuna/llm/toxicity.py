@@ -40,7 +40,9 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 128 and not chr(c).isalnum(
 
 
 def words_of(text: str) -> list[bytes]:
-    return text.lower().encode("utf-8", "surrogatepass").translate(LOWER).split()
+    """Words in lower case without ASCII punctuation; one that follows itself is read once."""
+    words = text.lower().encode("utf-8", "surrogatepass").translate(LOWER).split()
+    return [w for w, before in zip(words, [b"", *words], strict=False) if w != before]
 
 
 def ngram_rows(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -95,17 +97,13 @@ class Network:
             "a": rng.normal(0, 0.3, (2 * h, ATTENTION)).astype(f), "v": rng.normal(0, 0.3, ATTENTION).astype(f),
             "o": rng.normal(0, 0.3, 2 * h).astype(f), "c": np.full(1, -1, f),
         }
-        self.live = np.ones((NGRAM_ROWS, 1), f)
         self.constant = None
 
     def vectors(self, word_rows: np.ndarray, rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        grams = (self.p["ngram"] * self.live)[rows] if len(rows) < NGRAM_ROWS else self._scaled()[rows]
+        grams = self.p["ngram"][rows]
         starts = np.cumsum(counts) - counts
         return self.p["word"][word_rows] + (np.add.reduceat(grams, starts, axis=0) / counts[:, None]).astype(np.float32)
 
-    def _scaled(self) -> np.ndarray:
-        return self.p["ngram"] * self.live
-
     def word_rows(self, words: list[bytes]) -> np.ndarray:
         return np.array([self.words.get(w, 0) for w in words], np.int64)
 
@@ -158,7 +156,7 @@ class Network:
         dhid = dscore[..., None] * p["v"] * (1 - hidden ** 2)
         g["a"] = np.einsum("tnh,tna->ha", flat, dhid)
         dflat = (dflat + dhid @ p["a"].T).reshape(WINDOW, n, 2, h)
-        g["u"], g["gates"] = np.zeros_like(p["u"]), np.zeros((n_rows, 2, 3 * h), np.float32)
+        g["u"], dx = np.zeros_like(p["u"]), np.zeros((WINDOW, n, 2, 3 * h), np.float32)
         down = np.zeros((n, 2, h), np.float32)
         for t in reversed(range(WINDOW)):
             now, real, before, hun, r, z, c = keep["steps"][t]
@@ -166,13 +164,18 @@ class Network:
             dc = down * (1 - z) * (1 - c ** 2)
             dz = down * (before - c) * z * (1 - z)
             dr = dc * hun * r * (1 - r)
-            dx = np.concatenate([dr, dz, dc], axis=2) * real
+            dx[t] = np.concatenate([dr, dz, dc], axis=2) * real
             dhu = np.concatenate([dr, dz, dc * r], axis=2) * real
             down = np.where(real, down * z, down)
             for k in range(2):
                 g["u"][k] += before[:, k].T @ dhu[:, k]
                 down[:, k] += dhu[:, k] @ p["u"][k].T
-                np.add.at(g["gates"][:, k], now[:, k], dx[:, k])
+        g["gates"] = np.zeros((n_rows, 2, 3 * h), np.float32)
+        for k in range(2):
+            rows = np.concatenate([step[0][:, k] for step in keep["steps"]])
+            order = np.argsort(rows, kind="stable")
+            own, start = np.unique(rows[order], return_index=True)
+            g["gates"][own, k] = np.add.reduceat(dx[:, :, k].reshape(-1, 3 * h)[order], start, axis=0)
         g["gates"] = g["gates"].reshape(n_rows, 6 * h)
         return g
 
@@ -194,13 +197,13 @@ class Trainer:
         self.rows, self.counts = ngram_rows(self.vocab) if self.vocab else (np.empty(0, np.int64), np.empty(0, np.int64))
         self.first = np.cumsum(self.counts) - self.counts
         texts_with = np.bincount(self.rows, weights=np.repeat([seen[w] for w in self.vocab], self.counts), minlength=NGRAM_ROWS)
-        self.net.live = (texts_with >= 2 * MIN_TEXTS).astype(np.float32)[:, None]
+        self.live = (texts_with >= 2 * MIN_TEXTS).astype(np.float32)[:, None]  # other n-grams keep a zero vector
         self.word_rows = self.net.word_rows(self.vocab)
         self.at, self.owner = cut([np.array([number[w] for w in own], np.int64) for own in words])
         self.rng = np.random.default_rng(11)
         self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.net.p.items() if k not in ("word", "ngram")}
         self.squares = {k: np.full((len(self.net.p[k]), 1), 1e-6, np.float32) for k in ("word", "ngram")}
-        self.step = 0
+        self.step, self.rate = 0, RATE
 
     def _grams(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = self.counts[some]
@@ -230,9 +233,9 @@ class Trainer:
             m, v = self.moments[k]
             m += 0.1 * (grad - m)
             v += 0.001 * (grad ** 2 - v)
-            p[k] -= (RATE * 0.25 * (m / (1 - 0.9 ** self.step)) / (np.sqrt(v / (1 - 0.999 ** self.step)) + 1e-8)).astype(np.float32)
+            p[k] -= (self.rate * 0.25 * (m / (1 - 0.9 ** self.step)) / (np.sqrt(v / (1 - 0.999 ** self.step)) + 1e-8)).astype(np.float32)
         self._rows("word", self.word_rows[some], dx)
-        self._rows("ngram", rows, np.repeat(dx / n[:, None], n, axis=0) * net.live[rows])
+        self._rows("ngram", rows, np.repeat(dx / n[:, None], n, axis=0) * self.live[rows])
         p["word"][0] = 0
 
     def _rows(self, name: str, rows: np.ndarray, grad: np.ndarray) -> None:
@@ -240,7 +243,7 @@ class Trainer:
         own, start = np.unique(rows[order], return_index=True)
         total = np.add.reduceat(grad[order], start, axis=0)
         self.squares[name][own] += (total ** 2).mean(axis=1, keepdims=True)
-        self.net.p[name][own] -= 5 * RATE * total / np.sqrt(self.squares[name][own])
+        self.net.p[name][own] -= 5 * self.rate * total / np.sqrt(self.squares[name][own])
 
     def gates(self) -> np.ndarray:
         out = [np.zeros((1, 6 * HIDDEN), np.float32)]
@@ -275,16 +278,24 @@ class Trainer:
                 order = self.rng.permutation(np.concatenate([order, order[weight]]))  # toxic windows twice
                 for i in range(0, len(order), BATCH):
                     self.batch(self.at[order[i:i + BATCH]], y[order[i:i + BATCH]])
+            self.rate = RATE if r < ROUNDS - 2 else RATE / 4
+        self.calibrate()
         return self.net
 
+    def calibrate(self) -> None:
+        """Move the bias so that THRESHOLD lies between the scores of nearly all clean and nearly all toxic texts of the sample.
+
+        It lies nearer the toxic ones, as the network has seen the sample's clean words and others vary more."""
+        score = np.maximum.reduceat(logits(self.net, self.gates(), self.at), np.searchsorted(self.owner, np.arange(len(self.toxic))))
+        clean, toxic = np.quantile(score[self.toxic == 0], 0.995), np.quantile(score[self.toxic == 1], 0.01)
+        self.net.p["c"] += np.float32(np.log(THRESHOLD / (1 - THRESHOLD)) - (0.3 * clean + 0.7 * toxic))
+
 
 class Scorer:
     """Applies a network in one worker; what words add to the gates is remembered for recent words."""
 
     def __init__(self, net: Network):
         self.net = net
-        net.p["ngram"] = net.p["ngram"] * net.live
-        net.live = np.ones((1, 1), np.float32)
         self.known: dict[bytes, int] = {}
         self.gates = np.zeros((1, 6 * HIDDEN), np.float32)
 
