@@ -36,8 +36,8 @@ THRESHOLD = (4, 5)
 COORDINATES = 64
 BRANCHES = 2.0
 DEPTH = 3
-LEAF = 256
-BLOCK = 512
+LEAF = 1024
+BLOCK = 1024
 RECALL = 0.9999
 SLACK = 4.2
 _RNG = np.random.Generator(np.random.Philox(17))
@@ -79,6 +79,11 @@ def sketch(s: np.ndarray) -> bytes:
     return low.astype(np.uint16).tobytes()
 
 
+def brief(tokens: bytes) -> bytes:
+    """A byte per coordinate of a sketch, enough to compare: two different elements agree once in 256."""
+    return np.frombuffer(tokens, np.uint16).astype(np.uint8).tobytes()
+
+
 def _keyed(with_sketch: bool):
     def keyed(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         codes = WordCodes()
@@ -87,9 +92,10 @@ def _keyed(with_sketch: bool):
             for some in batches(texts):
                 for text in some:
                     s = shingles(text, codes)
-                    rows.append((len(s), *set_key(s), sketch(s) if with_sketch else None))
-            yield pd.DataFrame(rows, columns=["n_shingles", "k1", "k2", "sketch"])
-    return F.pandas_udf(keyed, "n_shingles long, k1 long, k2 long, sketch binary")
+                    tokens = sketch(s) if with_sketch else None
+                    rows.append((len(s), *set_key(s), tokens, tokens and brief(tokens)))
+            yield pd.DataFrame(rows, columns=["n_shingles", "k1", "k2", "sketch", "brief"])
+    return F.pandas_udf(keyed, "n_shingles long, k1 long, k2 long, sketch binary, brief binary")
 
 
 def _picked(paths: np.ndarray) -> np.ndarray:
@@ -221,7 +227,7 @@ def _open_pairs(group: pa.Table) -> np.ndarray:
 def _likely(least: int):
     def likely(it):
         for group in _groups(it):
-            tokens = _sketches(group["sketch"].to_pylist())
+            tokens = np.frombuffer(b"".join(group["brief"].to_pylist()), np.uint8).reshape(-1, COORDINATES)
             n = len(tokens)
             near = np.zeros((n, n), bool)
             for k in range(n - 1):
@@ -289,12 +295,14 @@ def near_groups(docs: DataFrame, runs: int | None = None, leaf: int = LEAF, bloc
     docs = docs.select("doc_id", "text")
     keyed = stage(docs.select("doc_id", _keyed(True)("text").alias("s")).select("doc_id", "s.*"), "keyed")
     found = keyed.where("n_shingles > 0")
-    classes = found.groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch"))
+    classes = found.groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch"), F.first("brief").alias("brief"))
     classes = stage(stage(classes, "classes").withColumn("cid", F.monotonically_increasing_id()), "classes")
     leaves = _leaves(classes, runs or runs_needed(similarity=THRESHOLD[0] / THRESHOLD[1], depth=depth), leaf, depth)
     lists = leaves.groupBy("cid").agg(F.collect_list(F.struct("path", "size")).alias("at"))
-    members = lists.join(classes.select("cid", "sketch", "copies"), "cid")
-    members = members.select("cid", "sketch", "copies", F.col("at.path").alias("leaves"), F.explode("at").alias("own")).select("cid", "sketch", "copies", "leaves", "own.*")
+    members = lists.join(classes.select("cid", "brief", "copies"), "cid")
+    members = members.select("cid", "brief", "copies", F.col("at.path").alias("all"), F.explode("at").alias("own"))
+    earlier = F.filter("all", lambda p: p < F.col("own.path"))  # all that a leaf needs to know of the others
+    members = members.select("cid", "brief", "copies", earlier.alias("leaves"), "own.*")
     s = THRESHOLD[0] / THRESHOLD[1]
     least = math.floor(COORDINATES * s - SLACK * math.sqrt(COORDINATES * s * (1 - s)))
     kept = "path long, i int, j int, side int, cid long, copies long, leaves array<long>"
