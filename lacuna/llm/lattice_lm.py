@@ -1,9 +1,11 @@
 """Language-model score of whole texts: a subword lattice whose segmentations are all weighed.
 
 The pieces and their order of merit come from an existing vocabulary; their scores give the first probabilities (a Zipf law of the rank
-that a score states). Expectation steps over the words of the learning texts, each distinct word once with its count, move them to
-the corpus, with the first probabilities as prior. The probability of a word is the sum over all segmentations, by a forward
-recursion in log space; words are independent, so a text's score is the sum over its words and one end.
+that a score states). Expectation steps over the distinct words of the learning texts move them to the corpus, with the first
+probabilities as prior. The probability that pieces give a word is the sum over all segmentations, by a forward recursion in log space.
+A word of the learning texts is one more arc over its whole lattice, as likely as it is frequent; the share left to spelling by pieces is that
+of new words in the learning texts (types over tokens and types). Words are independent, so a text's score is the sum over its
+words and one end, which is a token too.
 
 On Spark: distinct words are counted per task and summed by one shuffle, which grows with the corpus. Each distinct word passes the lattice
 once per step, wherever it lies. Words are then sent back to the texts in two ways: those above a count that at most ``FREQUENT``
@@ -30,6 +32,7 @@ from lacuna.llm.common import batches, id_remainder, stage, table, word_hash
 
 PIECES = "piece_bpe_32k.model"
 STEPS = 2
+SPELLED_END = 0.01
 PRIOR = 2000.0
 FREQUENT = 150_000
 HELD = 250_000
@@ -121,7 +124,7 @@ class Lattice:
 
 
 class Vocabulary:
-    """Pieces of a public model, the piece of each byte, the end, and first probabilities from the scores."""
+    """Pieces of a public model, the piece of each byte, and first probabilities from the scores."""
 
     def __init__(self, path: str | None = None):
         import public_tokenizers
@@ -132,19 +135,17 @@ class Vocabulary:
         ordinary = [not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)) for i in range(n)]
         self.pieces = [sp.id_to_piece(i) if ordinary[i] else "" for i in range(n)]
         self.bytes = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(n) if sp.is_byte(i)}
-        self.end = n
-        weight = np.zeros(n + 1)
+        weight = np.zeros(n)
         for i in range(n):
             if ordinary[i]:
                 weight[i] = 1 / (10.0 - sp.get_score(i))
             elif sp.is_byte(i):
                 weight[i] = 1 / (10.0 + n)
-        weight[self.end] = weight.max()
         self.first = weight / weight.sum()
 
     def lattice(self, p: np.ndarray) -> Lattice:
         with np.errstate(divide="ignore"):
-            return Lattice(self.pieces, self.bytes, np.log(p[:-1]))
+            return Lattice(self.pieces, self.bytes, np.log(p))
 
 
 def word_counts(docs: DataFrame, learn: Column) -> DataFrame:
@@ -168,8 +169,10 @@ def word_counts(docs: DataFrame, learn: Column) -> DataFrame:
     return stage(parts.groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n")), "words")
 
 
-def fitted(counts: DataFrame, ends: int, vocabulary: Vocabulary, steps: int = STEPS) -> np.ndarray:
-    """Probabilities of all pieces and the end after ``steps`` expectation steps over the counted words."""
+def fitted(counts: DataFrame, vocabulary: Vocabulary, steps: int = STEPS) -> np.ndarray:
+    """Probabilities of all pieces after ``steps`` expectation steps over the distinct words of the learning texts.
+
+    Each distinct word counts once: pieces have to spell new words, and those are like types, not like tokens."""
     p = vocabulary.first
     for _ in range(steps):
         shared = counts.sparkSession.sparkContext.broadcast((vocabulary, p))
@@ -178,21 +181,26 @@ def fitted(counts: DataFrame, ends: int, vocabulary: Vocabulary, steps: int = ST
             voc, p = shared.value
             lattice, into = voc.lattice(p), np.zeros(len(p))
             for pdf in it:
-                for word, c in zip(pdf["word"], pdf["c"], strict=True):
-                    lattice.expect(bytes(word), float(c), into)
+                for word in pdf["word"]:
+                    lattice.expect(bytes(word), 1.0, into)
             some = np.flatnonzero(into)
             yield pd.DataFrame({"piece": some, "e": into[some]})
-        rows = counts.where("c > 0").select("word", "c").mapInPandas(expected, "piece long, e double")
+        rows = counts.where("c > 0").select("word").mapInPandas(expected, "piece long, e double")
         total = np.zeros(len(p))
         for r in rows.groupBy("piece").agg(F.sum("e").alias("e")).collect():  # a row per piece at most
             total[r["piece"]] = r["e"]
-        total[vocabulary.end] = ends
         p = (total + PRIOR * vocabulary.first) / (total.sum() + PRIOR)
     return p
 
 
-def _scored_words(counts: DataFrame, vocabulary: Vocabulary, p: np.ndarray) -> DataFrame:
-    """Each distinct word with its hash, its count and the log10 of its lattice probability."""
+def mixed(c, spelled, n: int, v: int):
+    """log10 of the probability of tokens: by count ``c`` of ``n`` tokens and ``v`` types, or spelled (natural log)."""
+    with np.errstate(divide="ignore"):
+        return np.logaddexp(np.log(np.asarray(c, np.float64)) - math.log(n + v), np.asarray(spelled, np.float64) + math.log(v / (n + v))) / LN10 if n else np.asarray(spelled, np.float64) / LN10
+
+
+def _scored_words(counts: DataFrame, vocabulary: Vocabulary, p: np.ndarray, n: int, v: int) -> DataFrame:
+    """Each distinct word with its hash, its count and the log10 of its probability."""
     shared = counts.sparkSession.sparkContext.broadcast((vocabulary, p))
 
     def score(it):
@@ -200,7 +208,8 @@ def _scored_words(counts: DataFrame, vocabulary: Vocabulary, p: np.ndarray) -> D
         lattice = voc.lattice(p)
         for pdf in it:
             words = list(map(bytes, pdf["word"]))
-            yield pd.DataFrame({"h": np.array(list(map(word_hash, words)), np.int64), "word": words, "c": pdf["c"], "n": pdf["n"], "lp": [lattice.word(w) / LN10 for w in words]})
+            spelled = np.array([lattice.word(w) for w in words]) + math.log(1 - SPELLED_END)
+            yield pd.DataFrame({"h": np.array(list(map(word_hash, words)), np.int64), "word": words, "c": pdf["c"], "n": pdf["n"], "lp": mixed(pdf["c"], spelled, n, v)})
     return stage(counts.mapInPandas(score, "h long, word binary, c long, n long, lp double"), "scored_words")
 
 
@@ -224,11 +233,10 @@ def score_texts(docs: DataFrame, learn: Column, vocabulary: Vocabulary | None =
     ends = docs.where("learned").count()
     tokens, types = counts.agg(F.sum("c"), F.sum((F.col("c") > 0).cast("long"))).first()
     n, v = (tokens or 0) + ends, (types or 0) + (ends > 0)
-    p = fitted(counts, ends, vocabulary)
-    words = _scored_words(counts, vocabulary, p)
+    words = _scored_words(counts, vocabulary, fitted(counts, vocabulary), n, v)
     top = _frequent(words, frequent).select("word", "c", "lp").toPandas()  # ``frequent`` rows at most
     shared = spark.sparkContext.broadcast((dict(zip(map(bytes, top["word"]), range(len(top)), strict=True)), top["c"].to_numpy(np.float64), top["lp"].to_numpy()))
-    end_base, end_lp = math.log10((ends + 1) / (n + 1 * (v + 1))), float(np.log10(p[vocabulary.end]))
+    end_base, end_lp = math.log10((ends + 1) / (n + 1 * (v + 1))), float(mixed(ends, math.log(SPELLED_END), n, v))
     denominator = math.log10(n + 1 * (v + 1))
 
     def match(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
