@@ -18,11 +18,16 @@ def multiset_digest(df: DataFrame, hash_col: str = "row_hash") -> DataFrame:
     sort and no collected list: each task adds its own rows and only four numbers
     per task are shuffled, whatever the table size.
     """
+    return group_digest(df, hash_col=hash_col)
+
+
+def group_digest(df: DataFrame, *keys: str, hash_col: str = "row_hash") -> DataFrame:
+    """The digest of :func:`multiset_digest` for each group of ``keys``."""
     h = F.col(hash_col)
     lanes = [F.sum(F.conv(F.substring(h, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")) for i in range(4)]
-    summed = df.agg(F.count(F.lit(1)).alias("row_count"),
+    summed = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("row_count"),
                     *[F.coalesce(s, F.lit(0).cast("decimal(38,0)")).alias(f"lane_{i}") for i, s in enumerate(lanes)])
     return summed.select(
-        "row_count",
+        *keys, "row_count",
         F.sha2(F.concat_ws(":", F.col("row_count").cast("string"),
                            *[F.col(f"lane_{i}").cast("string") for i in range(4)]), 256).alias("digest"))

@@ -5,6 +5,7 @@ every entry is chained to the entry before it, from the genesis value at the ver
 first entry of a later block is chained to an anchor: a digest over the payloads of *all*
 earlier blocks. Anchors are built level by level, so no task ever holds more than one block
 of rows or one block of digests, and a change to any past entry still breaks every later anchor.
+An anchor depends on earlier blocks alone, never on how long the log is: what was signed stays valid as the log grows.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from lacuna.functions import scalar as S
 from lacuna.params import GENESIS_HASH
 
 BLOCK = 128
+#: Levels of digests; ``BLOCK`` to the power of this bounds the number of blocks (34 thousand million events).
+LEVELS = 4
 PAYLOAD = ["action", "actor_role", "before_after", "correlation_id", "entity_id", "entity_type", "metadata", "status", "ts", "user_id"]
 
 
@@ -44,10 +47,11 @@ def _parents(level: DataFrame, block: int) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("pos", "digest"))), lambda x: x["digest"]), ""), 256).alias("digest"))
 
 
-def anchors(blocks: DataFrame, levels: int, block: int = BLOCK) -> DataFrame:
+def anchors(blocks: DataFrame, block: int = BLOCK, levels: int = LEVELS) -> DataFrame:
     """Value that the first entry of each block is chained to.
 
-    ``blocks`` is (pos, digest). A group holds at most ``block`` digests on every level.
+    ``blocks`` is (pos, digest). A group holds at most ``block`` digests on every level. Levels that have nothing to the left
+    of a block leave no trace in its trail, so more levels, or a longer log, change no anchor.
     """
     out = blocks.select("pos", F.lit("").alias("trail"), F.col("pos").alias("up"))
     level = blocks
@@ -55,31 +59,29 @@ def anchors(blocks: DataFrame, levels: int, block: int = BLOCK) -> DataFrame:
         before = _prefix_digests(level, block).select(F.col("pos").alias("up"), "before", "parent")
         out = (out.join(before, "up").select("pos", F.concat("trail", F.lit("/"), "before").alias("trail"), F.col("parent").alias("up")))
         level = _parents(level, block)
-    empty = "/" * levels
-    return out.select("pos", F.when(F.col("trail") == empty, F.lit(GENESIS_HASH))
-                      .otherwise(F.sha2("trail", 256)).alias("anchor"))
+    trail = F.rtrim("trail", F.lit("/"))
+    anchor = F.when(trail == "", F.lit(GENESIS_HASH)).otherwise(F.sha2(trail, 256))
+    too_far = F.raise_error(F.lit("sequence number beyond the digest levels")).cast("string")
+    return out.select("pos", F.when(F.col("pos") >= block ** levels, too_far).otherwise(anchor).alias("anchor"))
 
 
-def _levels(max_seq: int, block: int) -> int:
-    """Levels needed so that one group spans all blocks."""
-    blocks, n = max_seq // block + 1, 1
-    while block ** n < blocks:
-        n += 1
-    return n
+def _hashed(events: DataFrame, block: int) -> DataFrame:
+    return events.withColumn("payload", payload()).withColumn("pos", F.floor(F.col("seq") / block))
 
 
-def chain(events: DataFrame, block: int = BLOCK, max_seq: int | None = None) -> DataFrame:
-    """Events with ``previous_hash`` and ``integrity_hash``.
+def block_digests(events: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(pos, digest) of every block; kept beside a log, they spare an append from reading old events."""
+    body = F.array_sort(F.collect_list(F.struct("seq", F.sha2("payload", 256).alias("h"))))
+    joined = F.array_join(F.transform(body, lambda x: x["h"]), "")
+    return _hashed(events, block).groupBy("pos").agg(F.sha2(joined, 256).alias("digest"))  # at most ``block`` rows: seq is unique
 
-    ``max_seq`` bounds the sequence numbers; one small aggregate finds it when not given.
-    """
-    if max_seq is None:
-        max_seq = events.agg(F.max("seq")).first()[0] or 0
-    rows = events.withColumn("payload", payload()).withColumn("pos", F.floor(F.col("seq") / block))
-    body = F.array_sort(F.collect_list(F.struct("seq", "payload")))
-    packed = rows.groupBy("pos").agg(body.alias("body"))  # at most ``block`` rows: seq is unique
+
+def chain(events: DataFrame, block: int = BLOCK, earlier: DataFrame | None = None) -> DataFrame:
+    """Events with ``previous_hash`` and ``integrity_hash``; ``earlier`` holds the digests of complete blocks before them."""
+    rows = _hashed(events, block)
+    packed = rows.groupBy("pos").agg(F.array_sort(F.collect_list(F.struct("seq", "payload"))).alias("body"))  # one block
     digests = packed.select("pos", F.sha2(F.array_join(F.transform("body", lambda x: F.sha2(x["payload"], 256)), ""), 256).alias("digest"))
-    anchored = packed.join(anchors(digests, _levels(max_seq, block), block), "pos")
+    anchored = packed.join(anchors(digests if earlier is None else earlier.unionByName(digests), block), "pos")
     # Fold along the block; each step hashes the previous hash with the next payload.
     link = lambda acc, x: F.concat(acc, F.array(F.sha2(F.concat(F.element_at(acc, -1), x["payload"]), 256)))
     folded = anchored.withColumn("hashes", F.aggregate("body", F.array(F.col("anchor")), link))
@@ -89,19 +91,32 @@ def chain(events: DataFrame, block: int = BLOCK, max_seq: int | None = None) ->
     return events.join(out, "seq")
 
 
-def verify(log: DataFrame, block: int = BLOCK, max_seq: int | None = None) -> DataFrame:
+def append(log: DataFrame, events: DataFrame, block: int = BLOCK, digests: DataFrame | None = None) -> DataFrame:
+    """New rows of the log for ``events``, whose numbers follow those of ``log``.
+
+    Of the old log only the last number and its unfinished block are read when ``digests`` (see :func:`block_digests`) of the
+    finished blocks are at hand; otherwise they are made from the log. An empty log starts a chain."""
+    last = log.agg(F.max("seq")).first()[0]
+    if last is None:
+        return chain(events, block)
+    start = last // block * block
+    if not events.where(F.col("seq") <= last).isEmpty():
+        raise ValueError(f"events must follow number {last}")
+    finished = block_digests(log.where(F.col("seq") < start), block) if digests is None else digests.where(F.col("pos") < start // block)
+    tail = log.where(F.col("seq") >= start).select(*events.columns)
+    return chain(tail.unionByName(events), block, finished).where(F.col("seq") > last)
+
+
+def verify(log: DataFrame, block: int = BLOCK) -> DataFrame:
     """One row: is the log intact, how long is the verified prefix, where is the first break.
 
     Every entry's own hash is recomputed from its payload and stored predecessor, every link inside a
     block is compared with the entry before it, and every block start with its recomputed
     anchor. All checks are per block; the verdict is a plain minimum.
     """
-    if max_seq is None:
-        max_seq = log.agg(F.max("seq")).first()[0] or 0
-    hashed = log.where("integrity_hash is not null").withColumn("payload", payload()).withColumn("pos", F.floor(F.col("seq") / block))
-    digests = hashed.groupBy("pos").agg(F.sha2(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("seq", F.sha2("payload", 256).alias("h")))), lambda x: x["h"]), ""), 256).alias("digest"))
-    starts = anchors(digests, _levels(max_seq, block), block)
+    log = log.where("integrity_hash is not null")
+    hashed = _hashed(log, block)
+    starts = anchors(block_digests(log, block), block)
     by_block = Window.partitionBy("pos").orderBy("seq")
     rows = (hashed.select("seq", "pos", "payload", "previous_hash", "integrity_hash")
             .withColumn("before", F.lag("integrity_hash").over(by_block)).join(starts, "pos"))

@@ -9,7 +9,7 @@ from lacuna.functions import scalar as S
 from lacuna.operators.evaluations import evaluate, text, verdict
 from lacuna.params import RULES, RuleParams
 
-_BIN_SECONDS = 60
+_DAY_MICROS = 86_400_000_000
 
 
 def _c(name: str) -> Column:
@@ -118,28 +118,20 @@ def declared_gap_evaluations(flow: DataFrame, repeats: DataFrame, cases: DataFra
 def repeat_counts(alerts: DataFrame, window_seconds: int) -> DataFrame:
     """Alerts of the same asset and category in the trailing window, per distinct alert time.
 
-    Counting runs on distinct times, then in two grains, so one busy asset is spread over
-    many tasks: whole minutes are summed with a range frame over minute totals, and inside
-    a minute the arrivals so far are added and those that fell out of the window taken off.
-    Requires a window that is a whole number of minutes.
+    Every distinct time is an arrival and, one window later, a departure; the count is the sum of all moves so far.
+    Sums run in two grains, so one busy asset is spread over its days: whole days are summed up once, and inside a
+    day the moves so far are added. The work of a row does not depend on the length of the window.
     """
-    if window_seconds % _BIN_SECONDS:
-        raise ValueError("window must be a whole number of minutes")
+    key = ["asset_id", "category"]
     span = window_seconds * 1_000_000
-    bins = window_seconds // _BIN_SECONDS
-    ticks = (alerts.groupBy("asset_id", "category", "created_at").agg(F.count(F.lit(1)).alias("n"))
-             .withColumn("t", F.unix_micros("created_at"))
-             .withColumn("m", F.floor(F.col("t") / F.lit(_BIN_SECONDS * 1_000_000))))
-    totals = ticks.groupBy("asset_id", "category", "m").agg(F.sum("n").alias("n"))
-    by_key = Window.partitionBy("asset_id", "category").orderBy("m").rangeBetween(-bins, -1)
-    base = totals.select("asset_id", "category", "m", F.coalesce(F.sum("n").over(by_key), F.lit(0)).alias("base"))
-    moves = (ticks.select("asset_id", "category", "created_at", "m", "t", "n", F.lit(1).alias("kind"))
-             .unionByName(ticks.select("asset_id", "category", F.lit(None).cast("timestamp").alias("created_at"),
-                                       (F.col("m") + bins).alias("m"), (F.col("t") + span).alias("t"),
-                                       (-F.col("n")).alias("n"), F.lit(2).alias("kind"))))
+    ticks = alerts.groupBy(*key, "created_at").agg(F.count(F.lit(1)).alias("n")).withColumn("t", F.unix_micros("created_at"))
     # A tick exactly one window old still counts, hence arrivals sort before departures.
-    running = Window.partitionBy("asset_id", "category", "m").orderBy("t", "kind").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
+    arrive = ticks.select(*key, "created_at", "t", "n", F.lit(1).alias("kind"))
+    leave = ticks.select(*key, F.lit(None).cast("timestamp").alias("created_at"), (F.col("t") + span).alias("t"), (-F.col("n")).alias("n"), F.lit(2).alias("kind"))
+    moves = arrive.unionByName(leave).withColumn("day", F.floor(F.col("t") / F.lit(_DAY_MICROS)))
+    days = moves.groupBy(*key, "day").agg(F.sum("n").alias("n"))
+    earlier = Window.partitionBy(*key).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    base = days.select(*key, "day", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    running = Window.partitionBy(*key, "day").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = moves.withColumn("change", F.sum("n").over(running)).where("kind = 1")
-    return (inside.join(base, ["asset_id", "category", "m"])
-            .select("asset_id", "category", "created_at", (F.col("base") + F.col("change")).cast("long").alias("recent_repeats")))
+    return inside.join(base, [*key, "day"]).select(*key, "created_at", (F.col("base") + F.col("change")).cast("long").alias("recent_repeats"))

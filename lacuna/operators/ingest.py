@@ -41,7 +41,8 @@ RULES = {
 }
 # Keys under which a record may already be known; any one of them is enough.
 KNOWN_BY = {"cses": [["id"], ["name"]], "assets": [["id"]], "analysts": [["id"], ["cse_id", "handle"]],
-            "investigations": [["id"], ["alert_id"]], "escalations": [["id"], ["investigation_id"]], "closures": [["id"], ["case_id"]]}
+            "investigations": [["id"], ["alert_id"]], "escalations": [["id"], ["investigation_id"]], "closures": [["id"], ["case_id"]],
+            "alerts": [["id"]], "cases": [["id"]], "maintenance_logs": [["id"]]}
 
 
 def _field(df: DataFrame, name: str) -> Column:

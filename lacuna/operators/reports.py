@@ -7,9 +7,10 @@ report never has to be assembled in one place.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from lacuna.functions import scalar as S
+from lacuna.functions.digest import group_digest, row_hash
 from lacuna.operators import risk as R
 
 
@@ -105,10 +106,29 @@ def threat_summary(assets: DataFrame, findings: DataFrame, mapping: DataFrame) -
         .withColumn("threat_groups_associated", assets.where("primary_cve is not null").agg(F.countDistinct("threat_group")).scalar())
 
 
-def snapshots(summary: DataFrame, report_type: str, run_id: str, as_of: str) -> DataFrame:
-    """One signed document per row of a report table; the checksum covers the canonical content."""
+def bound_tables(parts: dict[str, DataFrame]) -> DataFrame:
+    """(cse_id, part, row_count, digest): what a report binds of its long tables, each with a cse_id, per entity.
+
+    The digest is that of the bag of rows, so order and partitioning don't matter and no list is gathered."""
+    out = None
+    for name, df in parts.items():
+        cols = [F.to_json(F.struct(c)) if isinstance(df.schema[c].dataType, (T.ArrayType, T.StructType, T.MapType)) else F.col(c) for c in sorted(df.columns)]
+        d = group_digest(df.select("cse_id", row_hash(*cols).alias("row_hash")), "cse_id").select("cse_id", F.lit(name).alias("part"), "row_count", "digest")
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+def snapshots(summary: DataFrame, report_type: str, run_id: str, as_of: str, parts: dict[str, DataFrame] | None = None) -> DataFrame:
+    """One signed document per row of a report table; the checksum covers the canonical content.
+
+    ``parts`` are the report's long tables; their row counts and digests per entity are part of the signed content."""
     fields = sorted(c for c in summary.columns if c != "cse_id")
-    content = S.canonical_json(F.struct(F.lit(run_id).alias("analysis_run_id"), "cse_id", F.struct(*fields).alias("summary")))
+    body = [F.lit(run_id).alias("analysis_run_id"), F.col("cse_id")]
+    if parts:
+        bound = bound_tables(parts).groupBy("cse_id").agg(F.array_sort(F.collect_list(F.struct("part", "row_count", "digest"))).alias("parts"))  # one entry per part
+        summary = summary.join(bound, "cse_id", "left")
+        body.append(F.coalesce("parts", F.array().cast("array<struct<part:string,row_count:long,digest:string>>")).alias("parts"))
+    content = S.canonical_json(F.struct(*body, F.struct(*fields).alias("summary")))
     return (summary.select("cse_id", content.alias("content_json"), S.canonical_json(F.struct(*fields)).alias("summary_json"))
             .withColumn("sha256_checksum", F.sha2("content_json", 256))
             .withColumn("report_id", S.key_hash(F.lit(run_id), F.lit(report_type), F.col("cse_id")))
@@ -121,6 +141,15 @@ def verify_snapshots(stored: DataFrame) -> DataFrame:
     return stored.withColumn("is_tampered", F.sha2("content_json", 256) != F.col("sha256_checksum"))
 
 
+def changed_parts(stored: DataFrame, parts: dict[str, DataFrame]) -> DataFrame:
+    """(cse_id, part) of every signed part whose table is no longer what was signed, vanished rows included."""
+    shape = "parts array<struct<part:string,row_count:long,digest:string>>"
+    signed = stored.select("cse_id", F.explode(F.from_json("content_json", shape)["parts"]).alias("p")).select("cse_id", "p.*")
+    now = bound_tables(parts).withColumnRenamed("digest", "found").drop("row_count")
+    both = signed.join(now, ["cse_id", "part"], "full").join(stored.select("cse_id"), "cse_id", "left_semi")
+    return both.where(~F.col("digest").eqNullSafe(F.col("found"))).select("cse_id", "part")
+
+
 def evidence_references(report: DataFrame, evidence: DataFrame, findings: DataFrame) -> DataFrame:
     """Evidence rows that a report stands on: those of its entity's findings."""
     owner = findings.select("finding_id", "cse_id")

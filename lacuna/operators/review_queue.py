@@ -55,8 +55,6 @@ def _select(limits: QueueParams):
     fills up to the target with the best rows that pass 1 left out.
     """
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        if rows["rule_category"].nunique() > limits.max_categories:
-            raise ValueError("more rule categories than max_categories allows; raise the parameter")
         rows = rows.drop_duplicates("finding_id").sort_values(
             SORT_KEYS, ascending=[False, False, False, False, True], kind="stable").reset_index(drop=True)
         entity_left = dict.fromkeys(rows["cse_id"], limits.max_per_entity)
@@ -76,6 +74,13 @@ def _select(limits: QueueParams):
     return run
 
 
+def _best(df: DataFrame, keys: list[str], n: int, spread: int = 64) -> DataFrame:
+    """The first ``n`` rows of each group in rank order, whatever ``n`` is: first of ``spread`` parts of a group, then of what is left."""
+    ranked = lambda rows, by: rows.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(*rank_order()))).where(F.col("r") <= n).drop("r")
+    parts = df.withColumn("part", F.pmod(F.xxhash64("finding_id"), F.lit(spread)))
+    return ranked(ranked(parts, [*keys, "part"]).drop("part"), keys)
+
+
 def selected(cands: DataFrame, params: QueueParams = QUEUE) -> DataFrame:
     """Rows of both passes with their rank.
 
@@ -83,17 +88,14 @@ def selected(cands: DataFrame, params: QueueParams = QUEUE) -> DataFrame:
     rows of pass 1 are a prefix of at most m = min(both caps). At most Q rows per category are chosen,
     so only F entities can fill up, and a row is passed over while its category is open only if
     its entity is full; hence no row of pass 1 lies deeper than Q + m*F in its category. Pass 2 only
-    reaches into the overall first (target + rows of pass 1). All rank filters are literals, so each
-    task prunes before shuffling and one hot category or entity never gathers in one place.
+    reaches into the overall first (target + rows of pass 1). Each pruning first works on parts of a group, so a
+    hot category or entity never gathers in one place, however large the limits are.
     """
     p, q = params.max_per_entity, params.max_per_category
-    m, full = min(p, q), q * params.max_categories // p
-    pair = Window.partitionBy("analysis_run_id", "cse_id", "rule_category").orderBy(*rank_order())
-    kind = Window.partitionBy("analysis_run_id", "rule_category").orderBy(*rank_order())
-    whole = Window.partitionBy("analysis_run_id").orderBy(*rank_order())
-    best = lambda df, window, n: df.withColumn("r", F.row_number().over(window)).where(F.col("r") <= n).drop("r")
-    one = best(best(cands, pair, m), kind, q + m * full)
-    two = best(cands, whole, params.target_size + q * params.max_categories)
+    categories = cands.agg(F.count_distinct("rule_category")).first()[0]  # one number
+    m, full = min(p, q), q * categories // p
+    one = _best(_best(cands, ["analysis_run_id", "cse_id", "rule_category"], m), ["analysis_run_id", "rule_category"], q + m * full)
+    two = _best(cands, ["analysis_run_id"], params.target_size + q * categories)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cands.schema) + ", selection_pass int, rank int"
     return one.unionByName(two).groupBy("analysis_run_id").applyInPandas(_select(params), schema)
 

@@ -73,15 +73,15 @@ ASSET_PROFILES = [
 
 # --- fixed values: the rule register (rule, version, name, family, severity, base risk) -
 RULE_REGISTER = [
-    ("GAP-01", "1.0.0", "Critical alert closed without escalation", "EXECUTION_GAP", "CRITICAL", 30.0),
-    ("GAP-02", "1.0.0", "High or critical alert without investigation", "EXECUTION_GAP", "HIGH", 25.0),
-    ("GAP-03", "1.0.0", "Investigation far shorter than baseline", "EXECUTION_GAP", "MEDIUM", 15.0),
-    ("GAP-04", "1.0.0", "Repeated alerts on one asset without remediation", "EXECUTION_GAP", "HIGH", 20.0),
-    ("GAP-05", "1.0.0", "Closure disposition inconsistent with severity", "EXECUTION_GAP", "HIGH", 20.0),
-    ("GAP-06", "1.0.0", "Expected escalation transition missing", "EXECUTION_GAP", "CRITICAL", 30.0),
-    ("NEG-01", "1.0.0", "Critical asset telemetry absent", "NEGATIVE_SPACE", "CRITICAL", 25.0),
-    ("NEG-02", "1.0.0", "Sudden monitoring blind spot", "NEGATIVE_SPACE", "HIGH", 20.0),
-    ("PEER-01", "1.0.0", "Escalation rate far below peers", "PEER_DEVIATION", "HIGH", 20.0),
+    ("GAP-01", "1.0.0", "Severe alert ended below supervisor level", "EXECUTION_GAP", "CRITICAL", 30.0),
+    ("GAP-02", "1.0.0", "Serious alert nobody looked into", "EXECUTION_GAP", "HIGH", 25.0),
+    ("GAP-03", "1.0.0", "Look at an alert too quick to be a review", "EXECUTION_GAP", "MEDIUM", 15.0),
+    ("GAP-04", "1.0.0", "Same trouble keeps returning to an asset", "EXECUTION_GAP", "HIGH", 20.0),
+    ("GAP-05", "1.0.0", "Outcome at odds with how grave the alert was", "EXECUTION_GAP", "HIGH", 20.0),
+    ("GAP-06", "1.0.0", "Workflow skips the step up it owes", "EXECUTION_GAP", "CRITICAL", 30.0),
+    ("NEG-01", "1.0.0", "Key asset has gone quiet", "NEGATIVE_SPACE", "CRITICAL", 25.0),
+    ("NEG-02", "1.0.0", "Entity's alert volume drops away", "NEGATIVE_SPACE", "HIGH", 20.0),
+    ("PEER-01", "1.0.0", "Escalates much less than comparable entities", "PEER_DEVIATION", "HIGH", 20.0),
 ]
 
 # --- fixed values: other vocabularies and formats ---------------------------------------
@@ -164,7 +164,6 @@ class QueueParams:
     max_per_entity: int = 2
     max_per_category: int = 3
     target_size: int = 10
-    max_categories: int = 16
     low_completeness: float = 40.0
     low_completeness_penalty: float = 15.0
 

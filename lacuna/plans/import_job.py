@@ -8,8 +8,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lacuna.operators import ingest as I
-from lacuna.plans.stages import written
-from lacuna.session import checkpoint_dir, use_utc
+from lacuna.plans.stages import scratch, written
+from lacuna.session import use_utc
 from lacuna.sources import files as FS
 from lacuna.sources import sinks as SK
 
@@ -17,21 +17,30 @@ from lacuna.sources import sinks as SK
 def _existing(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None  # nothing imported yet
 
 
 def store_batch(raw: DataFrame, entity: str, order_by: list[str], store: str, import_id: str, as_of: str) -> I.Ingested:
-    """Validate a batch, append the rows that are new, quarantine the rest."""
+    """Validate a batch, append the rows that are new, quarantine the rest.
+
+    A batch that is repeated under its import id adds nothing: its rows are known by now, and so are its issues."""
     spark = raw.sparkSession
-    root = f"{checkpoint_dir(spark)}/lacuna-import-{import_id}"
+    root = scratch(spark, f"import-{import_id}")
     out = I.ingest(raw, entity, order_by, import_id, as_of, lambda df: written(df, f"checked_{entity}", root))
     if entity in I.RULES:
         known = _existing(spark, f"{store}/{entity}")
         fresh = out.valid if known is None else I.only_new(out.valid, known, entity)
         # The anti join reads the table it is about to extend, so its result is written down first.
         SK.append(written(fresh, f"new_{entity}", root), f"{store}/{entity}")
-    SK.append(out.quarantined.drop("record_key"), f"{store}/data_quality_issues")
+    issues = out.quarantined.drop("record_key")
+    noted = _existing(spark, f"{store}/data_quality_issues")
+    if noted is not None:
+        keys = ["dataset_import_id", "issue_type", "record_ref"]
+        issues = written(issues.join(noted.select(*keys).distinct(), keys, "left_anti"), "new_issues", root)
+    SK.append(issues, f"{store}/data_quality_issues")
     return out
 
 
@@ -75,6 +84,6 @@ def register_rules(spark: SparkSession, rules: list[tuple], store: str) -> DataF
     wanted = spark.createDataFrame(rules, ddl).withColumn("status", F.lit("ACTIVE"))
     known = _existing(spark, f"{store}/rule_versions")
     fresh = wanted if known is None else wanted.join(known.select("rule_id", "version"), ["rule_id", "version"], "left_anti")
-    added = written(fresh, "rule_versions", f"{checkpoint_dir(spark)}/lacuna-register")
+    added = written(fresh, "rule_versions", scratch(spark, "register"))
     SK.append(added, f"{store}/rule_versions")
     return added

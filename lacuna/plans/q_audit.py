@@ -10,6 +10,7 @@ from lacuna.params import GENESIS_HASH
 from lacuna.plans.ctes import cte
 from lacuna.plans.lens import Tables, tag
 from lacuna.plans.registry import query
+from lacuna.plans.stages import scratch, written
 
 
 def audit_events(spark, d):
@@ -27,9 +28,9 @@ cte("audit_events", "", """SELECT event_id AS seq, ts AS timestamp, 'USR-' || us
 cte("audit_blocks", "audit_events", "SELECT pos, sha256(string_agg(sha256(payload), '' ORDER BY seq)) AS digest FROM audit_events GROUP BY pos")
 _BEFORE = lambda src, same: f"coalesce((SELECT sha256(string_agg(digest, '' ORDER BY p.pos)) FROM {src} p WHERE p.pos < b.pos{same} HAVING count(*) > 0), '')"
 cte("audit_groups", "audit_blocks", "SELECT pos // 128 AS pos, sha256(string_agg(digest, '' ORDER BY pos)) AS digest FROM audit_blocks GROUP BY 1")
-cte("audit_trails", "audit_blocks audit_groups", f"""SELECT x.pos, '/' || x.before || CASE WHEN (SELECT max(pos) FROM audit_blocks) >= 128 THEN '/' || g.before ELSE '' END AS trail FROM
+cte("audit_trails", "audit_blocks audit_groups", f"""SELECT x.pos, '/' || x.before || '/' || g.before AS trail FROM
  (SELECT b.pos, {_BEFORE('audit_blocks', ' AND p.pos // 128 = b.pos // 128')} AS before FROM audit_blocks b) x JOIN (SELECT b.pos, {_BEFORE('audit_groups', '')} AS before FROM audit_groups b) g ON g.pos = x.pos // 128""")
-cte("audit_anchors", "audit_trails", f"""SELECT pos, CASE WHEN replace(trail, '/', '') = '' THEN '{GENESIS_HASH}' ELSE sha256(trail) END AS anchor FROM audit_trails""")
+cte("audit_anchors", "audit_trails", f"""SELECT pos, CASE WHEN replace(trail, '/', '') = '' THEN '{GENESIS_HASH}' ELSE sha256(rtrim(trail, '/')) END AS anchor FROM audit_trails""")
 cte("audit_numbered", "audit_events", "SELECT *, row_number() OVER (PARTITION BY pos ORDER BY seq) AS i FROM audit_events")
 cte("audit_chain", "audit_numbered audit_anchors", """SELECT n.pos, i, seq, anchor AS previous_hash, sha256(anchor || payload) AS integrity_hash FROM audit_numbered n JOIN audit_anchors a ON a.pos = n.pos WHERE i = 1
  UNION ALL SELECT n.pos, n.i, n.seq, c.integrity_hash, sha256(c.integrity_hash || n.payload) FROM audit_chain c JOIN audit_numbered n ON n.pos = c.pos AND n.i = c.i + 1""")
@@ -40,6 +41,15 @@ def audit_chain(spark, d):
     return A.chain(audit_events(spark, d)).select("seq", "previous_hash", "integrity_hash")
 
 
+@query("audit_append", "audit_chain", "SELECT seq, previous_hash, integrity_hash FROM audit_chain WHERE seq > (SELECT (max(seq) * 2) // 3 FROM audit_chain)")
+def audit_append(spark, d):
+    """The last third of the events arrives later; the chain must be the one that all of them would have had."""
+    events = audit_events(spark, d)
+    last = F.floor(events.agg(F.max("seq") * 2).scalar() / 3)
+    log = written(A.chain(events.where(F.col("seq") <= last)), "audit_log", scratch(spark))
+    return A.append(log, events.where(F.col("seq") > last), digests=A.block_digests(log)).select("seq", "previous_hash", "integrity_hash")
+
+
 @query("audit_verification", "audit_events", "SELECT count(*) AS total_events, 0::BIGINT AS problem_count, count(*) AS verified_count, NULL::BIGINT AS first_broken_seq, NULL::varchar AS first_problem, true AS is_intact FROM audit_events")
 def audit_verification(spark, d):
     return A.verify(A.chain(audit_events(spark, d)))

@@ -37,11 +37,11 @@ def _pick(col, options: dict, other):
 
 
 def raw_alerts(spark, d):
-    """One raw alert record per order line: every order repeats, and the first line wins."""
+    """One raw alert record per order line: orders repeat, and the first line wins. An order without lines is a record without a time."""
     t = Tables(spark, d)
-    rows = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = t.orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey"), "left")
     stamp = F.col("o_orderdate").cast("timestamp")
-    flag = F.concat("l_returnflag", "l_linestatus")
+    flag = F.coalesce(F.concat("l_returnflag", "l_linestatus"), F.lit(""))
     created = F.when(F.col("l_returnflag") == "N", F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss'Z'")) \
         .when(F.col("l_returnflag") == "A", F.date_format(stamp, "MM/dd/yyyy")) \
         .when(flag == "RO", F.concat(F.date_format(stamp, "yyyy-MM-dd HH:mm:ss"), F.lit("+02:00"))).otherwise("not-a-date")
@@ -55,10 +55,10 @@ def raw_alerts(spark, d):
 
 
 cte("raw_alerts", "", f"""SELECT CASE WHEN l_discount = 0.1::double THEN '' WHEN l_discount = 0.09::double AND l_tax = 0.08::double THEN 'no-uuid' ELSE {uid_sql('ALT', 'o_orderkey')} END AS id,
- CASE WHEN o_orderstatus = 'P' THEN '' ELSE {uid_sql('CSE', '(o_custkey % 25)')} END AS cse_id, {uid_sql('AST', 'o_custkey')} AS asset_id, l_returnflag || l_linestatus AS category,
+ CASE WHEN o_orderstatus = 'P' THEN '' ELSE {uid_sql('CSE', '(o_custkey % 25)')} END AS cse_id, {uid_sql('AST', 'o_custkey')} AS asset_id, coalesce(l_returnflag || l_linestatus, '') AS category,
  CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'P1' WHEN '2' THEN ' sev-2 ' WHEN '3' THEN 'med' WHEN '4' THEN '' ELSE 'weird' END AS severity, o_orderpriority AS raw_severity,
  CASE WHEN l_returnflag = 'N' THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') WHEN l_returnflag = 'A' THEN strftime(o_orderdate, '%m/%d/%Y') WHEN l_linestatus = 'O' THEN strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || '+02:00' ELSE 'not-a-date' END AS created_at,
- CASE WHEN l_returnflag IN ('N','A') THEN o_orderdate WHEN l_linestatus = 'O' THEN o_orderdate - INTERVAL 2 HOUR END AS parsed, {', '.join(LINE_ORDER)} FROM lineitem JOIN orders ON o_orderkey = l_orderkey""")
+ CASE WHEN l_returnflag IN ('N','A') THEN o_orderdate WHEN l_linestatus = 'O' THEN o_orderdate - INTERVAL 2 HOUR END AS parsed, {', '.join(LINE_ORDER)} FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey""")
 cte("first_alerts", "raw_alerts", f"""SELECT * FROM (SELECT *, CASE WHEN id = '' THEN sha256(concat_ws(':', 'alerts', cse_id, asset_id, created_at, category)) ELSE 'alerts:' || id END AS record_key FROM raw_alerts)
  QUALIFY row_number() OVER (PARTITION BY record_key ORDER BY {', '.join(LINE_ORDER)}) = 1""")
 cte("checked_alerts", "first_alerts", """SELECT *, CASE WHEN id = 'no-uuid' THEN 'Malformed record identifier' WHEN cse_id = '' THEN 'Missing required Alert fields: cse_id or asset_id'
@@ -184,6 +184,13 @@ def ingest_only_new(spark, d):
     return I.only_new(fresh, by_id.unionByName(by_case), "closures").select("id")
 
 
+@query("ingest_only_new_alerts", "checked_alerts", f"""SELECT CASE WHEN id = '' THEN {_UU.format('record_key')} ELSE id END AS id FROM checked_alerts WHERE issue IS NULL AND severity <> 'P1'""")
+def ingest_only_new_alerts(spark, d):
+    """A second import of the alerts of which the critical ones are known already."""
+    fresh = _alerts(spark, d).valid
+    return I.only_new(fresh, fresh.where("severity = 'CRITICAL'"), "alerts").select("id")
+
+
 # --- profile and quality score -----------------------------------------------------------
 RAW_COLUMNS = ["id", "cse_id", "asset_id", "category", "severity", "raw_severity", "created_at"]
 cte("column_profile", "raw_alerts", " UNION ALL ".join(

@@ -47,12 +47,12 @@ def nvd_items(spark, d):
 
 
 def kev_items(spark, d):
-    """Parts up to size 30 are exploited; those above 45 under ids the feed does not know."""
-    p = Tables(spark, d).part.where("p_size <= 30 OR p_size > 45")
+    """Parts up to size 30 are exploited; those above 45 under ids the feed does not know, the rest under ids no parser takes."""
+    p = Tables(spark, d).part
     half = F.floor(F.col("p_partkey") / 2)
     known = F.concat(F.lit("CVE-"), (F.lit(2000) + half % 20).cast("string"), F.lit("-"), F.lpad(half.cast("string"), 5, "0"))
     item = F.struct(
-        F.when(F.col("p_size") == 50, "bad id").when(F.col("p_size") > 45, F.concat(F.lit("CVE-2024-"), F.lpad(F.col("p_partkey").cast("string"), 6, "0"))).otherwise(known).alias("cveID"),
+        F.when((F.col("p_size") == 50) | F.col("p_size").between(31, 45), "bad id").when(F.col("p_size") > 45, F.concat(F.lit("CVE-2024-"), F.lpad(F.col("p_partkey").cast("string"), 6, "0"))).otherwise(known).alias("cveID"),
         F.when(F.col("p_type") == "PROMO", "").otherwise(F.col("p_brand")).alias("vendorProject"),
         F.when(F.col("p_type") == "SMALL", F.lit("router")).otherwise(F.substring_index("p_name", " ", -1)).alias("product"),
         F.lit("").alias("vulnerabilityName"), F.lit("2024-01-01").alias("dateAdded"), F.lit("x").alias("shortDescription"), F.lit("").alias("requiredAction"),
@@ -66,8 +66,8 @@ cte("nvd_all", "", f"""SELECT p_partkey AS pos, CASE WHEN p_size = 50 THEN 'CVE-
  CASE WHEN p_size % 3 = 0 THEN '*' WHEN p_size % 3 = 1 THEN coalesce({_VERSIONS!r}[cast(regexp_extract(p_brand, '([0-9]+)', 1) as int) % 8 + 1], '1.0') ELSE '1.' || p_size END AS version FROM part""")
 cte("nvd", "nvd_all", """SELECT *, CASE WHEN cvss_v3_base_score >= 9 THEN 'CRITICAL' WHEN cvss_v3_base_score >= 7 THEN 'HIGH' WHEN cvss_v3_base_score IS NOT NULL THEN 'MEDIUM' END AS cvss_v3_severity, 'cpe:2.3:a:' || software || ':' || version AS cpe
  FROM nvd_all WHERE cve_id LIKE 'CVE-2%' QUALIFY row_number() OVER (PARTITION BY cve_id ORDER BY pos) = 1""")
-cte("kev_all", "", """SELECT p_partkey AS pos, CASE WHEN p_size = 50 THEN 'bad id' WHEN p_size > 45 THEN 'CVE-2024-' || lpad(cast(p_partkey as varchar), 6, '0') ELSE 'CVE-' || (2000 + (p_partkey // 2) % 20) || '-' || lpad(cast(p_partkey // 2 as varchar), 5, '0') END AS cve_id,
- CASE WHEN p_type = 'PROMO' THEN 'Unknown' ELSE p_brand END AS vendor_project, CASE WHEN p_type = 'SMALL' THEN 'router' ELSE split_part(p_name, ' ', -1) END AS product, CASE WHEN p_type = 'ECONOMY' THEN 'Known' ELSE 'Unknown' END AS known_ransomware_campaign_use, p_type FROM part WHERE p_size <= 30 OR p_size > 45""")
+cte("kev_all", "", """SELECT p_partkey AS pos, CASE WHEN p_size = 50 OR p_size BETWEEN 31 AND 45 THEN 'bad id' WHEN p_size > 45 THEN 'CVE-2024-' || lpad(cast(p_partkey as varchar), 6, '0') ELSE 'CVE-' || (2000 + (p_partkey // 2) % 20) || '-' || lpad(cast(p_partkey // 2 as varchar), 5, '0') END AS cve_id,
+ CASE WHEN p_type = 'PROMO' THEN 'Unknown' ELSE p_brand END AS vendor_project, CASE WHEN p_type = 'SMALL' THEN 'router' ELSE split_part(p_name, ' ', -1) END AS product, CASE WHEN p_type = 'ECONOMY' THEN 'Known' ELSE 'Unknown' END AS known_ransomware_campaign_use, p_type FROM part""")
 cte("kev", "kev_all", "SELECT * FROM kev_all WHERE cve_id LIKE 'CVE-2%' QUALIFY row_number() OVER (PARTITION BY cve_id ORDER BY pos) = 1")
 
 

@@ -11,7 +11,8 @@ from lacuna.plans.ctes import RUN_SQL, cte, key, r
 from lacuna.plans.lens import AS_OF
 from lacuna.plans.q_intel import enriched, technique_map
 from lacuna.plans.registry import query
-from lacuna.plans.stages import analysis
+from lacuna.plans import analysis_job as AJ
+from lacuna.plans.stages import analysis, scratch, written
 
 cte("sev_counts", "findings", """SELECT cse_id, count(*) AS total_findings, count(*) FILTER (severity = 'CRITICAL') AS critical_findings, count(*) FILTER (severity = 'HIGH') AS high_findings,
  count(*) FILTER (severity NOT IN ('CRITICAL','HIGH','LOW')) AS medium_findings, count(*) FILTER (severity = 'LOW') AS low_findings FROM findings GROUP BY 1""")
@@ -127,6 +128,42 @@ def report_snapshot_check(spark, d):
     return RP.verify_snapshots(_snapshots(spark, d).withColumn("content_json", text)).select("report_id", "cse_id", "is_tampered")
 
 
+def _parts(spark, d):
+    run = analysis(spark, d)
+    findings = run.findings.select("cse_id", "finding_id", "rule_id", "severity", "status", "risk_score")
+    owner = run.findings.select("finding_id", "cse_id")
+    evidence = E.evidence_rows(run.findings).join(owner, "finding_id").select("cse_id", "evidence_id", "source_table", "source_record_id")
+    return {"findings": findings, "evidence": evidence, "assets": run.estate.assets.select("cse_id", "id", "criticality", "status")}
+
+
+@query("report_altered_parts", "findings", "SELECT cse_id, 'findings' AS part FROM findings WHERE finding_id = (SELECT min(finding_id) FROM findings)")
+def report_altered_parts(spark, d):
+    """All five reports are signed with their tables; one finding is altered afterwards. Exactly its entity's findings are flagged, in each."""
+    run, parts = analysis(spark, d), _parts(spark, d)
+    signed = None
+    for kind in ("EXECUTIVE", "TECHNICAL", "RISK", "ASSET", "THREAT"):
+        one = RP.snapshots(_executive(spark, d), kind, run.estate.run_id, AS_OF, parts)
+        signed = one if signed is None else signed.unionByName(one)
+    signed = written(signed, "signed", scratch(spark, "reports"))
+    victim = parts["findings"].agg(F.min("finding_id")).scalar()
+    altered = parts | {"findings": parts["findings"].withColumn("status", F.when(F.col("finding_id") == victim, "ALTERED").otherwise(F.col("status")))}
+    found = None
+    for (kind,) in signed.select("report_type").distinct().collect():
+        one = RP.changed_parts(signed.where(F.col("report_type") == kind), altered).withColumn("kind", F.lit(kind))
+        found = one if found is None else found.unionByName(one)
+    return found.groupBy("cse_id", "part").agg(F.count(F.lit(1)).alias("n")).where("n = 5").drop("n")
+
+
+@query("analysis_rerun", "findings", "SELECT CASE WHEN rule_id LIKE 'GAP-%' THEN 'gap' ELSE 'negative_space' END AS engine, rule_id, count(*) AS n FROM findings WHERE rule_id NOT LIKE 'GAP-%' GROUP BY 1, 2")
+def analysis_rerun(spark, d):
+    """A run is stored, stored again, and its gap rules rerun without a finding: the other engine's findings are there once."""
+    run, store = analysis(spark, d), scratch(spark, "store")
+    for _ in range(2):
+        AJ.store_run(run, store, "RUN-1")
+    AJ.store_findings(run.gap_findings.limit(0), store, "RUN-1", "gap")
+    return AJ.stored(spark, store, "findings", "RUN-1").groupBy("engine", "rule_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("report_search", "snapshots", "SELECT report_id, cse_id FROM snapshots WHERE cse_id = 'CSE-7'")
 def report_search(spark, d):
     return RP.search(_snapshots(spark, d), "RUN-1", "CSE-7", "EXECUTIVE").select("report_id", "cse_id")

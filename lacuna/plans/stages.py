@@ -29,6 +29,11 @@ def written(df: DataFrame, name: str, root: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def scratch(spark: SparkSession, name: str = "stage") -> str:
+    """A fresh folder for written intermediate tables, under the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark)}/lacuna-{name}-{uuid.uuid4().hex}"
+
+
 class StoredEstate(LensEstate):
     """Canonical tables written once and scanned from then on, as after an import."""
 
@@ -62,7 +67,7 @@ class AnalysisRun:
     """Stage tables of one run, each built when first asked for."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.root = f"{checkpoint_dir(spark)}/lacuna-run-{uuid.uuid4().hex}"
+        self.root = scratch(spark, "run")
         self.estate = StoredEstate(spark, folder, self.root)
 
     def _write(self, df: DataFrame, name: str) -> DataFrame:

@@ -37,9 +37,10 @@ def read_csv(spark: SparkSession, path: str, entity: str | None = None) -> DataF
 
 
 def is_json_array(spark: SparkSession, path: str) -> bool:
-    """Whether the first text in the file opens an array rather than a JSON line."""
-    first = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
-    return bool(first) and first[0][0].lstrip("﻿ \t").startswith("[")
+    """Whether the first text in the file opens an array rather than a JSON line; one character is fetched."""
+    text = F.ltrim("value", F.lit("﻿ \t\r"))
+    first = spark.read.text(path).select(F.substring(text, 1, 1).alias("c")).where("c <> ''").limit(1).collect()
+    return bool(first) and first[0]["c"] == "["
 
 
 def read_json(spark: SparkSession, path: str, entity: str | None = None) -> DataFrame:
@@ -87,12 +88,20 @@ def entity_column(file_name):
     return out
 
 
+def exports_in(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder, listed by Spark, so any store will do; an export may also be a folder of parts, such as ``alerts.csv/``."""
+    inside = folder.rstrip("/").split("://", 1)[-1].lstrip("/") + "/"
+    paths = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
+    names = paths.select(F.substring_index(F.substring_index("path", inside, -1), "/", 1).alias("name")).distinct()
+    return [r["name"] for r in names.collect()]  # a name per table of an export
+
+
 def read_directory(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """All exports of a folder in dependency order; ground-truth files are never read here."""
     out: dict[str, DataFrame] = {}
-    files = [f for f in os.listdir(folder) if os.path.splitext(f)[1].lower() in READERS and not f.startswith("ground_truth")]
+    files = [f for f in exports_in(spark, folder) if os.path.splitext(f)[1].lower() in READERS and not f.startswith("ground_truth")]
     for table in LOAD_ORDER:
         for name in sorted(files):
             if os.path.splitext(name)[0].lower() == table:
-                out[table] = READERS[os.path.splitext(name)[1].lower()](spark, f"{folder}/{name}", table)
+                out[table] = READERS[os.path.splitext(name)[1].lower()](spark, f"{folder.rstrip('/')}/{name}", table)
     return out

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from lacuna.functions import scalar as S
 
@@ -12,9 +14,35 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def replace_run(df: DataFrame, path: str, keys: tuple[str, ...] = ("analysis_run_id",)) -> None:
-    """Idempotent write: only the partitions present in ``df`` are replaced."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+def replace_run(df: DataFrame, path: str, scope: dict[str, str]) -> None:
+    """Make the rows of a table under ``scope`` (say, a run and an engine) exactly those of ``df``, also if there are none.
+
+    Rows are written as a new generation of their scope; one small row then makes it the current one. Until then readers see the
+    old rows, after it the new ones, and a failed or repeated write changes nothing. See :func:`read_runs` and :func:`stale_generations`."""
+    spark, generation = df.sparkSession, uuid.uuid4().hex
+    where = "".join(f"/{k}={v}" for k, v in scope.items())
+    df.drop(*scope).write.parquet(f"{path}/rows{where}/generation={generation}")
+    now = spark.range(1).select(*[F.lit(str(v)).alias(k) for k, v in scope.items()], F.lit(generation).alias("generation"), F.current_timestamp().alias("since"))
+    now.write.mode("append").parquet(f"{path}/current")
+
+
+def _current(spark: SparkSession, path: str) -> DataFrame:
+    log = spark.read.parquet(f"{path}/current")
+    scope = [c for c in log.columns if c not in ("generation", "since")]
+    return log.groupBy(*scope).agg(F.max_by("generation", F.struct("since", "generation")).alias("generation"))
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """The current rows of a table written by :func:`replace_run`, with the columns of its scope."""
+    now = _current(spark, path)
+    rows = spark.read.option("basePath", f"{path}/rows").parquet(f"{path}/rows")
+    return rows.join(now.select("generation"), "generation", "left_semi").drop("generation")
+
+
+def stale_generations(spark: SparkSession, path: str) -> DataFrame:
+    """Generations that no reader needs any more; the owner of the store deletes their folders when no old reader is left."""
+    log = spark.read.parquet(f"{path}/current")
+    return log.join(_current(spark, path).select("generation"), "generation", "left_anti").drop("since")
 
 
 def with_engine(findings: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import hashlib
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from lacuna.operators import audit as A
@@ -44,6 +45,24 @@ def test_many_blocks_and_levels_verify_and_break(spark):
     assert A.verify(chained.where("seq <> 10"), block=4).first()["first_broken_seq"] == 11
 
 
+def test_growth_changes_no_hash_and_append_continues(spark):
+    """16 events fill two levels of blocks of 4; 20 need a third."""
+    old, new = log(spark, 16), log(spark, 200).where("seq >= 16")
+    chained = A.chain(old, block=4)
+    whole = {r["seq"]: r["integrity_hash"] for r in A.chain(log(spark, 200), block=4).collect()}
+    assert all(whole[r["seq"]] == r["integrity_hash"] for r in chained.collect())
+    for cut in (16, 18, 64, 67):
+        stored = A.chain(log(spark, 200).where(F.col("seq") < cut), block=4)
+        later = log(spark, 200).where(F.col("seq") >= cut)
+        for digests in (None, A.block_digests(stored, 4)):
+            more = A.append(stored, later, 4, digests)
+            assert {r["seq"]: r["integrity_hash"] for r in more.collect()} == {k: v for k, v in whole.items() if k >= cut}
+    assert A.verify(chained.unionByName(A.append(chained, new, 4)), block=4).first()["is_intact"]
+    with pytest.raises(ValueError):
+        A.append(chained, log(spark, 3), 4)
+    assert A.append(chained.limit(0), log(spark, 3), 4).count() == 3
+
+
 def test_components_against_brute_force(spark):
     rng = random.Random(2)
     nodes = [f"n{i:02d}" for i in range(60)]

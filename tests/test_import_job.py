@@ -34,6 +34,24 @@ def test_stream_import_runs_the_batch_code(spark, tmp_path):
     assert sorted(r["id"] for r in spark.read.parquet(f"{store}/assets").collect()) == [U[4], U[5], U[6]]
 
 
+def test_a_replayed_batch_adds_nothing(spark, tmp_path):
+    store = str(tmp_path / "store")
+    for entity, ddl, rows in (("alerts", "id string, cse_id string, asset_id string, created_at string", [(U[0], U[1], U[2], "2024-01-01"), ("", U[1], U[2], "2024-01-02"), ("bad", U[1], U[2], "2024-01-01")]),
+                              ("cases", "id string, cse_id string", [(U[3], U[1]), (U[4], "x")]), ("maintenance_logs", "id string, cse_id string", [(U[5], U[1])])):
+        sink = J.stream_sink(entity, ["id"], store, entity, AS_OF)
+        for _ in range(2):
+            sink(spark.createDataFrame(rows, ddl), 7)
+    assert {e: spark.read.parquet(f"{store}/{e}").count() for e in ("alerts", "cases", "maintenance_logs", "data_quality_issues")} == {"alerts": 2, "cases": 1, "maintenance_logs": 1, "data_quality_issues": 2}
+
+
+def test_only_a_missing_store_counts_as_empty(spark, tmp_path):
+    (tmp_path / "alerts").mkdir()
+    (tmp_path / "alerts" / "part-0.parquet").write_text("not parquet")
+    assert J._existing(spark, str(tmp_path / "nothing")) is None
+    with pytest.raises(Exception):
+        J._existing(spark, str(tmp_path / "alerts"))
+
+
 def test_rule_register_is_insert_if_absent(spark, tmp_path):
     store = str(tmp_path / "store")
     assert J.register_rules(spark, RULE_REGISTER, store).count() == len(RULE_REGISTER)

@@ -39,7 +39,7 @@ def test_malformed_alerts_are_quarantined(spark, tmp_path):
     assert bad[0]["description"].startswith("Missing required Alert fields") and bad[0]["record_ref"] == B
     assert (c["total"], c["accepted"], c["quarantined"], c["duplicates"], c["unmapped_cses"]) == (3, 1, 1, 1, 1)
     assert I.import_record(out.counters, "alerts.csv", entity, "IMP").first()["status"] == "QUARANTINED"
-    assert I.only_new(out.valid, out.valid, "assets").count() == 0
+    assert I.only_new(out.valid, out.valid, "alerts").count() == 0
 
 
 @pytest.mark.parametrize("as_lines", [False, True])
@@ -136,14 +136,28 @@ def test_manifest_detects_tampering(spark, tmp_path):
     assert SK.load_manifest(spark, str(tmp_path / "saved"), "file_name string, file_size_bytes long").first()["file_size_bytes"] == 5
 
 
-def test_replace_run_is_idempotent(spark, tmp_path):
+def test_replace_run_replaces_exactly_its_scope(spark, tmp_path):
     path = str(tmp_path / "t")
-    rows = lambda run, n: spark.createDataFrame([(run, "GAP-01", i) for i in range(n)], "analysis_run_id string, rule_id string, v int")
-    SK.replace_run(rows("a", 3), path)
-    SK.replace_run(rows("b", 2), path)
-    SK.replace_run(rows("a", 1), path)
-    got = {r[0]: r[1] for r in spark.read.parquet(path).groupBy("analysis_run_id").count().collect()}
-    assert got == {"a": 1, "b": 2}
+    rows = lambda n: spark.createDataFrame([("x", i) for i in range(n)], "rule_id string, v int")
+    gap, neg = {"analysis_run_id": "a", "engine": "gap"}, {"analysis_run_id": "a", "engine": "negative_space"}
+    for n, scope in ((3, gap), (4, neg), (2, {"analysis_run_id": "b", "engine": "gap"}), (1, gap), (1, gap)):
+        SK.replace_run(rows(n), path, scope)
+    counts = lambda: {(r[0], r[1]): r[2] for r in SK.read_runs(spark, path).groupBy("analysis_run_id", "engine").count().collect()}
+    assert counts() == {("a", "gap"): 1, ("a", "negative_space"): 4, ("b", "gap"): 2}
+    SK.replace_run(rows(0), path, gap)
+    assert counts() == {("a", "negative_space"): 4, ("b", "gap"): 2}
+    assert SK.stale_generations(spark, path).count() == 3
+
+
+def test_directory_of_files_and_part_folders(spark, tmp_path):
+    folder = tmp_path / "exports"
+    (folder / "alerts.csv").mkdir(parents=True)
+    for n in range(2):
+        (folder / "alerts.csv" / f"part-{n}.csv").write_text(f"id,cse_id\n{n},x\n")
+    (folder / "cses.json").write_text('\n  [{"id": "1", "name": "n"}]')
+    (folder / "ground_truth.json").write_text("{}")
+    out = FS.read_directory(spark, str(folder))
+    assert list(out) == ["cses", "alerts"] and out["alerts"].count() == 2 and out["cses"].first()["name"] == "n"
 
 
 def test_stream_repeats_are_dropped_across_files(spark, tmp_path):

@@ -34,13 +34,22 @@ def test_two_passes_against_plain_greedy(spark):
     for trial in range(6):
         p, q, target = rng.randint(1, 3), rng.randint(1, 3), rng.randint(3, 12)
         rows = [cand(f"f{i:03d}", f"E{rng.randint(0, 4)}", rng.choice(["GAP", "NEG", "PEER"]), rng.choice([50, 60, 60, 70, 80])) for i in range(120)]
-        got = Q.review_queue(spark.createDataFrame(rows, CAND), QueueParams(max_per_entity=p, max_per_category=q, target_size=target, max_categories=3)).collect()
+        got = Q.review_queue(spark.createDataFrame(rows, CAND), QueueParams(max_per_entity=p, max_per_category=q, target_size=target)).collect()
         one, two = greedy(rows, p, q, target)
         assert {r["finding_id"] for r in got if r["selection_pass"] == 1} == set(one)
         assert {r["finding_id"] for r in got if r["selection_pass"] == 2} == set(two)
         assert sorted(r["rank"] for r in got) == list(range(1, len(got) + 1))
 
 
+def test_limits_above_a_thousand_and_many_categories(spark):
+    rng = random.Random(3)
+    rows = [cand(f"f{i:05d}", f"E{rng.randint(0, 40)}", f"C{rng.randint(0, 30)}", rng.randint(1, 99)) for i in range(4000)]
+    got = Q.review_queue(spark.createDataFrame(rows, CAND), QueueParams(max_per_entity=60, max_per_category=1200, target_size=2600)).collect()
+    one, two = greedy(rows, 60, 1200, 2600)
+    assert {r["finding_id"] for r in got if r["selection_pass"] == 1} == set(one)
+    assert {r["finding_id"] for r in got if r["selection_pass"] == 2} == set(two)
+
+
 def test_concentration_fallback(spark):
     rows = [cand(f"a{i}", "A", "GAP", 90 - i) for i in range(8)] + [cand("b", "B", "GAP", 10)]
     cands = spark.createDataFrame(rows, CAND)

@@ -130,6 +130,13 @@ def test_repeat_counts_against_brute_force(spark):
         assert got[(a, t)] == sum(1 for b, _, u in rows if b == a and t - timedelta(seconds=600) <= u <= t)
 
 
+def test_repeat_counts_of_a_busy_asset_over_a_long_window(spark):
+    rows = spark.range(20_000).select(F.lit("A").alias("asset_id"), F.lit("X").alias("category"), F.timestamp_seconds(F.col("id") * 60).alias("created_at"))
+    got = G.repeat_counts(rows, 7 * 86_400).agg(F.count(F.lit(1)), F.max("recent_repeats"), F.sum("recent_repeats")).first()
+    most = 7 * 1440 + 1
+    assert tuple(got) == (20_000, most, sum(min(i + 1, most) for i in range(20_000)))
+
+
 def test_gap_rules(spark):
     t = NOW
     est = make(spark, [asset("A"), asset("B", "LOW")],
