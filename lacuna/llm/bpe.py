@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from lacuna.llm.common import table
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
-REMEMBERED = 120_000
+REMEMBERED = 240_000
 ODD_SPACE = re.compile(r"[^\S \n]|  |\n\n| \n|\n |^[ \n]|[ \n]\Z")
 
 
@@ -123,6 +123,7 @@ class Tables:
         known = {t: i for i, t in enumerate(tokens)}
         pairs = [(known[t[:k]], known[t[k:]], i) for i, t in enumerate(tokens) for k in range(1, len(t)) if t[:k] in known and t[k:] in known]
         self.pairs = np.array(pairs, np.int64)
+        self.key = hashlib.sha256(pattern.encode() + b"".join(b"%d:" % len(t) + t for t in tokens)).hexdigest()
 
 
 class Codec:
@@ -191,6 +192,15 @@ class Codec:
 
 
 _TABLES: dict[tuple[str, str], Tables] = {}
+_CODECS: dict[str, Codec] = {}
+
+
+def codec(tables: Tables) -> Codec:
+    """The codec of this process for these tables; tasks that follow each other in a worker share what it remembers."""
+    if tables.key not in _CODECS:
+        _CODECS.clear()
+        _CODECS[tables.key] = Codec(tables)
+    return _CODECS[tables.key]
 
 
 def tables(path: str | None = None, pattern: str | None = None) -> Tables:
@@ -208,23 +218,23 @@ def _column(spark: SparkSession, path: str | None, kind: str, fn):
 
     @F.pandas_udf(kind)
     def column(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = Codec(shared.value)
+        own = codec(shared.value)
         for values in series:
-            yield fn(codec, values)
+            yield fn(own, values)
     return column
 
 
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """All columns of ``docs`` and __ids, the token ids of the whole text."""
-    def ids(codec, texts):
-        return pd.Series([np.array(codec.encode(t), np.int32) for t in texts], dtype=object)
+    def ids(own, texts):
+        return pd.Series([np.array(own.encode(t), np.int32) for t in texts], dtype=object)
     return docs.withColumn("__ids", _column(docs.sparkSession, path, "array<int>", ids)("text"))
 
 
 def decode_documents(encoded: DataFrame, ids: str, path: str | None = None) -> DataFrame:
     """All columns of ``encoded`` and __bytes, the bytes that the ids stand for."""
-    def back(codec, values):
-        return pd.Series([codec.decode(v) if v is not None else b"" for v in values], dtype=object)
+    def back(own, values):
+        return pd.Series([own.decode(v) if v is not None else b"" for v in values], dtype=object)
     return encoded.withColumn("__bytes", _column(encoded.sparkSession, path, "binary", back)(ids))
 
 
@@ -236,12 +246,12 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digest(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        codec = Codec(shared.value)
+        own = codec(shared.value)
         for texts in series:
             rows = []
             for text in texts:
-                ids = codec.encode(text)
-                rows.append((len(ids), hashlib.sha256(codec.ids_text(ids).encode()).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()))
+                ids = own.encode(text)
+                rows.append((len(ids), hashlib.sha256(own.ids_text(ids).encode()).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
     return docs.withColumn("__digest", digest("text"))
 
