@@ -16,8 +16,9 @@ from lacuna.functions import scalar as S
 from lacuna.params import GENESIS_HASH
 
 BLOCK = 128
-#: Levels of digests; ``BLOCK`` to the power of this bounds the number of blocks (34 thousand million events).
-LEVELS = 4
+#: Levels of digests; ``BLOCK`` to the power of this bounds the number of blocks (268 million events). A longer log is refused, not
+#: mistaken: ask for more levels then, which changes no hash that is already signed.
+LEVELS = 3
 PAYLOAD = ["action", "actor_role", "before_after", "correlation_id", "entity_id", "entity_type", "metadata", "status", "ts", "user_id"]
 
 
@@ -76,12 +77,12 @@ def block_digests(events: DataFrame, block: int = BLOCK) -> DataFrame:
     return _hashed(events, block).groupBy("pos").agg(F.sha2(joined, 256).alias("digest"))  # at most ``block`` rows: seq is unique
 
 
-def chain(events: DataFrame, block: int = BLOCK, earlier: DataFrame | None = None) -> DataFrame:
+def chain(events: DataFrame, block: int = BLOCK, earlier: DataFrame | None = None, levels: int = LEVELS) -> DataFrame:
     """Events with ``previous_hash`` and ``integrity_hash``; ``earlier`` holds the digests of complete blocks before them."""
     rows = _hashed(events, block)
     packed = rows.groupBy("pos").agg(F.array_sort(F.collect_list(F.struct("seq", "payload"))).alias("body"))  # one block
     digests = packed.select("pos", F.sha2(F.array_join(F.transform("body", lambda x: F.sha2(x["payload"], 256)), ""), 256).alias("digest"))
-    anchored = packed.join(anchors(digests if earlier is None else earlier.unionByName(digests), block), "pos")
+    anchored = packed.join(anchors(digests if earlier is None else earlier.unionByName(digests), block, levels), "pos")
     # Fold along the block; each step hashes the previous hash with the next payload.
     link = lambda acc, x: F.concat(acc, F.array(F.sha2(F.concat(F.element_at(acc, -1), x["payload"]), 256)))
     folded = anchored.withColumn("hashes", F.aggregate("body", F.array(F.col("anchor")), link))
@@ -91,23 +92,23 @@ def chain(events: DataFrame, block: int = BLOCK, earlier: DataFrame | None = Non
     return events.join(out, "seq")
 
 
-def append(log: DataFrame, events: DataFrame, block: int = BLOCK, digests: DataFrame | None = None) -> DataFrame:
+def append(log: DataFrame, events: DataFrame, block: int = BLOCK, digests: DataFrame | None = None, levels: int = LEVELS) -> DataFrame:
     """New rows of the log for ``events``, whose numbers follow those of ``log``.
 
     Of the old log only the last number and its unfinished block are read when ``digests`` (see :func:`block_digests`) of the
     finished blocks are at hand; otherwise they are made from the log. An empty log starts a chain."""
     last = log.agg(F.max("seq")).first()[0]
     if last is None:
-        return chain(events, block)
+        return chain(events, block, levels=levels)
     start = last // block * block
     if not events.where(F.col("seq") <= last).isEmpty():
         raise ValueError(f"events must follow number {last}")
     finished = block_digests(log.where(F.col("seq") < start), block) if digests is None else digests.where(F.col("pos") < start // block)
     tail = log.where(F.col("seq") >= start).select(*events.columns)
-    return chain(tail.unionByName(events), block, finished).where(F.col("seq") > last)
+    return chain(tail.unionByName(events), block, finished, levels).where(F.col("seq") > last)
 
 
-def verify(log: DataFrame, block: int = BLOCK) -> DataFrame:
+def verify(log: DataFrame, block: int = BLOCK, levels: int = LEVELS) -> DataFrame:
     """One row: is the log intact, how long is the verified prefix, where is the first break.
 
     Every entry's own hash is recomputed from its payload and stored predecessor, every link inside a
@@ -116,7 +117,7 @@ def verify(log: DataFrame, block: int = BLOCK) -> DataFrame:
     """
     log = log.where("integrity_hash is not null")
     hashed = _hashed(log, block)
-    starts = anchors(block_digests(log, block), block)
+    starts = anchors(block_digests(log, block), block, levels)
     by_block = Window.partitionBy("pos").orderBy("seq")
     rows = (hashed.select("seq", "pos", "payload", "previous_hash", "integrity_hash")
             .withColumn("before", F.lag("integrity_hash").over(by_block)).join(starts, "pos"))

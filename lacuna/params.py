@@ -80,7 +80,7 @@ RULE_REGISTER = [
     ("GAP-05", "1.0.0", "Outcome at odds with how grave the alert was", "EXECUTION_GAP", "HIGH", 20.0),
     ("GAP-06", "1.0.0", "Workflow skips the step up it owes", "EXECUTION_GAP", "CRITICAL", 30.0),
     ("NEG-01", "1.0.0", "Key asset has gone quiet", "NEGATIVE_SPACE", "CRITICAL", 25.0),
-    ("NEG-02", "1.0.0", "Entity's alert volume drops away", "NEGATIVE_SPACE", "HIGH", 20.0),
+    ("NEG-02", "1.0.0", "Alert volume of an entity drops away", "NEGATIVE_SPACE", "HIGH", 20.0),
     ("PEER-01", "1.0.0", "Escalates much less than comparable entities", "PEER_DEVIATION", "HIGH", 20.0),
 ]
 
