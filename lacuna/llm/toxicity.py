@@ -17,7 +17,6 @@ gives no rows; other columns are passed through by :func:`scored`.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +31,7 @@ DIM, HIDDEN, ATTENTION = 12, 8, 8
 NGRAMS = (3, 4, 5)
 NGRAM_ROWS = 1 << 16
 MAX_WORDS, MIN_TEXTS = 20_000, 5
-MAX_POSITIVE, MAX_NEGATIVE = 1500, 3500
+MAX_POSITIVE, MAX_NEGATIVE = 1000, 2500
 ROUNDS, BATCH, RATE = 5, 256, 0.02
 THRESHOLD = 0.7
 REMEMBERED = 120_000
@@ -76,7 +75,7 @@ def cut(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     out, owner = [], []
     for k, own in enumerate(ids):
         first = windows(len(own))
-        padded = np.zeros(first[-1] + WINDOW, np.int64)
+        padded = np.zeros(first[-1] + WINDOW, np.int32)
         padded[:len(own)] = own
         out.append(padded[first[:, None] + np.arange(WINDOW)])
         owner.append(np.full(len(first), k))
@@ -188,18 +187,18 @@ class Trainer:
     """Trains a network on texts with labels; everything is seeded, so a rerun gives the same network."""
 
     def __init__(self, texts: list[str], toxic: np.ndarray):
-        words = [words_of(t or "") for t in texts]
-        seen = Counter(w for own in words for w in set(own))
-        often = sorted((w for w, n in seen.items() if n >= MIN_TEXTS), key=lambda w: (-seen[w], w))[:MAX_WORDS]
-        self.net, self.toxic = Network({w: i + 1 for i, w in enumerate(often)}), np.asarray(toxic, np.float32)
-        self.vocab = sorted(seen)
-        number = {w: i + 1 for i, w in enumerate(self.vocab)}
+        number: dict[bytes, int] = {}
+        ids = [np.array([number.setdefault(w, len(number) + 1) for w in words_of(t or "")], np.int32) for t in texts]
+        self.vocab = list(number)
+        seen = np.bincount(np.concatenate([np.unique(own) for own in ids]), minlength=len(number) + 1)[1:]  # texts with each word
+        often = sorted(np.flatnonzero(seen >= MIN_TEXTS).tolist(), key=lambda k: (-seen[k], self.vocab[k]))[:MAX_WORDS]
+        self.net, self.toxic = Network({self.vocab[k]: i + 1 for i, k in enumerate(often)}), np.asarray(toxic, np.float32)
         self.rows, self.counts = ngram_rows(self.vocab) if self.vocab else (np.empty(0, np.int64), np.empty(0, np.int64))
         self.first = np.cumsum(self.counts) - self.counts
-        texts_with = np.bincount(self.rows, weights=np.repeat([seen[w] for w in self.vocab], self.counts), minlength=NGRAM_ROWS)
+        texts_with = np.bincount(self.rows, weights=np.repeat(seen, self.counts), minlength=NGRAM_ROWS)
         self.live = (texts_with >= 2 * MIN_TEXTS).astype(np.float32)[:, None]  # other n-grams keep a zero vector
         self.word_rows = self.net.word_rows(self.vocab)
-        self.at, self.owner = cut([np.array([number[w] for w in own], np.int64) for own in words])
+        self.at, self.owner = cut(ids)
         self.rng = np.random.default_rng(11)
         self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.net.p.items() if k not in ("word", "ngram")}
         self.squares = {k: np.full((len(self.net.p[k]), 1), 1e-6, np.float32) for k in ("word", "ngram")}
@@ -309,7 +308,7 @@ class Scorer:
         if new:
             known.update(zip(new, range(len(self.gates), len(self.gates) + len(new)), strict=True))
             self.gates = np.vstack([self.gates, *(self.net.inputs(new[i:i + 20_000]) for i in range(0, len(new), 20_000))])
-        at, owner = cut([np.array([known[w] for w in own], np.int64) for own in words])
+        at, owner = cut([np.array([known[w] for w in own], np.int32) for own in words])
         score = logits(self.net, self.gates, at)
         worst = np.maximum.reduceat(score, np.searchsorted(owner, np.arange(len(texts))))
         return 1 / (1 + np.exp(-worst.astype(np.float64)))
