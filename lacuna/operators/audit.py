@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lacuna.functions import scalar as S
 from lacuna.params import GENESIS_HASH
+from lacuna.session import checkpoint_dir
 
 BLOCK = 128
 #: Levels of digests; ``BLOCK`` to the power of this bounds the number of blocks (268 million events). A longer log is refused, not
@@ -54,6 +55,8 @@ def anchors(blocks: DataFrame, block: int = BLOCK, levels: int = LEVELS) -> Data
     ``blocks`` is (pos, digest). A group holds at most ``block`` digests on every level. Levels that have nothing to the left
     of a block leave no trace in its trail, so more levels, or a longer log, change no anchor.
     """
+    checkpoint_dir(blocks.sparkSession)
+    blocks = blocks.checkpoint()  # one short row per block, so no level hashes payloads again
     out = blocks.select("pos", F.lit("").alias("trail"), F.col("pos").alias("up"))
     level = blocks
     for _ in range(levels):

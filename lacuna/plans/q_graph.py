@@ -130,6 +130,26 @@ def graph_export(spark, d):
     return G.nodes(estate(spark, d)).select("id", S.canonical_json(F.struct(*cols)).alias("document"))
 
 
+@query("graph_export_edges", "edges", """SELECT src, dst, to_json(struct_pack(dst := dst, relationship := relationship, src := src))::varchar AS document FROM edges""")
+def graph_export_edges(spark, d):
+    return analysis(spark, d).edges.select("src", "dst", S.canonical_json(F.struct("dst", "relationship", "src")).alias("document"))
+
+
+_HOPS = 12
+for _n in range(_HOPS):
+    _from = "SELECT id, id AS label FROM nodes" if _n == 0 else f"SELECT * FROM comp{_n - 1}"
+    cte(f"comp{_n}", f"nodes edges comp{_n - 1}" if _n else "nodes edges", f"""SELECT l.id, least(l.label, coalesce(min(o.label), l.label)) AS label FROM ({_from}) l
+ LEFT JOIN (SELECT src AS a, dst AS b FROM edges UNION ALL SELECT dst, src FROM edges) e ON e.a = l.id LEFT JOIN ({_from}) o ON o.id = e.b GROUP BY l.id, l.label""")
+
+
+@query("graph_component_count", f"comp{_HOPS - 1}", f"SELECT count(DISTINCT label) AS component_count, max(n) AS largest FROM (SELECT label, count(*) OVER (PARTITION BY label) AS n FROM comp{_HOPS - 1})")
+def graph_component_count(spark, d):
+    """The graph is shallow (every chain hangs off its entity), so the SQL twin spreads labels over a fixed number of hops."""
+    run = analysis(spark, d)
+    sizes = G.components(run.nodes.select("id"), run.edges).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.count(F.lit(1)).alias("component_count"), F.max("n").alias("largest"))
+
+
 @query("graph_subgraph", "nodes edges", """SELECT src, dst, relationship FROM edges WHERE src IN (SELECT id FROM nodes ORDER BY list_position(['CSE','ASSET','ANALYST','ALERT','INVESTIGATION','ESCALATION','CASE','CLOSURE','MISSING_EXPECTED'], entity_type), id LIMIT 40) AND dst IN (SELECT id FROM nodes ORDER BY list_position(['CSE','ASSET','ANALYST','ALERT','INVESTIGATION','ESCALATION','CASE','CLOSURE','MISSING_EXPECTED'], entity_type), id LIMIT 40)""")
 def graph_subgraph(spark, d):
     run = analysis(spark, d)

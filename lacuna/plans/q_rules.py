@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 from pyspark.sql import functions as F
 
 from lacuna.functions import scalar as S
@@ -353,3 +355,24 @@ def evidence_packages(spark, d):
 def evidence_integrity(spark, d):
     run = analysis(spark, d)
     return E.integrity(E.evidence_rows(run.findings), run.estate).select("finding_id", "rule_id", "evidence_count", "tampered_count", "status")
+
+
+@query("evidence_vanished", "evidence alerts assets", """SELECT finding_id, rule_id, count(*) AS evidence_count, count(*) FILTER (gone) AS tampered_count,
+ CASE WHEN count(*) FILTER (gone) > 0 THEN 'INTEGRITY_COMPROMISED' ELSE 'VERIFIED' END AS status FROM (SELECT *,
+ (source_table = 'alerts' AND source_record_id NOT IN (SELECT id FROM alerts WHERE severity <> 'CRITICAL')) OR (source_table = 'assets' AND source_record_id NOT IN (SELECT id FROM assets)) AS gone FROM evidence) GROUP BY 1, 2""")
+def evidence_vanished(spark, d):
+    """The critical alerts are deleted after the analysis: findings that stand on them are compromised, all others verified."""
+    run = analysis(spark, d)
+    left = SimpleNamespace(alerts=run.estate.alerts.where("severity <> 'CRITICAL'"), assets=run.estate.assets)
+    return E.integrity(E.evidence_rows(run.findings), left).select("finding_id", "rule_id", "evidence_count", "tampered_count", "status")
+
+
+@query("evidence_hash_check", "findings", "SELECT finding_id, rule_id = 'GAP-03' OR rule_id = 'NEG-02' AS changed FROM findings")
+def evidence_hash_check(spark, d):
+    """One payload of each GAP-03 and NEG-02 finding is rewritten after sealing: exactly their package hashes change."""
+    run = analysis(spark, d)
+    rows = E.evidence_rows(run.findings)
+    hit = F.col("rule_id").isin("GAP-03", "NEG-02") & (F.col("evidence_type") == "DATA_QUALITY")
+    now = E.integrity(rows.withColumn("payload_json", F.when(hit, "{}").otherwise(F.col("payload_json"))), run.estate)
+    sealed = E.integrity(rows, run.estate).select("finding_id", F.col("sha256_hash").alias("sealed"))
+    return now.join(sealed, "finding_id").select("finding_id", (F.col("sealed") != F.col("sha256_hash")).alias("changed"))
