@@ -340,3 +340,18 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 def query(spark: SparkSession, folder: str) -> DataFrame:
     out = near_groups(table(spark, folder, "documents"))
     return out.select("doc_id", "class_id", "n_links", "component_id", (F.col("alone") | F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"))
+
+
+#: The rows of :func:`query` in DuckDB's SQL: every pair that shares a shingle is compared there.
+SQL = r"""
+WITH RECURSIVE cut AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+sets AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE
+    list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')))) END AS s FROM cut),
+items AS MATERIALIZED (SELECT doc_id, unnest(s) AS shingle FROM sets),
+both_ AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM items x JOIN items y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+links AS MATERIALIZED (SELECT a, b, n = len(x.s) AND n = len(y.s) AS same FROM both_ JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b WHERE 9 * n >= 4 * (len(x.s) + len(y.s))),
+cc(id, label) USING KEY (id) AS (SELECT doc_id, doc_id FROM documents
+    UNION (SELECT l.b, min(c.label) FROM cc c JOIN links l ON c.id = l.a JOIN recurring.cc r ON r.id = l.b WHERE c.label < r.label GROUP BY l.b))
+SELECT id AS doc_id, least(id, coalesce(first_same, id)) AS class_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, label AS component_id, id = label AS kept
+FROM cc LEFT JOIN (SELECT a, count(*) AS n, min(b) FILTER (same) AS first_same FROM links GROUP BY a) d ON d.a = cc.id
+"""

@@ -253,3 +253,15 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, interval: int = INT
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
     return near_vectors(table(spark, folder, "embeddings"))
+
+
+#: The rows of :func:`query` in DuckDB's SQL: every pair is compared there.
+SQL = """
+WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+    WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id AND len(x.e) = len(y.e) WHERE list_cosine_similarity(x.e, y.e) >= 0.9),
+cc(id, label) USING KEY (id) AS (SELECT vec_id, vec_id FROM embeddings
+    UNION (SELECT l.b, min(c.label) FROM cc c JOIN links l ON c.id = l.a JOIN recurring.cc r ON r.id = l.b WHERE c.label < r.label GROUP BY l.b))
+SELECT id AS vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, label AS component_id, id = label AS kept
+FROM cc LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) d ON d.a = cc.id
+"""

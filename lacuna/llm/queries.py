@@ -17,6 +17,8 @@ QUERIES = {
     "op10_lattice_lm": lattice_lm.query,
 }
 ORACLES = {
+    "op2_grid_order_join": grid_join.SQL,
+    "op7_chosen_path_join": chosen_path.SQL,
     "op8_source_mixing": mixing.SQL,
     "op9_line_dedup": line_dedup.SQL,
 }
