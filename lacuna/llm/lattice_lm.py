@@ -48,31 +48,35 @@ def words_of(text: str | None) -> list[bytes]:
 class Lattice:
     """Pieces with probabilities, and the recursions over a word's segmentations.
 
-    ``arcs`` maps a string to its piece numbers (several for a character spelled by bytes) and their log probability."""
+    Pieces are a tree by characters; where one ends it has its number and log probability. A character that is no piece is
+    spelled by bytes."""
 
     def __init__(self, pieces: list[str], byte_pieces: dict[int, int], logp: np.ndarray):
         self.byte_pieces, self.logp = byte_pieces, logp
-        self.arcs = {p: ((i,), float(logp[i])) for i, p in enumerate(pieces) if p}
-        self.longer = {p[:k] for p in pieces for k in range(1, len(p))}
-
-    def spelled(self, char: str) -> tuple[tuple[int, ...], float]:
+        self.tree: dict = {}
+        for i, piece in enumerate(pieces):
+            if piece:
+                node = self.tree
+                for char in piece:
+                    node = node.setdefault(char, {})
+                node[""] = ((i,), float(logp[i]), math.exp(logp[i]))
+
+    def spelled(self, char: str) -> tuple[tuple[int, ...], float, float]:
         ids = tuple(self.byte_pieces[b] for b in char.encode("utf-8", "surrogatepass"))
-        return ids, float(sum(self.logp[i] for i in ids))
+        lp = float(sum(self.logp[i] for i in ids))
+        return ids, lp, math.exp(lp)
 
-    def edges(self, s: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
-        """For each place the arcs that start there: end, piece numbers, log probability."""
-        arcs, longer, n, out = self.arcs, self.longer, len(s), []
+    def edges(self, s: str) -> list[list[tuple[int, tuple[int, ...], float, float]]]:
+        """For each place the arcs that start there: end, piece numbers, log probability, probability."""
+        tree, n, out = self.tree, len(s), []
         for i in range(n):
-            here, j = [], i + 1
-            while True:
-                part = s[i:j]
-                if (arc := arcs.get(part)) is not None:
-                    here.append((j, *arc))
-                elif j == i + 1:
-                    here.append((j, *self.spelled(part)))
-                if j == n or part not in longer:
-                    break
+            here, node, j = [], tree, i
+            while j < n and (node := node.get(s[j])) is not None:
                 j += 1
+                if (arc := node.get("")) is not None:
+                    here.append((j, *arc))
+            if not here or here[0][0] > i + 1:
+                here.insert(0, (i + 1, *self.spelled(s[i])))
             out.append(here)
         return out
 
@@ -83,7 +87,7 @@ class Lattice:
         a[0] = 0.0
         for i, here in enumerate(edges):
             ai = a[i]
-            for j, _, lp in here:
+            for j, _, lp, _ in here:
                 x, y = a[j], ai + lp
                 if x is None:
                     a[j] = y
@@ -99,7 +103,7 @@ class Lattice:
         b: list[float] = [0.0] * (n + 1)
         for i in range(n - 1, -1, -1):
             t = None
-            for j, _, lp in edges[i]:
+            for j, _, lp, _ in edges[i]:
                 y = lp + b[j]
                 t = y if t is None else t + log1p(exp(y - t)) if t >= y else y + log1p(exp(t - y))
             b[i] = t
@@ -110,14 +114,33 @@ class Lattice:
         s = START + word.decode("utf-8", "surrogatepass")
         return self.forward(self.edges(s), len(s))[-1]
 
-    def expect(self, word: bytes, n: float, into: np.ndarray) -> None:
+    def expect(self, word: bytes, n: float, into: list[float]) -> None:
         """Add the expected number of times that ``n`` occurrences of a word use each piece."""
         s = START + word.decode("utf-8", "surrogatepass")
         edges = self.edges(s)
-        a, b = self.forward(edges, len(s)), self.backward(edges, len(s))
+        size = len(s)
+        if size < 64:  # short words can't run out of range: plain products, unless a character is spelled
+            a, b = [1.0] + [0.0] * size, [0.0] * size + [1.0]
+            for i, here in enumerate(edges):
+                x = a[i]
+                for j, _, _, p in here:
+                    a[j] += x * p
+            for i in range(size - 1, -1, -1):
+                b[i] = sum([p * b[j] for j, _, _, p in edges[i]])
+            z = a[size]
+            if z > 1e-250:
+                n /= z
+                for i, here in enumerate(edges):
+                    x = n * a[i]
+                    for j, ids, _, p in here:
+                        share = x * p * b[j]
+                        for k in ids:
+                            into[k] += share
+                return
+        a, b = self.forward(edges, size), self.backward(edges, size)
         z, exp = a[-1], math.exp
         for i, here in enumerate(edges):
-            for j, ids, lp in here:
+            for j, ids, lp, _ in here:
                 share = n * exp(a[i] + lp + b[j] - z)
                 for k in ids:
                     into[k] += share
@@ -179,10 +202,11 @@ def fitted(counts: DataFrame, vocabulary: Vocabulary, steps: int = STEPS) -> np.
 
         def expected(it, shared=shared):
             voc, p = shared.value
-            lattice, into = voc.lattice(p), np.zeros(len(p))
+            lattice, into = voc.lattice(p), [0.0] * len(p)
             for pdf in it:
                 for word in pdf["word"]:
                     lattice.expect(bytes(word), 1.0, into)
+            into = np.array(into)
             some = np.flatnonzero(into)
             yield pd.DataFrame({"piece": some, "e": into[some]})
         rows = counts.where("c > 0").select("word").mapInPandas(expected, "piece long, e double")
