@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from lacuna.llm.common import table
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
-REMEMBERED = 240_000
+REMEMBERED = 120_000
 ODD_SPACE = re.compile(r"[^\S \n]|  |\n\n| \n|\n |^[ \n]|[ \n]\Z")
 
 
@@ -129,14 +129,14 @@ class Tables:
 class Codec:
     """Encodes texts and decodes ids in one worker."""
 
-    def __init__(self, tables: Tables):
+    def __init__(self, tables: Tables, remembered: int = REMEMBERED):
         self.tokens, self.hash, self.byte_ids = tables.tokens, tables.hash, tables.byte_ids
         left, right, whole = tables.pairs.T
         self.merged = dict(zip((left << 20 | right).tolist(), whole.tolist(), strict=True))
         self.pieces = regex.compile(tables.pattern).findall
-        self.plain = Remembered(self._chunk, REMEMBERED // 4)
-        self.spaced = Remembered(lambda chunk: self._chunk(" " + chunk))
-        self.whole = Remembered(lambda text: tuple(self.piece(text)))
+        self.plain = Remembered(self._chunk, remembered // 4)
+        self.spaced = Remembered(lambda chunk: self._chunk(" " + chunk), remembered)
+        self.whole = Remembered(lambda text: tuple(self.piece(text)), remembered)
         self.digits = [str(i) for i in range(len(self.tokens))]
 
     def _chunk(self, chunk: str) -> tuple[int, ...]:
@@ -192,15 +192,16 @@ class Codec:
 
 
 _TABLES: dict[tuple[str, str], Tables] = {}
-_CODECS: dict[str, Codec] = {}
+_CODECS: dict[tuple[str, int], Codec] = {}
 
 
-def codec(tables: Tables) -> Codec:
+def codec(tables: Tables, remembered: int = REMEMBERED) -> Codec:
     """The codec of this process for these tables; tasks that follow each other in a worker share what it remembers."""
-    if tables.key not in _CODECS:
+    key = (tables.key, remembered)
+    if key not in _CODECS:
         _CODECS.clear()
-        _CODECS[tables.key] = Codec(tables)
-    return _CODECS[tables.key]
+        _CODECS[key] = Codec(tables, remembered)
+    return _CODECS[key]
 
 
 def tables(path: str | None = None, pattern: str | None = None) -> Tables:
@@ -218,7 +219,7 @@ def _column(spark: SparkSession, path: str | None, kind: str, fn):
 
     @F.pandas_udf(kind)
     def column(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = codec(shared.value)
+        own = codec(shared.value, REMEMBERED // 3)  # ids themselves take memory here
         for values in series:
             yield fn(own, values)
     return column
