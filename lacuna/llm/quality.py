@@ -4,7 +4,8 @@ The counts come from one pass over the texts and are written once; everything af
 rules has a vector of transformed statistics (shares by arc sine of the root, lengths by logarithm). Per language, and from there
 per language and source, location and scatter are those of the half with the smallest determinant, found by concentration steps on
 Spark: distances under the present estimate are counted in fine classes per group, together with the moments of each class;
-the classes that hold the nearest ``SHARE`` of a group give the next estimate. A step is one aggregation that is combined map side, so
+the classes that hold the nearest ``SHARE`` of a group give the next estimate, the class that crosses that mark in proportion, so that
+junk of up to nearly half a group is left out. A step is one aggregation that is combined map side, so
 a hot source is never gathered; medians that start the search come from histograms in the same way. All rows count, and the
 result does not depend on partitioning beyond the last bits of sums.
 
@@ -36,7 +37,8 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 FEATURES = ["length", "symbols", "punct", "upper", "digits", "adjacent", "repeats"]
 P = len(FEATURES)
 STEPS = 5
-SHARE = 0.75
+SHARE = 0.5
+CONSISTENCY = 1.696  # what the nearest half of P normal variables shows of their variance, inverted: 0.5 / P(chi2[P + 2] <= median of chi2[P])
 FLOOR = np.array([0.1, 0.05, 0.06, 0.06, 0.2, 0.1, 0.35])  # repeats are for the base rules, digits often belong to clean texts
 BORROW = 30.0
 CUT = 10.0
@@ -118,8 +120,9 @@ def _starts(vectors: DataFrame) -> DataFrame:
 
     def start(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("j")
-        spread = np.maximum((pdf["high"] - pdf["low"]).to_numpy() / 2000 / 1.349, FLOOR)
-        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "mu": [pdf["mid"].to_numpy() / 2000], "cov": [np.diag(spread ** 2).ravel()], "n": [0.0]})
+        mid = pdf["mid"].to_numpy()
+        spread = np.maximum(2 * np.minimum(pdf["high"] - mid, mid - pdf["low"]).to_numpy() / 2000 / 1.349, FLOOR)  # the side without junk
+        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "mu": [mid / 2000], "cov": [np.diag(spread ** 2).ravel()], "n": [0.0]})
     return quart.groupBy("lang").applyInPandas(start, "lang string, mu array<double>, cov array<double>, n double")
 
 
@@ -148,6 +151,11 @@ def _with_estimates(vectors: DataFrame, estimates: DataFrame, keys: list[str]) -
     return vectors.join(e, on).drop(*[f"of_{k}" for k in keys])
 
 
+def _nearest(n: np.ndarray, share: float = SHARE) -> np.ndarray:
+    """How much of each class, nearest first, belongs to the nearest ``share`` of all rows."""
+    return np.clip((share * n.sum() - (np.cumsum(n) - n)) / n, 0.0, 1.0)
+
+
 def _concentrate(vectors: DataFrame, estimates: DataFrame, keys: list[str], target: DataFrame | None) -> DataFrame:
     """One concentration step for all groups at once."""
     near = _with_estimates(vectors, estimates, keys).withColumn("d", _distance()).withColumn("class", F.floor(8 * F.log2(F.col("d") + 1e-3)).cast("int"))
@@ -160,12 +168,11 @@ def _concentrate(vectors: DataFrame, estimates: DataFrame, keys: list[str], targ
 
     def estimate(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("class")
-        upto = np.searchsorted(np.cumsum(pdf["n"].to_numpy()), SHARE * pdf["n"].sum()) + 1
-        near = pdf.iloc[:upto]
-        n = float(near["n"].sum())
-        mean = np.array([near[f"s{i}"].sum() for i in range(P)]) / n
-        second = np.array([[near[f"s{max(i, j)}_{min(i, j)}"].sum() for j in range(P)] for i in range(P)]) / n
-        cov = (second - np.outer(mean, mean)) * 1.9  # the nearest three quarters show less than the whole scatter
+        part = _nearest(pdf["n"].to_numpy(float))
+        n = float(part @ pdf["n"])
+        mean = np.array([part @ pdf[f"s{i}"] for i in range(P)]) / n
+        second = np.array([[part @ pdf[f"s{max(i, j)}_{min(i, j)}"] for j in range(P)] for i in range(P)]) / n
+        cov = (second - np.outer(mean, mean)) * CONSISTENCY
         if shrink:
             own = n / (n + BORROW)
             mean = own * mean + (1 - own) * np.asarray(pdf["t_mu"].iloc[0])

@@ -78,6 +78,24 @@ def test_quality_rejects_outliers_and_keeps_the_rest(spark):
     assert sum(out[k] for k in range(300)) >= 297
 
 
+def invented(rng, n):
+    return [" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(60)) for _ in range(n)]
+
+
+def test_quality_rejects_equal_junk_of_nearly_half_a_source(spark):
+    """Per language one source with 28 to 45 % junk of one kind; about a fifth of its characters are symbols."""
+    rng, rows, junk = random.Random(3), [], set()
+    for share in (28, 30, 35, 40, 45):
+        for k, text in enumerate(invented(rng, 200)):
+            if k < 2 * share:
+                junk.add(len(rows))
+                text = " ".join(w + "%" * (j % 2 + 1) for j, w in enumerate(text.split()))
+            rows.append((len(rows), text, f"l{share}", "a"))
+    out = {r["doc_id"]: r["kept"] for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not [k for k in junk if out[k]]
+    assert sum(out[k] for k in out if k not in junk) >= 0.98 * (len(rows) - len(junk))
+
+
 def test_line_dedup_against_plain_loops(spark, docs):
     rows = odd_documents()
     holders = defaultdict(set)
