@@ -9,8 +9,10 @@ junk of up to nearly half a group is left out. A step is one aggregation that is
 a hot source is never gathered; medians that start the search come from histograms in the same way. All rows count, and the
 result does not depend on partitioning beyond the last bits of sums.
 
-Scatter is shrunk toward that of the language as far as a group is small, and never falls below ``FLOOR`` (as in regularised MCD),
-since many statistics are nearly always zero. A text is rejected beyond ``CUT`` times the median squared distance of its group.
+A last step takes location and scatter again from all texts within the 97.5 % quantile of chi-square (reweighted MCD), so that a statistic
+that is zero in most texts gets the scatter of those where it is not. Scatter is shrunk toward that of the language as far as a
+group is small, and the square of ``FLOOR``, a small regulariser, is added. Squared distances are divided by their group's median over that of
+chi-square where this is above one; a text is rejected beyond the 99.99 % quantile ``CUT``.
 
 Defined cases: a null text has no words and fails the base rules; null languages and sources are groups of their own; equal rows get equal
 verdicts; a group of one text takes its language's estimate; an empty table gives no rows; other columns are not read.
@@ -39,9 +41,10 @@ P = len(FEATURES)
 STEPS = 5
 SHARE = 0.5
 CONSISTENCY = 1.696  # what the nearest half of P normal variables shows of their variance, inverted: 0.5 / P(chi2[P + 2] <= median of chi2[P])
-FLOOR = np.array([0.1, 0.05, 0.06, 0.06, 0.2, 0.1, 0.35])  # repeats are for the base rules, digits often belong to clean texts
+FLOOR = np.array([0.05, 0.03, 0.04, 0.04, 0.06, 0.04, 0.1])  # digits: numbers in a short clean text reach a tenth; repeats: clean texts repeat a passage
 BORROW = 30.0
-CUT = 10.0
+CHI_MEDIAN, CHI_NEAR, CUT = 6.346, 16.013, 29.88  # quantiles 0.5, 0.975 and 0.9999 of chi-square with P degrees
+NEAR_CONSISTENCY = 1.045  # as CONSISTENCY, for the quantile 0.975
 
 
 def repeated_words(codes: np.ndarray, ends: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -156,8 +159,15 @@ def _nearest(n: np.ndarray, share: float = SHARE) -> np.ndarray:
     return np.clip((share * n.sum() - (np.cumsum(n) - n)) / n, 0.0, 1.0)
 
 
-def _concentrate(vectors: DataFrame, estimates: DataFrame, keys: list[str], target: DataFrame | None) -> DataFrame:
-    """One concentration step for all groups at once."""
+def _within(level: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Which classes lie within the quantile CHI_NEAR once distances are scaled by their median."""
+    d = 2.0 ** ((level + 0.5) / 8)
+    middle = d[np.searchsorted(np.cumsum(n), 0.5 * n.sum())]
+    return (d <= CHI_NEAR * max(middle / CHI_MEDIAN, 1.0)).astype(float)
+
+
+def _concentrate(vectors: DataFrame, estimates: DataFrame, keys: list[str], target: DataFrame | None, last: bool = False) -> DataFrame:
+    """One concentration step for all groups at once; the last one takes all texts within a quantile."""
     near = _with_estimates(vectors, estimates, keys).withColumn("d", _distance()).withColumn("class", F.floor(8 * F.log2(F.col("d") + 1e-3)).cast("int"))
     sums = [F.sum(f"x{i}").alias(f"s{i}") for i in range(P)] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i in range(P) for j in range(i + 1)]
     classes = near.groupBy(*keys, "class").agg(F.count(F.lit(1)).alias("n"), *sums)
@@ -168,11 +178,12 @@ def _concentrate(vectors: DataFrame, estimates: DataFrame, keys: list[str], targ
 
     def estimate(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("class")
-        part = _nearest(pdf["n"].to_numpy(float))
+        part = pdf["n"].to_numpy(float)
+        part = _within(pdf["class"].to_numpy(float), part) if last else _nearest(part)
         n = float(part @ pdf["n"])
         mean = np.array([part @ pdf[f"s{i}"] for i in range(P)]) / n
         second = np.array([[part @ pdf[f"s{max(i, j)}_{min(i, j)}"] for j in range(P)] for i in range(P)]) / n
-        cov = (second - np.outer(mean, mean)) * CONSISTENCY
+        cov = (second - np.outer(mean, mean)) * (NEAR_CONSISTENCY if last else CONSISTENCY)
         if shrink:
             own = n / (n + BORROW)
             mean = own * mean + (1 - own) * np.asarray(pdf["t_mu"].iloc[0])
@@ -198,22 +209,22 @@ def _medians(vectors: DataFrame, estimates: DataFrame, keys: list[str]) -> DataF
 
 
 def judged(docs: DataFrame, cut: float = CUT) -> DataFrame:
-    """The counts of every document with base_failed, distance2 (in units of its group's median) and kept."""
+    """The counts of every document with base_failed, distance2 (on the scale of chi-square) and kept."""
     counts = counted(docs).withColumn("base_failed", base_failed())
     vectors = stage(counts.where(~F.col("base_failed")).select("lang", "source", *[x.alias(f"x{j}") for j, x in enumerate(features())]), "vectors")
     by_lang = stage(_starts(vectors), "starts")
-    for _ in range(STEPS):
-        by_lang = _concentrate(vectors, by_lang, ["lang"], None)
+    for k in range(STEPS + 1):
+        by_lang = _concentrate(vectors, by_lang, ["lang"], None, k == STEPS)
     pairs = vectors.select("lang", "source").distinct()
     both = pairs.join(by_lang.withColumnRenamed("lang", "l"), F.col("lang").eqNullSafe(F.col("l"))).select("lang", "source", "mu", "cov", "n")
     both = stage(both, "estimates")
-    for _ in range(STEPS):
-        both = _concentrate(vectors, both, ["lang", "source"], by_lang)
+    for k in range(STEPS + 1):
+        both = _concentrate(vectors, both, ["lang", "source"], by_lang, k == STEPS)
     both = _medians(vectors, both, ["lang", "source"])
     all_ = counts.select("*", *[x.alias(f"x{j}") for j, x in enumerate(features())])
     e = stage(both.select(F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), "mu", F.pandas_udf(_whitening, "array<double>")("cov").alias("w"), "middle"), "estimates")
     found = all_.join(e, F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(F.col("of_source")), "left")
-    scale = F.greatest(F.col("middle"), F.lit(1.0))
+    scale = F.greatest(F.col("middle") / CHI_MEDIAN, F.lit(1.0))
     found = found.withColumn("distance2", F.when(~F.col("base_failed"), _distance() / scale))
     return found.withColumn("kept", ~F.col("base_failed") & (F.col("distance2") <= cut)).select(*counts.columns, "distance2", "kept")
 

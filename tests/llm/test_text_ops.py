@@ -96,6 +96,22 @@ def test_quality_rejects_equal_junk_of_nearly_half_a_source(spark):
     assert sum(out[k] for k in out if k not in junk) >= 0.98 * (len(rows) - len(junk))
 
 
+def test_quality_rejects_number_dumps_in_prose(spark):
+    """2 % of a source have 30 to 60 % digits, beside clean texts that are almost without."""
+    rng, rows, junk = random.Random(4), [], {}
+    for k, text in enumerate(invented(rng, 400)):
+        if k % 50 == 0:
+            share = (30, 40, 50, 60)[k // 50 % 4]
+            junk[k] = share
+            text = "".join(c if c == " " or rng.random() * 100 >= share else rng.choice("0123456789") for c in text)
+        elif k % 10 == 1:
+            text += " 12"
+        rows.append((k, text, "en", "a"))
+    out = {r["doc_id"]: r["kept"] for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not {k: share for k, share in junk.items() if out[k]}
+    assert sum(out[k] for k in out if k not in junk) >= 0.98 * (len(rows) - len(junk))
+
+
 def test_line_dedup_against_plain_loops(spark, docs):
     rows = odd_documents()
     holders = defaultdict(set)
