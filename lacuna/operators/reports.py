@@ -106,10 +106,13 @@ def threat_summary(assets: DataFrame, findings: DataFrame, mapping: DataFrame) -
         .withColumn("threat_groups_associated", assets.where("primary_cve is not null").agg(F.countDistinct("threat_group")).scalar())
 
 
-def bound_tables(parts: dict[str, DataFrame]) -> DataFrame:
+def bound_tables(parts: dict[str, DataFrame] | DataFrame) -> DataFrame:
     """(cse_id, part, row_count, digest): what a report binds of its long tables, each with a cse_id, per entity.
 
-    The digest is that of the bag of rows, so order and partitioning don't matter and no list is gathered."""
+    The digest is that of the bag of rows, so order and partitioning don't matter and no list is gathered. A table of this
+    shape is returned as it is."""
+    if isinstance(parts, DataFrame):
+        return parts
     out = None
     for name, df in parts.items():
         cols = [F.to_json(F.struct(c)) if isinstance(df.schema[c].dataType, (T.ArrayType, T.StructType, T.MapType)) else F.col(c) for c in sorted(df.columns)]
@@ -118,13 +121,13 @@ def bound_tables(parts: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def snapshots(summary: DataFrame, report_type: str, run_id: str, as_of: str, parts: dict[str, DataFrame] | None = None) -> DataFrame:
+def snapshots(summary: DataFrame, report_type: str, run_id: str, as_of: str, parts: dict[str, DataFrame] | DataFrame | None = None) -> DataFrame:
     """One signed document per row of a report table; the checksum covers the canonical content.
 
     ``parts`` are the report's long tables; their row counts and digests per entity are part of the signed content."""
     fields = sorted(c for c in summary.columns if c != "cse_id")
     body = [F.lit(run_id).alias("analysis_run_id"), F.col("cse_id")]
-    if parts:
+    if parts is not None:
         bound = bound_tables(parts).groupBy("cse_id").agg(F.array_sort(F.collect_list(F.struct("part", "row_count", "digest"))).alias("parts"))  # one entry per part
         summary = summary.join(bound, "cse_id", "left")
         body.append(F.coalesce("parts", F.array().cast("array<struct<part:string,row_count:long,digest:string>>")).alias("parts"))
@@ -141,7 +144,7 @@ def verify_snapshots(stored: DataFrame) -> DataFrame:
     return stored.withColumn("is_tampered", F.sha2("content_json", 256) != F.col("sha256_checksum"))
 
 
-def changed_parts(stored: DataFrame, parts: dict[str, DataFrame]) -> DataFrame:
+def changed_parts(stored: DataFrame, parts: dict[str, DataFrame] | DataFrame) -> DataFrame:
     """(cse_id, part) of every signed part whose table is no longer what was signed, vanished rows included."""
     shape = "parts array<struct<part:string,row_count:long,digest:string>>"
     signed = stored.select("cse_id", F.explode(F.from_json("content_json", shape)["parts"]).alias("p")).select("cse_id", "p.*")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lacuna.functions.digest import multiset_digest, row_hash
 from lacuna.operators import evidence as E
 from lacuna.operators import reports as RP
 from lacuna.params import RULE_REGISTER
@@ -128,30 +129,73 @@ def report_snapshot_check(spark, d):
     return RP.verify_snapshots(_snapshots(spark, d).withColumn("content_json", text)).select("report_id", "cse_id", "is_tampered")
 
 
-def _parts(spark, d):
-    run = analysis(spark, d)
-    findings = run.findings.select("cse_id", "finding_id", "rule_id", "severity", "status", "risk_score")
-    owner = run.findings.select("finding_id", "cse_id")
-    evidence = E.evidence_rows(run.findings).join(owner, "finding_id").select("cse_id", "evidence_id", "source_table", "source_record_id")
-    return {"findings": findings, "evidence": evidence, "assets": run.estate.assets.select("cse_id", "id", "criticality", "status")}
+#: The tables each kind of report shows, beside the findings, evidence and assets that all of them stand on.
+COMMON = ["findings", "evidence", "assets"]
+OWN_TABLES = {"EXECUTIVE": ["top_gaps", "kev_exposures"], "TECHNICAL": ["technical"], "RISK": ["risk_components", "asset_risk"], "ASSET": ["asset_report", "cve_inventory"], "THREAT": ["cve_inventory", "technique_coverage"]}
+
+
+def _tables(spark, d, findings, evidence):
+    """Whole rows of every table that a report shows, with a cse_id. A table over all entities counts for each of them, by its digest."""
+    run, assets, mapping = analysis(spark, d), enriched(spark, d), technique_map(spark, d)
+    ids = run.estate.entities.select(F.col("id").alias("cse_id"))
+
+    def shared(df):
+        cols = [F.to_json(F.struct(c)) if t.startswith("array") else F.col(c) for c, t in sorted(df.dtypes)]
+        return ids.crossJoin(multiset_digest(df.select(row_hash(*cols).alias("row_hash"))))  # one row
+    return {"findings": findings.drop("evidence"), "evidence": evidence, "assets": run.estate.assets, "top_gaps": RP.top_gaps(findings, mapping).drop("evidence"),
+            "kev_exposures": RP.kev_exposures(assets), "technical": RP.technical_findings(findings, assets, mapping).drop("evidence"), "risk_components": RP.risk_components(run.risk),
+            "asset_risk": RP.asset_risk(assets), "asset_report": RP.asset_report(assets, findings), "cve_inventory": shared(RP.cve_inventory(assets)),
+            "technique_coverage": shared(RP.technique_coverage(findings, mapping))}
+
+
+def _evidence(findings):
+    """All columns of the evidence, with the entity of its finding."""
+    return E.evidence_rows(findings).join(findings.select("finding_id", "cse_id"), "finding_id")
+
+
+def _summaries(spark, d):
+    """The own report of each kind, a row per entity."""
+    run, assets = analysis(spark, d), enriched(spark, d)
+    ids = run.estate.entities.select(F.col("id").alias("cse_id"))
+    per_asset = RP.asset_report(assets, run.findings).groupBy("cse_id").agg(F.count(F.lit(1)).alias("assets"), F.sum("findings_count").alias("findings_count"), F.max("top_priority").alias("top_priority"), F.count_if("is_kev").alias("kev_assets"))
+    return {"EXECUTIVE": _executive(spark, d), "TECHNICAL": ids.join(RP.technical_summary(_technical(spark, d)), "cse_id", "left"), "RISK": ids.join(RP.risk_summary(run.risk, assets), "cse_id", "left"),
+            "ASSET": ids.join(per_asset, "cse_id", "left"), "THREAT": ids.crossJoin(RP.threat_summary(assets, run.findings, technique_map(spark, d)))}
+
+
+def _altered(spark, d, findings, evidence):
+    """(cse_id, part, kind): all five kinds are signed with their tables; what is found changed once findings and evidence are the given ones."""
+    run, place = analysis(spark, d), scratch(spark, "reports")
+    then = written(RP.bound_tables(_tables(spark, d, run.findings, _evidence(run.findings))), "then", place)
+    now = written(RP.bound_tables(_tables(spark, d, findings, evidence)), "now", place)
+    found = None
+    for kind, summary in _summaries(spark, d).items():
+        mine = F.col("part").isin(*COMMON, *OWN_TABLES[kind])
+        signed = written(RP.snapshots(summary, kind, run.estate.run_id, AS_OF, then.where(mine)), f"signed_{kind}", place)
+        one = RP.changed_parts(signed, now.where(mine)).withColumn("kind", F.lit(kind))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+def _in_all(found):
+    return found.groupBy("cse_id", "part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(OWN_TABLES)).drop("n")
 
 
 @query("report_altered_parts", "findings", "SELECT cse_id, 'findings' AS part FROM findings WHERE finding_id = (SELECT min(finding_id) FROM findings)")
 def report_altered_parts(spark, d):
     """All five reports are signed with their tables; one finding is altered afterwards. Exactly its entity's findings are flagged, in each."""
-    run, parts = analysis(spark, d), _parts(spark, d)
-    signed = None
-    for kind in ("EXECUTIVE", "TECHNICAL", "RISK", "ASSET", "THREAT"):
-        one = RP.snapshots(_executive(spark, d), kind, run.estate.run_id, AS_OF, parts)
-        signed = one if signed is None else signed.unionByName(one)
-    signed = written(signed, "signed", scratch(spark, "reports"))
-    victim = parts["findings"].agg(F.min("finding_id")).scalar()
-    altered = parts | {"findings": parts["findings"].withColumn("status", F.when(F.col("finding_id") == victim, "ALTERED").otherwise(F.col("status")))}
-    found = None
-    for (kind,) in signed.select("report_type").distinct().collect():
-        one = RP.changed_parts(signed.where(F.col("report_type") == kind), altered).withColumn("kind", F.lit(kind))
-        found = one if found is None else found.unionByName(one)
-    return found.groupBy("cse_id", "part").agg(F.count(F.lit(1)).alias("n")).where("n = 5").drop("n")
+    run = analysis(spark, d)
+    victim = run.findings.agg(F.min("finding_id")).scalar()
+    altered = run.findings.withColumn("status", F.when(F.col("finding_id") == victim, "ALTERED").otherwise(F.col("status")))
+    return _in_all(_altered(spark, d, altered, _evidence(run.findings)))
+
+
+@query("report_altered_evidence", "findings", "SELECT cse_id, 'evidence' AS part FROM findings WHERE finding_id = (SELECT min(finding_id) FROM findings)")
+def report_altered_evidence(spark, d):
+    """As report_altered_parts, but what is altered is the payload of one finding's evidence."""
+    run = analysis(spark, d)
+    victim = run.findings.agg(F.min("finding_id")).scalar()
+    altered = _evidence(run.findings).withColumn("payload_json", F.when(F.col("finding_id") == victim, "{}").otherwise(F.col("payload_json")))
+    return _in_all(_altered(spark, d, run.findings, altered))
 
 
 @query("analysis_rerun", "findings", "SELECT CASE WHEN rule_id LIKE 'GAP-%' THEN 'gap' ELSE 'negative_space' END AS engine, rule_id, count(*) AS n FROM findings WHERE rule_id NOT LIKE 'GAP-%' GROUP BY 1, 2")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entrypoint
 from lacuna.functions.digest import multiset_digest, row_hash
 from lacuna.operators import evaluation as V
+from lacuna.plans import q_reports
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -67,5 +68,20 @@ def test_query_matches_its_sql(spark, name):
     assert _norm([r[c] for c in cols] for r in got.collect()) == _norm([r[have.index(c)] for c in cols] for r in res.fetchall())
 
 
+@pytest.mark.parametrize("name", ["report_altered_parts", "report_altered_evidence"])
+def test_an_altered_finding_or_payload_is_found_in_all_reports(spark, name):
+    test_query_matches_its_sql(spark, name)
+
+
+def test_every_kind_signs_its_own_report_and_whole_tables(spark):
+    findings = q_reports.analysis(spark, FOLDER).findings
+    tables = q_reports._tables(spark, FOLDER, findings, q_reports._evidence(findings))
+    assert set(tables["findings"].columns) == set(findings.columns) - {"evidence"}
+    assert {"payload_json", "description", "relevance", "evidence_timestamp"} <= set(tables["evidence"].columns)
+    summaries = q_reports._summaries(spark, FOLDER)
+    assert set(summaries) == set(q_reports.OWN_TABLES) and len({tuple(sorted(x.columns)) for x in summaries.values()}) == 5
+    assert all("cse_id" in tables[part].columns for own in q_reports.OWN_TABLES.values() for part in own)
+
+
 def test_entry_returns_rows(spark):
     assert entrypoint.entry(spark).count() == 25
