@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lacuna.llm import bpe, chosen_path, grid_join, hard_negatives, lattice_lm, line_dedup, mixing, ordering, quality, secret_scan, shuffle, toxicity
+from lacuna.llm import bpe, chosen_path, divergence, grid_join, hard_negatives, lattice_lm, line_dedup, mixing, ordering, quality, secret_scan, shuffle, toxicity
 
 QUERIES = {
     "op1_training_order": ordering.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_line_dedup": line_dedup.query,
     "op10_lattice_lm": lattice_lm.query,
     "op11_hard_negatives": hard_negatives.query,
+    "op12_source_divergence": divergence.query,
     "op13_ownership_secrets": secret_scan.query,
 }
 ORACLES = {
@@ -24,5 +25,6 @@ ORACLES = {
     "op8_source_mixing": mixing.SQL,
     "op9_line_dedup": line_dedup.SQL,
     "op11_hard_negatives": hard_negatives.SQL,
+    "op12_source_divergence": divergence.SQL,
     "op13_ownership_secrets": secret_scan.SQL,
 }
