@@ -1,16 +1,20 @@
 """Source divergence audit: how far the word use of each source is from the other sources of its language, in exact integers.
 
 Terms are runs of ASCII letters and of characters beyond ASCII, with A-Z lower-cased. A language keeps the terms that enough of its
-documents hold. The kept terms of a language, sorted, are cut into ranges of bounded size, and each range becomes a minimal acyclic
-transducer: equal suffixes share states, and the numbers on its arcs add up to a term's ordinal, its place among all
-kept terms of the range. The texts are then read again, and their terms, summed per task, flow in ranges of their own through the
-transducer of their range, which drops what isn't kept and gives the rest as numbers. From there on terms are ordinals: counts, sums over
-all kept terms and ties need no strings, and only terms that are reported are spelled out again, by walking from a number to its term.
+documents hold. The kept terms of a language are sorted and numbered: the ordinal of a term is its place among them. Minimal
+acyclic transducers hold them: equal suffixes share states, and the numbers on the arcs add up to a term's place. The texts are
+then read again and their terms stream through the transducers, which drop what isn't kept and give the rest as ordinals. From there on terms
+are numbers: counts, sums over all kept terms and ties need no strings, and only terms that are reported are spelled out again.
+
+The vocabulary is held in two tiers. The terms of most documents, at most ``HEAD_TERMS`` of them with at most ``HEAD_BYTES`` bytes, make one transducer per
+language that every reading task has; nearly all of a text's words end there and leave the task as packed arrays of counts. The rest of
+a text's words, few and mostly unkept, flow in sorted ranges together with the kept terms of the same ranges, and each range has
+a transducer of its own. Both tiers count exactly, so where the line between them lies changes no result.
 
 Sums over all terms of a language are made in chunks of ordinals, each a small matrix of sources by terms, so a term that no text
 of a source holds counts with its smoothed share as the definition wants. The report of a group's leading terms is cut in each chunk first.
 
-No vocabulary is broadcast, gathered on the driver or held whole by a task. A hot source or word is summed in the reading tasks.
+Only the first tier, whose size is a parameter, is sent to all workers. A hot source or word is summed in the reading tasks.
 
 Defined cases: null text, lang and source are ''; a text without terms still makes its group occur; a language without kept terms has value 0 for
 all pairs and no term rows; a language with one source has no pairs; repeated rows are documents of their own; equal values go by the
@@ -19,11 +23,11 @@ order of UTF-8 bytes; an empty table gives no rows; other columns, whatever thei
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,9 +38,10 @@ LEAST_DOCS = 3
 UNIT = 1_000_000_000
 TOP = 200
 
-SHARD_TERMS = 200_000
-HELD = 200_000
-CHUNK_CELLS = 1 << 20
+HEAD_TERMS, HEAD_BYTES = 400_000, 8 << 20
+RANGE_TERMS = 200_000
+HELD = 400_000
+CHUNK_CELLS = 1 << 17
 
 #: Bytes of terms, upper case to lower; all others separate.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -50,10 +55,11 @@ def terms_of(text: bytes | None) -> list[bytes]:
 class Transducer:
     """A minimal acyclic transducer from sorted byte strings to their ordinals, as arrays of arcs ordered by (state, byte).
 
-    State 0 is the start. An arc adds the number of strings that end before those behind it; a string's ordinal is the sum along its path."""
+    State 0 is the start. An arc adds the number of strings that end before those behind it; the sum along a string's path is its
+    place, and ``ordinals`` has the ordinal of each place."""
 
-    def __init__(self, keys: np.ndarray, targets: np.ndarray, adds: np.ndarray, final: np.ndarray):
-        self.keys, self.targets, self.adds, self.final = keys, targets, adds, final
+    def __init__(self, keys: np.ndarray, targets: np.ndarray, adds: np.ndarray, final: np.ndarray, ordinals: np.ndarray):
+        self.keys, self.targets, self.adds, self.final, self.of_place = keys, targets, adds, final, ordinals
 
     def ordinals(self, words: list[bytes]) -> np.ndarray:
         """The ordinal of each word, -1 for strings that aren't in the vocabulary; all words walk a byte at a time together."""
@@ -74,27 +80,17 @@ class Transducer:
             state[at] = self.targets[arc]
             out[at] += self.adds[arc]
             depth += 1
-        return out
-
-    def word(self, ordinal: int) -> bytes:
-        """The string of an ordinal."""
-        state, out = 0, bytearray()
-        while ordinal or not self.final[state]:
-            low, high = np.searchsorted(self.keys, [state << 8, (state + 1) << 8])
-            arc = low + int(np.searchsorted(self.adds[low:high], ordinal, "right")) - 1
-            out.append(int(self.keys[arc]) & 255)
-            ordinal -= int(self.adds[arc])
-            state = int(self.targets[arc])
-        return bytes(out)
+        return np.where(out < 0, -1, self.of_place[out]) if len(self.of_place) else out
 
     def to_bytes(self) -> bytes:
-        return b"".join([len(self.keys).to_bytes(8, "little"), self.keys.tobytes(), self.targets.tobytes(), self.adds.tobytes(), self.final.tobytes()])
+        sizes = np.array([len(self.keys), len(self.of_place)], np.int64)
+        return b"".join(a.tobytes() for a in (sizes, self.keys, self.targets, self.adds, self.of_place, self.final))
 
     @classmethod
     def from_bytes(cls, blob: bytes) -> Transducer:
-        n = int.from_bytes(blob[:8], "little")
-        arrays = [np.frombuffer(blob, np.int64, n, 8 + 8 * n * k) for k in range(3)]
-        return cls(*arrays, np.frombuffer(blob, bool, -1, 8 + 24 * n))
+        arcs, places = np.frombuffer(blob, np.int64, 2).tolist()
+        numbers = np.frombuffer(blob, np.int64, 3 * arcs + places, 16)
+        return cls(*np.split(numbers[:3 * arcs], 3), np.frombuffer(blob, bool, -1, 16 + 8 * len(numbers)), numbers[3 * arcs:])
 
 
 class Builder:
@@ -107,9 +103,9 @@ class Builder:
         self.closed: dict[tuple, int] = {}
         self.counts: list[int] = []
         self.open: list[list] = [[False]]  # finality, then arcs
-        self.last, self.n = b"", 0
+        self.last, self.ordinals = b"", []
 
-    def add(self, word: bytes) -> None:
+    def add(self, word: bytes, ordinal: int) -> None:
         same = 0
         for x, y in zip(word, self.last, strict=False):
             if x != y:
@@ -118,7 +114,8 @@ class Builder:
         self._close(same)
         self.open.extend([False] for _ in range(len(word) - same))
         self.open[-1][0] = True
-        self.last, self.n = word, self.n + 1
+        self.last = word
+        self.ordinals.append(ordinal)
 
     def _close(self, depth: int) -> None:
         while len(self.open) > depth + 1:
@@ -148,78 +145,117 @@ class Builder:
                 before += self.counts[to]
         assert start == last, "the start has the most strings behind it"
         order = np.argsort(np.array(keys, np.int64), kind="stable")
-        return Transducer(*(np.array(a, np.int64)[order] for a in (keys, targets, adds)), final)
+        return Transducer(*(np.array(a, np.int64)[order] for a in (keys, targets, adds)), final, np.array(self.ordinals, np.int64))
 
 
 def _batch(names: list[str], kinds: list[pa.DataType], columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
 
-def _summed(held: dict, names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
-    keys = list(zip(*held, strict=True)) or [[]] * (len(names) - 1)
-    return _batch(names, kinds, [*keys, list(held.values())])
+def _holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts to (lang, term, docs), summed within a task: the documents that hold a term."""
+    names, kinds = ["lang", "term", "docs"], [pa.string(), pa.binary(), pa.int64()]
+    held: dict[str, Counter] = defaultdict(Counter)
 
+    def out() -> pa.RecordBatch:
+        return _batch(names, kinds, [[lang for lang, c in held.items() for _ in c], [t for c in held.values() for t in c], [n for c in held.values() for n in c.values()]])
 
-def _tallies(distinct: bool):
-    """Texts to (lang, source, term, n), summed within a task: documents that hold the term if ``distinct``, occurrences otherwise."""
-    names, kinds = ["lang", "source", "term", "n"], [pa.string(), pa.string(), pa.binary(), pa.int64()]
+    for batch in batches:
+        for lang, text in zip(batch["lang"].to_pylist(), batch["text"], strict=True):
+            held[lang].update(set(terms_of(text.as_py())))
+        if sum(map(len, held.values())) >= HELD:
+            yield out()
+            held.clear()
+    yield out()
+
+
+COUNTED = "lang string, source string, chunk long, width long, at binary, n binary, total long, term binary"
+NAMES = [c.split()[0] for c in COUNTED.split(", ")]
+KINDS = [{"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[c.split()[1]] for c in COUNTED.split(", ")]
+
+
+def _packed(lang: str, source: str, width: int, ordinals: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Counts of one source's terms as one row per chunk of ``width`` ordinals."""
+    order = np.argsort(ordinals)
+    ordinals, n = ordinals[order], n[order]
+    chunks, first = np.unique(ordinals // width, return_index=True)
+    ends = np.append(first[1:], len(n))
+    at = (ordinals % width).astype(np.int32)
+    k = len(chunks)
+    return _batch(NAMES, KINDS, [[lang] * k, [source] * k, chunks, [width] * k, [at[i:j].tobytes() for i, j in zip(first, ends, strict=True)],
+                                 [n[i:j].tobytes() for i, j in zip(first, ends, strict=True)], np.add.reduceat(n, first) if k else [], [None] * k])
+
+
+def _streamed(shared):
+    """Texts to counts: packed by ordinal for terms of the first tier, (lang, source, term, total) for all others."""
+    def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        walks = {lang: (Transducer.from_bytes(blob), width) for lang, blob, width in shared.value}
+        held: dict[tuple[str, str], Counter] = defaultdict(Counter)
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for lang in {lang for lang, _ in held}:
+                own = {source: c for (x, source), c in held.items() if x == lang}
+                walk, width = walks.get(lang, (None, 0))
+                words = list(set().union(*own.values()))
+                known = dict(zip(words, walk.ordinals(words).tolist(), strict=True)) if walk else {}
+                for source, c in own.items():
+                    ordinals = np.fromiter((known.get(t, -1) for t in c), np.int64, len(c))
+                    n = np.fromiter(c.values(), np.int64, len(c))
+                    found = ordinals >= 0
+                    if found.any():
+                        yield _packed(lang, source, width, ordinals[found], n[found])
+                    others = [t for t, f in zip(c, found.tolist(), strict=True) if not f]
+                    k = len(others)
+                    yield _batch(NAMES, KINDS, [[lang] * k, [source] * k, [None] * k, [None] * k, [None] * k, [None] * k, n[~found], others])
+            held.clear()
 
-    def tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, int] = {}
         for batch in batches:
             for lang, source, text in zip(batch["lang"].to_pylist(), batch["source"].to_pylist(), batch["text"], strict=True):
-                words = terms_of(text.as_py())
-                for word in set(words) if distinct else words:
-                    key = (lang, source, word)
-                    held[key] = held.get(key, 0) + 1
-                if len(held) >= HELD:
-                    yield _summed(held, names, kinds)
-                    held = {}
-        yield _summed(held, names, kinds)
-    return tallies
-
-
-RECOUNTED = "lang string, shard long, ordinal long, source string, n long, first binary, blob binary"
-
-
-def _recounted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A range of kept terms, then the tallies of the same range: the transducer of each language, and counts by ordinal."""
-    names, kinds = ["lang", "shard", "ordinal", "source", "n", "first", "blob"], [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary()]
-    shard = TaskContext.get().partitionId()
-    builders: dict[str, Builder] = {}
-    firsts: dict[str, bytes] = {}
+                held[lang, source].update(terms_of(text.as_py()))
+            if sum(map(len, held.values())) >= HELD:
+                yield from out()
+        yield from out()
+    return streamed
+
+
+def _ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A range of kept terms (lang, term, ordinal, width), then the texts' terms of the same range (lang, source, term, total): packed counts."""
+    builders: dict[str, Builder] = defaultdict(Builder)
+    widths: dict[str, int] = {}
     walks: dict[str, Transducer] = {}
-    held: dict[tuple, int] = {}
+    held: dict[tuple[str, str], Counter] = defaultdict(Counter)
 
-    def counts() -> pa.RecordBatch:
-        lang, source, ordinal = zip(*held, strict=True)
-        return _batch(names, kinds, [lang, [shard] * len(lang), ordinal, source, list(held.values()), [None] * len(lang), [None] * len(lang)])
+    def out() -> Iterator[pa.RecordBatch]:
+        for (lang, source), c in held.items():
+            yield _packed(lang, source, widths[lang], np.fromiter(c, np.int64, len(c)), np.fromiter(c.values(), np.int64, len(c)))
+        held.clear()
 
     for batch in batches:
-        langs, sources, terms, n = (batch[c].to_pylist() for c in ("lang", "source", "term", "n"))
-        kept = n.count(None)  # kept terms come first
-        for lang, term in zip(langs[:kept], terms[:kept], strict=True):
-            if lang not in builders:
-                builders[lang], firsts[lang] = Builder(), term
-            builders[lang].add(term)
-        if kept == len(n):
+        kept = batch["total"].null_count  # kept terms come first
+        for lang, term, ordinal, width in zip(*(batch[c][:kept].to_pylist() for c in ("lang", "term", "ordinal", "width")), strict=True):
+            builders[lang].add(term, ordinal)
+            widths[lang] = width
+        if kept == batch.num_rows:
             continue
         if not walks:
             walks = {lang: b.finish() for lang, b in builders.items()}
-        for lang in set(langs[kept:]) & walks.keys():
-            at = [k for k in range(kept, len(n)) if langs[k] == lang]
+        langs, sources, terms, total = (batch[c][kept:].to_pylist() for c in ("lang", "source", "term", "total"))
+        for lang in set(langs) & walks.keys():
+            at = [k for k, x in enumerate(langs) if x == lang]
             for k, ordinal in zip(at, walks[lang].ordinals([terms[k] for k in at]).tolist(), strict=True):
                 if ordinal >= 0:
-                    key = (lang, sources[k], ordinal)
-                    held[key] = held.get(key, 0) + n[k]
-        if len(held) >= HELD:
-            yield counts()
-            held = {}
-    if held:
-        yield counts()
-    for lang, b in builders.items():
-        walk = walks.get(lang) or b.finish()
-        yield _batch(names, kinds, [[lang], [shard], [None], [None], [b.n], [firsts[lang]], [walk.to_bytes()]])
+                    held[lang, sources[k]][ordinal] += total[k]
+        if sum(map(len, held.values())) >= HELD:
+            yield from out()
+    yield from out()
+
+
+def _built(terms: pa.Table) -> pa.Table:
+    """The first-tier terms of a language to their transducer."""
+    b = Builder()
+    for term, ordinal in sorted(zip(terms["term"].to_pylist(), terms["ordinal"].to_pylist(), strict=True)):
+        b.add(term, ordinal)
+    return pa.table({"lang": pa.array([terms["lang"][0].as_py()], pa.string()), "blob": pa.array([b.finish().to_bytes()], pa.binary()), "width": pa.array([terms["width"][0].as_py()], pa.int64())})
 
 
 def share(count: np.ndarray, total: int, kept: int) -> np.ndarray:
@@ -233,71 +269,89 @@ def gap(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (p - q) * (p - q) // q
 
 
-MEASURED = "lang string, source string, other string, shard long, ordinal long, value long"
+MEASURED = "lang string, source string, other string, ordinal long, value long"
 
 
-def _measured(chunk: pa.Table) -> pa.Table:
-    """Counts of a chunk of ordinals and one header row (kept, terms, first, sources, totals): part sums of all pairs and leading terms."""
-    head = chunk.filter(pa.compute.is_valid(chunk["sources"])).to_pylist()[0]
-    body = chunk.filter(pa.compute.is_null(chunk["sources"]))
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed counts of a chunk of ordinals and one header row (kept, terms, first, sources, totals): part sums of all pairs and leading terms."""
+    head, held = None, {}
+    for batch in batches:
+        for r in batch.to_pylist():
+            if r["sources"] is not None:
+                head = r
+            else:
+                mine = held.setdefault(r["source"], np.zeros(r["width"], np.int64))
+                mine[np.frombuffer(r["at"], np.int32)] += np.frombuffer(r["n"], np.int64)  # a row has an ordinal once
     sources, totals, kept, terms, first = head["sources"], head["totals"], head["kept"], head["terms"], head["first"]
-    place = {s: k for k, s in enumerate(sources)}
-    counts, shards = np.zeros((len(sources), terms), np.int64), np.zeros(terms, np.int64)
-    at = body["ordinal"].to_numpy() - first
-    np.add.at(counts, (np.array([place[s] for s in body["source"].to_pylist()], np.int64), at), body["n"].to_numpy())
-    shards[at] = body["shard"].to_numpy()
+    counts = np.stack([held[s][:terms] if s in held else np.zeros(terms, np.int64) for s in sources])
     p = np.stack([share(c, t, kept) for c, t in zip(counts, totals, strict=True)]) if kept else np.ones((len(sources), 0), np.int64)
     q = share(counts.sum(axis=0), sum(totals), kept) if kept else np.ones(0, np.int64)
-    out: dict[str, list] = {c: [] for c in ("source", "other", "shard", "ordinal", "value")}
+    out: dict[str, list] = {c: [] for c in ("source", "other", "ordinal", "value")}
 
-    def put(source, other, shard, ordinal, value):
-        for c, v in zip(out, ([source] * len(value), other, shard, ordinal, value), strict=True):
+    def put(source, other, ordinal, value):
+        for c, v in zip(out, ([source] * len(value), other, ordinal, value), strict=True):
             out[c].extend(v)
 
     for k, source in enumerate(sources):
         others = [j for j in range(len(sources)) if j != k]
         if others:
-            put(source, [sources[j] for j in others], [None] * len(others), [None] * len(others), [int(gap(p[k], p[j]).sum()) for j in others])
+            put(source, [sources[j] for j in others], [None] * len(others), [int(gap(p[k], p[j]).sum()) for j in others])
         leads = np.flatnonzero((counts[k] > 0) & (p[k] > q))
         value = gap(p[k][leads], q[leads])
         best = np.lexsort((leads, -value))[:TOP]
         leads = leads[best]
-        put(source, [None] * len(leads), shards[leads].tolist(), (leads + first).tolist(), value[best].tolist())
+        put(source, [None] * len(leads), (leads + first).tolist(), value[best].tolist())
     kinds = {"source": pa.string(), "other": pa.string()}
     n = len(out["value"])
-    return pa.table({"lang": pa.array([head["lang"]] * n, pa.string()), **{c: pa.array(v, kinds.get(c, pa.int64())) for c, v in out.items()}})
-
-
-def _spelled(shard: pa.Table) -> pa.Table:
-    """Reported ordinals of a range to their terms."""
-    rows = shard.to_pylist()
-    blobs = [r for r in rows if r["blob"] is not None]
-    rows = [r for r in rows if r["blob"] is None]
-    walk = Transducer.from_bytes(blobs[0]["blob"]) if blobs and rows else None
-    items = [walk.word(r["ordinal"] - blobs[0]["base"]) for r in rows]
-    return pa.table({"lang": pa.array([r["lang"] for r in rows], pa.string()), "source": pa.array([r["source"] for r in rows], pa.string()), "item": pa.array(items, pa.binary()),
-                     "value": pa.array([r["value"] for r in rows], pa.int64()), "rank": pa.array([r["rank"] for r in rows], pa.int32())})
+    yield pa.RecordBatch.from_pydict({"lang": pa.array([head["lang"]] * n, pa.string()), **{c: pa.array(v, kinds.get(c, pa.int64())) for c, v in out.items()}})
 
 
 def kept_terms(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """Rows (lang, term) of ``docs`` (lang, source, text as bytes): terms in at least so many documents of the language."""
-    held = docs.mapInArrow(_tallies(True), "lang string, source string, term binary, n long")
-    return held.groupBy("lang", "term").agg(F.sum("n").alias("docs")).where(F.col("docs") >= least_docs).select("lang", "term")
+    """Rows (lang, term, docs) of ``docs`` (lang, text as bytes): terms in at least so many documents of the language."""
+    held = docs.select("lang", "text").mapInArrow(_holders, "lang string, term binary, docs long")
+    return held.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs)
 
 
-def recount(docs: DataFrame, kept: DataFrame, shard_terms: int = SHARD_TERMS) -> tuple[DataFrame, DataFrame]:
-    """Transducers (lang, shard, n, base, blob) of ranges of the kept terms, and counts (lang, shard, ordinal, source, n) of the texts' kept
-    terms; a row of counts may come in parts. ``base`` is the ordinal of a range's first term."""
-    spark = docs.sparkSession
+def numbered(kept: DataFrame, range_terms: int = RANGE_TERMS) -> DataFrame:
+    """The kept terms with their ordinal in the language and ``head``, whether they belong to the first tier.
+
+    Terms are sorted by ranges; the numbers of a range's rows are consecutive, so few counts per range give all ordinals. The first tier takes whole
+    classes of document counts (powers of two) from the top, as many as its bounds allow."""
     kept = stage(kept, "kept")
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-kept.count() // shard_terms))
-    tallies = docs.mapInArrow(_tallies(False), "lang string, source string, term binary, n long")
-    both = kept.select("lang", F.lit(None).cast("string").alias("source"), "term", F.lit(None).cast("long").alias("n")).union(tallies)
-    flow = both.repartitionByRange(ranges, "lang", "term").sortWithinPartitions(F.col("n").isNotNull(), "lang", "term")
-    out = stage(flow.mapInArrow(_recounted, RECOUNTED), "recounted")
-    base = F.coalesce(F.sum("n").over(Window.partitionBy("lang").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shards = out.where("blob is not null").select("lang", "shard", "n", base.alias("base"), "blob")
-    return shards, out.where("blob is null").select("lang", "shard", "ordinal", "source", "n")
+    ranges = max(int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-kept.count() // range_terms))
+    rows = stage(kept.repartitionByRange(ranges, "lang", "term").sortWithinPartitions("lang", "term").withColumn("row", F.monotonically_increasing_id()), "sorted")
+    part = F.shiftright("row", 33).alias("part")  # rows of a partition are numbered from part * 2**33
+    before = Window.partitionBy("lang").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = rows.groupBy("lang", part).agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("least"))
+    bases = bases.select("lang", "part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("least")).alias("shift"))
+    level = F.floor(F.log2("docs"))
+    classes = rows.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("term")).alias("bytes")).orderBy(F.desc("level")).collect()  # 63 at most
+    n = size = 0
+    line = 64
+    for c in classes:
+        n, size = n + c.n, size + c.bytes
+        if n > HEAD_TERMS or size > HEAD_BYTES:
+            break
+        line = c.level
+    out = rows.withColumn("part", part).join(bases, ["lang", "part"])
+    return stage(out.select("lang", "term", (F.col("row") + F.col("shift")).alias("ordinal"), (level >= line).alias("head")), "numbered")
+
+
+def recount(docs: DataFrame, terms: DataFrame, widths: DataFrame, range_terms: int = RANGE_TERMS) -> DataFrame:
+    """Counts of the texts' kept terms, packed by chunks of ``width`` ordinals: lang, source, chunk, width, at, n and their total.
+
+    ``terms`` are numbered; ``widths`` has lang and width."""
+    spark = docs.sparkSession
+    terms = terms.join(widths, "lang")
+    head = terms.where("head").groupBy("lang").applyInArrow(_built, "lang string, blob binary, width long")
+    shared = spark.sparkContext.broadcast([(r.lang, bytes(r.blob), r.width) for r in head.collect()])  # bounded by HEAD_TERMS and HEAD_BYTES
+    read = stage(docs.mapInArrow(_streamed(shared), COUNTED), "streamed")
+    rest = stage(terms.where("not head").select("lang", "term", "ordinal", "width"), "rest")
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rest.count() // range_terms))
+    flow = rest.unionByName(read.where("term is not null").select("lang", "source", "term", "total"), allowMissingColumns=True)
+    flow = flow.repartitionByRange(ranges, "lang", "term").sortWithinPartitions(F.col("total").isNotNull(), "lang", "term")
+    ranged = stage(flow.mapInArrow(_ranged, COUNTED), "ranged")
+    return read.where("term is null").union(ranged).drop("term")
 
 
 def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, chunk_cells: int = CHUNK_CELLS) -> DataFrame:
@@ -305,29 +359,29 @@ def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, ch
     `term` the terms that the source uses more than its language."""
     text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
     docs = docs.select(text("lang"), text("source"), F.col("text").cast("binary").alias("text"))
-    shards, counts = recount(docs, kept_terms(docs, least_docs))
-    bases = stage(shards.select("lang", "shard", "base", "n"), "bases")
-    groups = docs.groupBy("lang", "source").count().join(counts.groupBy("lang", "source").agg(F.sum("n").alias("total")), ["lang", "source"], "left")
-    langs = groups.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("source", F.coalesce("total", F.lit(0)).alias("total")))).alias("groups"))  # the sources of a language
-    langs = langs.join(bases.groupBy("lang").agg(F.sum("n").alias("kept")), "lang", "left").withColumn("kept", F.coalesce("kept", F.lit(0)))
-    langs = stage(langs.withColumn("width", F.greatest(F.lit(1), F.floor(F.lit(chunk_cells) / F.size("groups"))).cast("long")), "langs")
+    terms = numbered(kept_terms(docs, least_docs))
+    groups = stage(docs.groupBy("lang", "source").count(), "groups")
+    width = F.greatest(F.lit(1), F.floor(F.lit(chunk_cells) / F.count(F.lit(1)))).cast("long")
+    widths = stage(groups.groupBy("lang").agg(width.alias("width")), "widths")
+    counts = recount(docs, terms, widths)
+    totals = counts.groupBy("lang", "source").agg(F.sum("total").alias("total"))
+    groups = groups.join(totals, ["lang", "source"], "left").select("lang", F.struct("source", F.coalesce("total", F.lit(0)).alias("total")).alias("g"))
+    langs = groups.groupBy("lang").agg(F.sort_array(F.collect_list("g")).alias("groups")).join(widths, "lang")  # the sources of a language
+    langs = langs.join(terms.groupBy("lang").agg(F.count(F.lit(1)).alias("kept")), "lang", "left").withColumn("kept", F.coalesce("kept", F.lit(0)))
 
     chunks = F.sequence(F.lit(0).cast("long"), F.greatest(F.expr("(kept - 1) div width"), F.lit(0)))
     heads = langs.select("lang", F.explode(chunks).alias("chunk"), "kept", "width", F.col("groups.source").alias("sources"), F.col("groups.total").alias("totals"))
-    heads = heads.withColumn("first", F.col("chunk") * F.col("width")).withColumn("terms", F.least("width", F.col("kept") - F.col("first"))).drop("width")
-    body = counts.join(bases.select("lang", "shard", "base"), ["lang", "shard"]).join(langs.select("lang", "width"), "lang").withColumn("ordinal", F.col("base") + F.col("ordinal"))
-    body = body.select("lang", F.expr("ordinal div width").alias("chunk"), "shard", "ordinal", "source", "n")
-    cells = heads.unionByName(body, allowMissingColumns=True).groupBy("lang", "chunk")
+    heads = heads.withColumn("first", F.col("chunk") * F.col("width")).withColumn("terms", F.least("width", F.col("kept") - F.col("first")))
+    cells = counts.select("lang", "chunk", "source", "width", "at", "n").unionByName(heads, allowMissingColumns=True).groupBy("lang", "chunk")
     measured = stage(cells.applyInArrow(_measured, MEASURED), "measured")
 
     group = Window.partitionBy("lang", "source")
     pairs = measured.where("other is not null").groupBy("lang", "source", F.col("other").alias("item")).agg(F.sum("value").alias("value"))
     pairs = pairs.withColumn("rank", F.row_number().over(group.orderBy(F.desc("value"), "item")))
     leads = measured.where("other is null").withColumn("rank", F.row_number().over(group.orderBy(F.desc("value"), "ordinal"))).where(F.col("rank") <= top)
-    needed = leads.select("lang", "shard", "source", "ordinal", "value", "rank").unionByName(shards.select("lang", "shard", "base", "blob"), allowMissingColumns=True)
-    terms = needed.groupBy("lang", "shard").applyInArrow(_spelled, "lang string, source string, item binary, value long, rank int")
+    spelled = leads.join(terms.select("lang", "ordinal", F.col("term").alias("item")), ["lang", "ordinal"])
     part = lambda df, name: df.select("lang", "source", F.lit(name).alias("part"), F.col("item").cast("string").alias("item"), "value", "rank")
-    return part(pairs, "pair").union(part(terms, "term"))
+    return part(pairs, "pair").union(part(spelled, "term"))
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:

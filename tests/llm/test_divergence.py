@@ -67,14 +67,20 @@ def test_small_chunks_short_reports_and_many_ranges(docs):
     assert [r for r in got if r[2] == "term"] == [r for r in expected(rows()) if r[2] == "term" and r[5] <= 2]
 
 
+@pytest.mark.parametrize("head_terms", [0, 5, 12])
+def test_the_line_between_the_tiers_changes_nothing(docs, monkeypatch, head_terms):
+    monkeypatch.setattr(D, "HEAD_TERMS", head_terms)
+    assert sorted(tuple(r) for r in D.divergence(docs).collect()) == expected(rows())
+
+
 def test_empty_table(spark):
     assert D.divergence(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
 def built(words):
     b = D.Builder()
-    for w in words:
-        b.add(w)
+    for k, w in enumerate(words):
+        b.add(w, 10 * k)
     return b.finish()
 
 
@@ -83,9 +89,8 @@ def built(words):
 def test_a_transducer_numbers_its_words_and_no_others(words, others):
     words = sorted(words)
     walk = D.Transducer.from_bytes(built(words).to_bytes())
-    assert walk.ordinals(words).tolist() == list(range(len(words)))
-    assert [walk.word(k) for k in range(len(words))] == words
-    assert walk.ordinals(others).tolist() == [words.index(w) if w in words else -1 for w in others]
+    assert walk.ordinals(words).tolist() == list(range(0, 10 * len(words), 10))
+    assert walk.ordinals(others).tolist() == [10 * words.index(w) if w in words else -1 for w in others]
 
 
 def test_a_transducer_is_minimal():
