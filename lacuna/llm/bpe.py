@@ -4,8 +4,8 @@ Two tiers. A minimal perfect hash over the vocabulary resolves a pre-token that
 comparison of bytes. All others are merged: bytes in a linked list, neighbouring pairs in a heap by (rank, place), so the
 lowest rank and, among equals, the leftmost pair goes first, and a very long pre-token costs n log n.
 
-Pre-tokens are the matches of the public pattern. A stretch without white space that follows one space is cut the same way wherever it
-stands, so its ids are remembered in a bounded table; texts with other white space or runs of it are cut by the pattern as a whole.
+Pre-tokens are the matches of the public pattern. What a pre-token gives (its ids, their decimals, the bytes decoded from them) is remembered in a
+bounded table, so texts are put together from pre-tokens, not from single ids.
 
 The tables depend on the rank file alone and are sent to the workers once. Texts are independent: no shuffle, no state between tasks.
 
@@ -18,22 +18,24 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import re
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, IntegerType, StructField, StructType
 
 from lacuna.llm.common import table
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
-REMEMBERED = 120_000
-ODD_SPACE = re.compile(r"[^\S \n]|  |\n\n| \n|\n |^[ \n]|[ \n]\Z")
+REMEMBERED = 200_000
+SLICE_BYTES = 2 << 20
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -131,16 +133,15 @@ class Codec:
 
     def __init__(self, tables: Tables, remembered: int = REMEMBERED):
         self.tokens, self.hash, self.byte_ids = tables.tokens, tables.hash, tables.byte_ids
-        left, right, whole = tables.pairs.T
-        self.merged = dict(zip((left << 20 | right).tolist(), whole.tolist(), strict=True))
+        none: dict[int, int] = {}
+        self.after = [none] * len(self.tokens)  # by the left id, then by the right one: the id of the pair
+        for left, right, whole in tables.pairs.tolist():
+            if self.after[left] is none:
+                self.after[left] = {}
+            self.after[left][right] = whole
         self.pieces = regex.compile(tables.pattern).findall
-        self.plain = Remembered(self._chunk, remembered // 4)
-        self.spaced = Remembered(lambda chunk: self._chunk(" " + chunk), remembered)
         self.whole = Remembered(lambda text: tuple(self.piece(text)), remembered)
-        self.digits = [str(i) for i in range(len(self.tokens))]
-
-    def _chunk(self, chunk: str) -> tuple[int, ...]:
-        return tuple(chain.from_iterable(map(self.whole.__getitem__, self.pieces(chunk))))
+        self.told = Remembered(self._tell, remembered)
 
     def piece(self, text: str) -> tuple[int, ...] | list[int]:
         """Ids of one pre-token."""
@@ -149,46 +150,49 @@ class Codec:
         return (i,) if self.tokens[i] == data else self.merge(data)
 
     def merge(self, data: bytes) -> list[int]:
-        """Merge bytes by rank, leftmost first among equal ranks."""
-        find, ids, n = self.merged.get, [self.byte_ids[b] for b in data], len(data)
+        """Merge bytes by rank, leftmost first among equal ranks.
+
+        ``ranks`` has the rank of the pair that starts at a place now, so an entry of the heap that no longer holds is told by comparison."""
+        pair, ids, n = self.after, [self.byte_ids[b] for b in data], len(data)
+        ranks = [pair[x].get(y, -1) for x, y in zip(ids, ids[1:], strict=False)] + [-1]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [r << 32 | k for k in range(n - 1) if (r := find(ids[k] << 20 | ids[k + 1])) is not None]
+        heap = [r << 32 | k for k, r in enumerate(ranks) if r >= 0]
         heapq.heapify(heap)
+        pop, push = heapq.heappop, heapq.heappush
         while heap:
-            top = heapq.heappop(heap)
+            top = pop(heap)
             r, k = top >> 32, top & 0xFFFFFFFF
-            if ids[k] < 0 or (j := after[k]) >= n or find(ids[k] << 20 | ids[j]) != r:
+            if ranks[k] != r:
                 continue
-            ids[k], ids[j] = r, -1
+            j = after[k]
+            ids[k], ids[j], ranks[j], ranks[k] = r, -1, -1, -1
             after[k] = m = after[j]
             if m < n:
                 before[m] = k
-                if (x := find(r << 20 | ids[m])) is not None:
-                    heapq.heappush(heap, x << 32 | k)
-            if (p := before[k]) >= 0 and (x := find(ids[p] << 20 | r)) is not None:
-                heapq.heappush(heap, x << 32 | p)
+                ranks[k] = x = pair[r].get(ids[m], -1)
+                if x >= 0:
+                    push(heap, x << 32 | k)
+            if (p := before[k]) >= 0:
+                ranks[p] = x = pair[ids[p]].get(r, -1)
+                if x >= 0:
+                    push(heap, x << 32 | p)
         return [i for i in ids if i >= 0]
 
     def encode(self, text: str | None) -> list[int]:
-        if not text:
-            return []
-        if ODD_SPACE.search(text):
-            return list(chain.from_iterable(map(self.whole.__getitem__, self.pieces(text))))
-        out: list[int] = []
-        spaced, plain, newline = self.spaced.__getitem__, self.plain, self.plain["\n"]
-        for k, line in enumerate(text.split("\n")):
-            if k:
-                out.extend(newline)
-            first, *rest = line.split(" ")
-            out.extend(plain[first])
-            out.extend(chain.from_iterable(map(spaced, rest)))
-        return out
+        return list(chain.from_iterable(map(self.whole.__getitem__, self.pieces(text)))) if text else []
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
-    def ids_text(self, ids) -> str:
-        return ",".join(map(self.digits.__getitem__, ids))
+    def _tell(self, piece: str) -> tuple[int, bytes, bytes]:
+        """Of a pre-token: the number of its ids, the ids in decimal with a comma behind each, and the bytes that they decode to."""
+        ids = self.piece(piece)
+        return len(ids), b"%d," * len(ids) % tuple(ids), self.decode(ids)
+
+    def digest(self, text: str | None) -> tuple[int, str, str]:
+        """The number of ids of a text and the digests of the ids and of the bytes decoded from them."""
+        n, decimals, data = zip(*map(self.told.__getitem__, self.pieces(text)), strict=True) if text else ((), (), ())
+        return sum(n), hashlib.sha256(b"".join(decimals)[:-1]).hexdigest(), hashlib.sha256(b"".join(data)).hexdigest()
 
 
 _TABLES: dict[tuple[str, str], Tables] = {}
@@ -214,29 +218,54 @@ def tables(path: str | None = None, pattern: str | None = None) -> Tables:
     return _TABLES[key]
 
 
-def _column(spark: SparkSession, path: str | None, kind: str, fn):
-    shared = spark.sparkContext.broadcast(tables(path))  # bounded by the vocabulary
+def _slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of rows with about ``SLICE_BYTES`` bytes, one row at least."""
+    first = held = 0
+    for k, size in enumerate(sizes.tolist()):
+        held += size
+        if held >= SLICE_BYTES:
+            yield first, k + 1
+            first, held = k + 1, 0
+    if first < len(sizes):
+        yield first, len(sizes)
 
-    @F.pandas_udf(kind)
-    def column(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = codec(shared.value, REMEMBERED // 3)  # ids themselves take memory here
-        for values in series:
-            yield fn(own, values)
-    return column
+
+def _appended(docs: DataFrame, name: str, kind: DataType, fn, path: str | None) -> DataFrame:
+    """``docs`` and a column that ``fn(codec, batch)`` gives for a few MB of rows at a time."""
+    shared = docs.sparkSession.sparkContext.broadcast(tables(path))  # bounded by the vocabulary
+
+    def appended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(shared.value)
+        for batch in batches:
+            for i, j in _slices(np.full(batch.num_rows, max(1, batch.nbytes // max(1, batch.num_rows)))):
+                part = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([*part.columns, fn(own, part)], names=[*part.schema.names, name])
+
+    return docs.mapInArrow(appended, StructType([*docs.schema.fields, StructField(name, kind)]))
 
 
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """All columns of ``docs`` and __ids, the token ids of the whole text."""
-    def ids(own, texts):
-        return pd.Series([np.array(own.encode(t), np.int32) for t in texts], dtype=object)
-    return docs.withColumn("__ids", _column(docs.sparkSession, path, "array<int>", ids)("text"))
+    at = docs.columns.index("text")
+
+    def ids(own: Codec, part: pa.RecordBatch) -> pa.Array:
+        flat, ends = array("i"), [0]
+        for text in part.column(at):
+            flat.extend(own.encode(text.as_py()))
+            ends.append(len(flat))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32)))
+
+    return _appended(docs, "__ids", ArrayType(IntegerType()), ids, path)
 
 
 def decode_documents(encoded: DataFrame, ids: str, path: str | None = None) -> DataFrame:
     """All columns of ``encoded`` and __bytes, the bytes that the ids stand for."""
-    def back(own, values):
-        return pd.Series([own.decode(v) if v is not None else b"" for v in values], dtype=object)
-    return encoded.withColumn("__bytes", _column(encoded.sparkSession, path, "binary", back)(ids))
+    at = encoded.columns.index(ids)
+
+    def back(own: Codec, part: pa.RecordBatch) -> pa.Array:
+        return pa.array([own.decode(v.as_py() or ()) for v in part.column(at)], pa.binary())
+
+    return _appended(encoded, "__bytes", BinaryType(), back, path)
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -249,11 +278,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     def digest(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = codec(shared.value)
         for texts in series:
-            rows = []
-            for text in texts:
-                ids = own.encode(text)
-                rows.append((len(ids), hashlib.sha256(own.ids_text(ids).encode()).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pd.DataFrame([own.digest(text) for text in texts], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
     return docs.withColumn("__digest", digest("text"))
 
 

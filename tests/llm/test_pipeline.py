@@ -1,5 +1,6 @@
 """The pipeline on planted cases: each stage's decisions take effect and clean documents stay."""
 
+import hashlib
 import random
 
 import pytest
@@ -64,6 +65,7 @@ def test_stages_on_planted_documents(spark, folder, tmp_path):
     codec = bpe.Codec(bpe.tables())
     assert sorted((r["doc_id"], codec.decode(r["ids"]).decode()) for r in kept["byte_bpe"]) == sorted((r["doc_id"], r["text"] or "") for r in kept["mixing"])
     assert all(r["n_tokens"] == len(r["ids"]) for r in kept["byte_bpe"])
+    assert sorted(r["decoded_sha256"] for r in kept["byte_bpe"]) == sorted(hashlib.sha256((r["text"] or "").encode()).hexdigest() for r in kept["mixing"])
 
 
 def test_empty_documents(spark, folder, tmp_path):
@@ -77,4 +79,4 @@ def test_queries_are_registered():
 
     names = __spark_entry__.queries()
     assert set(QUERIES) <= set(names) and "pipeline" in names and set(ORACLES) <= set(__spark_entry__.oracle_sql())
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
