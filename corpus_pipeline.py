@@ -37,9 +37,10 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text: doc_id, source, n_tokens and ids."""
-    out = bpe.encode_documents(docs)
-    return out.select("doc_id", "source", F.size("__ids").cast("long").alias("n_tokens"), F.col("__ids").alias("ids"))
+    """Token ids of every text, and the digest of the bytes that they decode to: doc_id, source, n_tokens, ids and decoded_sha256."""
+    out = bpe.encode_documents(docs.select("doc_id", "source", "text")).select("doc_id", "source", "__ids")
+    out = bpe.decode_documents(out, "__ids")
+    return out.select("doc_id", "source", F.size("__ids").cast("long").alias("n_tokens"), F.col("__ids").alias("ids"), F.sha2("__bytes", 256).alias("decoded_sha256"))
 
 
 STAGES = [
