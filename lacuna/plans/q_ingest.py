@@ -7,6 +7,7 @@ mixed date styles, blank references, unknown labels, repeated records.
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lacuna.functions import scalar as S
 from lacuna.operators import ingest as I
@@ -14,8 +15,10 @@ from lacuna.operators import quality as QL
 from lacuna.plans.ctes import AS_OF_SQL, IMPORT_SQL, cte, r
 from lacuna.plans.lens import AS_OF, IMPORT_ID, Tables
 from lacuna.plans.registry import query
+from lacuna.plans.stages import scratch
 from lacuna.sources import files as FS
 from lacuna.sources import manifests as MF
+from lacuna.sources import sinks as SK
 from lacuna.sources import soc_logs as SL
 
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
@@ -252,6 +255,15 @@ def file_entity_types(spark, d):
     return docs.select("doc_id", FS.entity_column(name).alias("entity"))
 
 
+@query("json_array_records", "", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, source, length(text)::BIGINT AS n FROM documents")
+def json_array_records(spark, d):
+    """Documents written as JSON arrays and read back by ranges; their texts hold quotes, brackets and line breaks."""
+    folder = scratch(spark, "arrays")
+    SK.export_json_arrays(Tables(spark, d).documents.select("doc_id", "text", "source"), folder)
+    rows = FS.read_json_array(spark, folder, T.StructType.fromDDL("doc_id string, text string, source string"))
+    return rows.select("doc_id", "text", "source", F.char_length("text").cast("long").alias("n"))
+
+
 @query("file_checksums")
 def file_checksums(spark, d):
     """Checksums of the source files compared with themselves; file bytes are not visible to SQL."""

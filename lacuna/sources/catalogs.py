@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from lacuna.functions import scalar as S
 from lacuna.params import CVE_PATTERN, TECHNIQUE_PATTERN
+from lacuna.sources.json_arrays import json_records
 
 _CVSS = "array<struct<cvssData:struct<version:string,vectorString:string,baseScore:double,baseSeverity:string>>>"
 NVD_ITEM = ("struct<id:string,descriptions:array<struct<lang:string,value:string>>,published:string,lastModified:string,"
@@ -21,25 +22,25 @@ STIX_ITEM = ("struct<type:string,id:string,name:string,description:string,extern
              "source_ref:string,target_ref:string,relationship_type:string>")
 
 
-def _document(spark: SparkSession, path: str, ddl: str, items: str) -> DataFrame:
-    doc = spark.read.schema(ddl).option("multiLine", True).json(path)
-    return doc.select(F.posexplode(items).alias("pos", "item"))
+def _items(spark: SparkSession, path: str, item: str) -> DataFrame:
+    """(pos, item) for the objects in the array of a feed document, found in parallel; ``pos`` rises in the order of the file."""
+    records = json_records(spark, path, level=2)
+    return records.select(F.col("place").alias("pos"), F.from_json("record", item).alias("item"))
 
 
 def read_nvd(spark: SparkSession, path: str) -> DataFrame:
     """(pos, cve) of an NVD 2.0 feed file."""
-    rows = _document(spark, path, f"vulnerabilities array<struct<cve:{NVD_ITEM}>>", "vulnerabilities")
-    return rows.select("pos", F.col("item.cve").alias("cve"))
+    return _items(spark, path, f"struct<cve:{NVD_ITEM}>").select("pos", F.col("item.cve").alias("cve"))
 
 
 def read_kev(spark: SparkSession, path: str) -> DataFrame:
     """(pos, item) of a KEV catalogue file."""
-    return _document(spark, path, f"vulnerabilities array<{KEV_ITEM}>", "vulnerabilities")
+    return _items(spark, path, KEV_ITEM)
 
 
 def read_stix(spark: SparkSession, path: str) -> DataFrame:
     """(pos, item) of a STIX 2.1 bundle file."""
-    return _document(spark, path, f"objects array<{STIX_ITEM}>", "objects")
+    return _items(spark, path, STIX_ITEM)
 
 
 def _text(c: Column) -> Column:

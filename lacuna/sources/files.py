@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from lacuna.schemas import CANONICAL_DDL, LOAD_ORDER
+from lacuna.session import checkpoint_dir
+from lacuna.sources.json_arrays import json_records
 
 # --- fixed values: file-name words in the order they are tested, and header words ------
 NAME_WORDS = [("alert", "alerts"), ("asset", "assets"), ("cse", "cses"), ("investigation", "investigations"),
@@ -44,12 +47,25 @@ def is_json_array(spark: SparkSession, path: str) -> bool:
 
 
 def read_json(spark: SparkSession, path: str, entity: str | None = None) -> DataFrame:
-    """JSON array file or JSON Lines. Lines split across tasks; prefer them for large exports."""
-    reader = spark.read.option("multiLine", is_json_array(spark, path)).option("primitivesAsString", True)
+    """JSON array file or JSON Lines; both are split across tasks."""
     schema = _text_schema(entity) if entity else None
+    if is_json_array(spark, path):
+        return read_json_array(spark, path, schema)
+    reader = spark.read.option("primitivesAsString", True)
     return with_position((reader.schema(schema) if schema else reader).json(path))
 
 
+def read_json_array(spark: SparkSession, path: str, schema: T.StructType | None = None, level: int = 1) -> DataFrame:
+    """Records of JSON arrays as columns, with file and position; without a schema, it is inferred from all records."""
+    records = json_records(spark, path, level)
+    if schema is None:
+        lines = f"{checkpoint_dir(spark)}/lacuna-json-{uuid.uuid4().hex}"
+        records.select(F.translate("record", "\r\n", "  ").alias("value")).write.text(lines)  # line breaks in a record are white space
+        schema = spark.read.option("primitivesAsString", True).json(lines).schema
+    parsed = records.select(F.from_json("record", schema, {"primitivesAsString": "true"}).alias("r"), F.col("file").alias("src_file"), F.col("place").alias("src_pos"))
+    return parsed.select("r.*", "src_file", "src_pos")
+
+
 READERS: dict[str, Callable[..., DataFrame]] = {".csv": read_csv, ".json": read_json, ".jsonl": read_json}
 
 

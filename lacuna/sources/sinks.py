@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from lacuna.functions import scalar as S
@@ -62,6 +63,23 @@ def export_json(documents: DataFrame, path: str, column: str = "document") -> No
     documents.select(F.col(column).alias("value")).write.mode("overwrite").text(path)
 
 
+def _as_array(batches):
+    """The text rows of a task as the lines of one JSON array."""
+    yield pa.RecordBatch.from_pydict({"value": ["["]})
+    first = True
+    for batch in batches:
+        lines = batch["value"].to_pylist()
+        yield pa.RecordBatch.from_pydict({"value": pa.array([line if first and not k else "," + line for k, line in enumerate(lines)], pa.string())})
+        first = first and not lines
+    yield pa.RecordBatch.from_pydict({"value": ["]"]})
+
+
+def export_json_arrays(df: DataFrame, folder: str) -> None:
+    """Files of one JSON array each, one per task, with nulls written out."""
+    rows = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+    rows.mapInArrow(_as_array, "value string").write.mode("overwrite").text(folder)
+
+
 def save_manifest(manifest: DataFrame, path: str) -> None:
     """Experiment or data-set manifest as JSON lines."""
     manifest.write.mode("overwrite").option("ignoreNullFields", False).json(path)
