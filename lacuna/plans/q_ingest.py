@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from lacuna.functions import scalar as S
 from lacuna.operators import ingest as I
@@ -15,8 +16,9 @@ from lacuna.operators import quality as QL
 from lacuna.plans.ctes import AS_OF_SQL, IMPORT_SQL, cte, r
 from lacuna.plans.lens import AS_OF, IMPORT_ID, Tables
 from lacuna.plans.registry import query
-from lacuna.plans.stages import scratch
+from lacuna.plans.stages import scratch, written
 from lacuna.sources import files as FS
+from lacuna.sources import hash_trees as HT
 from lacuna.sources import manifests as MF
 from lacuna.sources import sinks as SK
 from lacuna.sources import soc_logs as SL
@@ -266,6 +268,27 @@ def json_array_records(spark, d):
 
 @query("file_checksums")
 def file_checksums(spark, d):
-    """Checksums of the source files compared with themselves; file bytes are not visible to SQL."""
-    actual = MF.file_checksums(spark, f"{d}/*.parquet")
-    return MF.verify(actual, actual)
+    """Checksums of the source files against the manifest stored before; file bytes are not visible to SQL."""
+    path, actual = f"{scratch(spark, 'manifest')}/files", MF.file_checksums(spark, f"{d}/*.parquet")
+    SK.save_manifest(actual, path)
+    return MF.verify(SK.load_manifest(spark, path, "file_name string, file_size_bytes long, sha256_checksum string"), actual)
+
+
+def _customer_files(spark, d, folder, change):
+    """A text file of customers per nation; files are written by nation, lines by key."""
+    c = change(Tables(spark, d).customer.select("c_nationkey", "c_custkey", "c_name", F.col("c_acctbal").cast("string").alias("balance")))
+    first = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) == 1
+    c = c.withColumn("first", first).select("c_nationkey", "c_custkey", F.concat_ws("|", "c_custkey", F.when(F.col("marked") & F.col("first"), F.upper("c_name")).otherwise(F.lower("c_name")), "balance").alias("value"))
+    c.repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey").select("c_nationkey", "value").write.partitionBy("c_nationkey").text(folder)
+
+
+@query("manifest_ranges", "", """SELECT CAST(c_nationkey AS VARCHAR) AS file_name, CASE WHEN c_nationkey = 5 THEN 'MISSING' WHEN c_nationkey = 7 THEN 'NEW' WHEN c_nationkey IN (2, 11) THEN 'TAMPERED' ELSE 'AUTHENTIC' END AS status,
+ CASE WHEN c_nationkey IN (2, 11) THEN 1 ELSE 0 END::BIGINT AS changed_ranges, CASE WHEN c_nationkey IN (2, 11) THEN 0 END::BIGINT AS first_changed_byte FROM customer GROUP BY c_nationkey""")
+def manifest_ranges(spark, d):
+    """A stored manifest against files of which one is gone, one is new, and two have another first line of the same length."""
+    root, size = scratch(spark, "manifest"), 256
+    _customer_files(spark, d, f"{root}/before", lambda c: c.where("c_nationkey <> 7").withColumn("marked", F.lit(False)))
+    _customer_files(spark, d, f"{root}/after", lambda c: c.where("c_nationkey <> 5").withColumn("marked", F.col("c_nationkey").isin(2, 11)))
+    nation = lambda path: F.regexp_extract(path, "c_nationkey=(\\d+)/", 1)
+    stored, now = (written(HT.tree_manifest(spark, f"{root}/{part}", nation, size), f"tree_{part}", root) for part in ("before", "after"))
+    return HT.verify_tree(stored, now, size)
