@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from lacuna import params as P
 from lacuna.functions import scalar as S
 from lacuna.functions.digest import multiset_digest, row_hash
+from lacuna.operators.order_statistics import with_percentiles
 from lacuna.operators.risk import is_active
 
 # --- fixed values: classes that count as anomalies, and rules judged per asset ----------
@@ -299,8 +300,9 @@ def threshold_counts(rows: DataFrame, rule: str, parameter: str, applicable: Col
 def run_statistics(values: DataFrame, group: str = "metric", value: str = "value") -> DataFrame:
     """Mean, median, sample deviation, range and a 95% interval of one metric over repeated runs."""
     v = F.col(value)
-    base = values.groupBy(group).agg(F.count(v).alias("n"), F.avg(v).alias("m"), F.median(v).alias("med"), F.stddev_samp(v).alias("sd"),
+    base = values.groupBy(group).agg(F.count(v).alias("n"), F.avg(v).alias("m"), F.stddev_samp(v).alias("sd"),
                                      F.min(v).alias("low"), F.max(v).alias("high"))
+    base = with_percentiles(base, values, [group], value, {"med": 0.5})
     table = F.create_map(*[x for df, t in P.T_CRITICAL_95.items() for x in (F.lit(df), F.lit(t))])
     degrees = F.greatest(F.lit(1), F.col("n") - 1).cast("int")
     base = (base.withColumn("degrees_of_freedom", degrees).withColumn("t_critical", F.coalesce(F.try_element_at(table, F.col("degrees_of_freedom")), F.lit(1.96)))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lacuna.functions import scalar as S
 from lacuna.operators.evaluations import evaluate, text, verdict
+from lacuna.operators.order_statistics import with_percentiles
 from lacuna.params import RULES, RuleParams
 from lacuna.plans.lens import Estate
 
@@ -26,10 +27,9 @@ def escalation_rates(est: Estate) -> DataFrame:
 def baseline(values: DataFrame, group: list[str], metric: str, value: str) -> DataFrame:
     """Quartiles, deviation and size of one metric per peer group."""
     v = F.col(value)
-    return (values.where(v.isNotNull()).groupBy(*group).agg(
-        F.count(F.lit(1)).alias("members"), F.percentile(v, 0.25).alias("p25"), F.median(v).alias("median"),
-        F.percentile(v, 0.75).alias("p75"), F.stddev_pop(v).alias("std_dev"))
-        .withColumn("metric", F.lit(metric)))
+    known = values.where(v.isNotNull())
+    grouped = known.groupBy(*group).agg(F.count(F.lit(1)).alias("members"), F.stddev_pop(v).alias("std_dev"))
+    return with_percentiles(grouped, known, group, value, {"p25": 0.25, "median": 0.5, "p75": 0.75}).withColumn("metric", F.lit(metric))
 
 
 def peer01_evaluations(est: Estate, group: list[str], params: RuleParams = RULES) -> DataFrame:
