@@ -36,7 +36,9 @@ def _current(spark: SparkSession, path: str) -> DataFrame:
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
     """The current rows of a table written by :func:`replace_run`, with the columns of its scope."""
     now = _current(spark, path)
-    rows = spark.read.option("basePath", f"{path}/rows").parquet(f"{path}/rows")
+    reader = spark.read.option("basePath", f"{path}/rows")
+    as_text = [T.StructField(f.name, T.StringType()) if f.name in now.columns else f for f in reader.parquet(f"{path}/rows").schema]
+    rows = reader.schema(T.StructType(as_text)).parquet(f"{path}/rows")  # folder names are text: run 007 is not run 7
     return rows.join(now.select("generation"), "generation", "left_semi").drop("generation")
 
 

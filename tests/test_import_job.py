@@ -4,6 +4,7 @@ import pytest
 
 from lacuna.params import RULE_REGISTER
 from lacuna.plans import import_job as J
+from lacuna.sources import sinks as SK
 from lacuna.streaming import ingest_stream as IS
 
 AS_OF = "2024-01-31 00:00:00"
@@ -57,3 +58,13 @@ def test_rule_register_is_insert_if_absent(spark, tmp_path):
     assert J.register_rules(spark, RULE_REGISTER, store).count() == len(RULE_REGISTER)
     assert J.register_rules(spark, RULE_REGISTER + [("NEW-01", "1.0.0", "n", "f", "LOW", 1.0)], store).count() == 1
     assert spark.read.parquet(f"{store}/rule_versions").count() == len(RULE_REGISTER) + 1
+
+
+def test_run_ids_that_look_like_numbers_stay_apart(spark, tmp_path):
+    store = str(tmp_path / "runs")
+    for run, value in (("007", 1), ("7", 2), ("1e3", 3), ("2024-01-01", 4)):
+        SK.replace_run(spark.createDataFrame([(run, value)], "run_id string, value int"), store, {"run_id": run})
+    SK.replace_run(spark.createDataFrame([("7", 5)], "run_id string, value int"), store, {"run_id": "7"})
+    rows = SK.read_runs(spark, store)
+    assert dict(rows.dtypes)["run_id"] == "string"
+    assert sorted((r.run_id, r.value) for r in rows.collect()) == [("007", 1), ("1e3", 3), ("2024-01-01", 4), ("7", 5)]
