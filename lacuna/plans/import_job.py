@@ -11,6 +11,7 @@ from lacuna.operators import ingest as I
 from lacuna.plans.stages import scratch, written
 from lacuna.session import use_utc
 from lacuna.sources import files as FS
+from lacuna.sources import key_index as KI
 from lacuna.sources import sinks as SK
 
 
@@ -23,6 +24,18 @@ def _existing(spark: SparkSession, path: str) -> DataFrame | None:
         return None  # nothing imported yet
 
 
+def known_keys(spark: SparkSession, entity: str, store: str, capacity: int = KI.CAPACITY) -> KI.KeyIndex:
+    """The index of an entity's keys in a store; made from the stored rows if it is missing or unfinished."""
+    path = f"{store}/known_keys/{entity}"
+    index = KI.opened(spark, path)
+    if index is not None:
+        return index
+    stored = _existing(spark, f"{store}/{entity}")
+    ids = sorted({name for keys in I.KNOWN_BY[entity] for name in keys})
+    rows = spark.createDataFrame([], ", ".join(f"{name} string" for name in ids)) if stored is None else stored.select(*ids)
+    return KI.built(rows, I.KNOWN_BY[entity], path, capacity)
+
+
 def store_batch(raw: DataFrame, entity: str, order_by: list[str], store: str, import_id: str, as_of: str) -> I.Ingested:
     """Validate a batch, append the rows that are new, quarantine the rest.
 
@@ -31,10 +44,11 @@ def store_batch(raw: DataFrame, entity: str, order_by: list[str], store: str, im
     root = scratch(spark, f"import-{import_id}")
     out = I.ingest(raw, entity, order_by, import_id, as_of, lambda df: written(df, f"checked_{entity}", root))
     if entity in I.RULES:
-        known = _existing(spark, f"{store}/{entity}")
-        fresh = out.valid if known is None else I.only_new(out.valid, known, entity)
-        # The anti join reads the table it is about to extend, so its result is written down first.
-        SK.append(written(fresh, f"new_{entity}", root), f"{store}/{entity}")
+        index = known_keys(spark, entity, store)
+        fresh = written(index.only_new(out.valid, I.KNOWN_BY[entity]), f"new_{entity}", root)
+        index.opened_for_writing(spark)
+        SK.append(fresh, f"{store}/{entity}")
+        index.extended(KI.digests(fresh, I.KNOWN_BY[entity]))
     issues = out.quarantined.drop("record_key")
     noted = _existing(spark, f"{store}/data_quality_issues")
     if noted is not None:

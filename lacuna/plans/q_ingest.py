@@ -19,10 +19,12 @@ from lacuna.plans.registry import query
 from lacuna.plans.stages import scratch, written
 from lacuna.sources import files as FS
 from lacuna.sources import hash_trees as HT
+from lacuna.sources import key_index as KI
 from lacuna.sources import manifests as MF
 from lacuna.sources import sinks as SK
 from lacuna.sources import soc_logs as SL
 
+KEY_CAPACITY = 1 << 12  # keys a bucket of the small indexes below
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
 
 
@@ -186,14 +188,16 @@ def ingest_only_new(spark, d):
     orders = Tables(spark, d).orders
     by_id = orders.where("o_orderstatus = 'F'").select(uid("CLO", F.col("o_orderkey")).alias("id"), F.lit("-").alias("case_id"))
     by_case = orders.where("o_orderstatus = 'O'").select(F.lit("-").alias("id"), uid("CAS", F.col("o_orderkey")).alias("case_id"))
-    return I.only_new(fresh, by_id.unionByName(by_case), "closures").select("id")
+    index = KI.built(by_id.unionByName(by_case), I.KNOWN_BY["closures"], scratch(spark, "keys"), KEY_CAPACITY)
+    return index.only_new(fresh, I.KNOWN_BY["closures"]).select("id")
 
 
 @query("ingest_only_new_alerts", "checked_alerts", f"""SELECT CASE WHEN id = '' THEN {_UU.format('record_key')} ELSE id END AS id FROM checked_alerts WHERE issue IS NULL AND severity <> 'P1'""")
 def ingest_only_new_alerts(spark, d):
     """A second import of the alerts of which the critical ones are known already."""
     fresh = _alerts(spark, d).valid
-    return I.only_new(fresh, fresh.where("severity = 'CRITICAL'"), "alerts").select("id")
+    index = KI.built(fresh.where("severity = 'CRITICAL'"), I.KNOWN_BY["alerts"], scratch(spark, "keys"), KEY_CAPACITY)
+    return index.only_new(fresh, I.KNOWN_BY["alerts"]).select("id")
 
 
 # --- profile and quality score -----------------------------------------------------------
