@@ -13,13 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lacuna.functions import scalar as S
+from lacuna.operators import accumulator as AC
 from lacuna.params import GENESIS_HASH
 from lacuna.session import checkpoint_dir
 
 BLOCK = 128
-#: Levels of digests; ``BLOCK`` to the power of this bounds the number of blocks (268 million events). A longer log is refused, not
-#: mistaken: ask for more levels then, which changes no hash that is already signed.
-LEVELS = 3
 PAYLOAD = ["action", "actor_role", "before_after", "correlation_id", "entity_id", "entity_type", "metadata", "status", "ts", "user_id"]
 
 
@@ -49,14 +47,23 @@ def _parents(level: DataFrame, block: int) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("pos", "digest"))), lambda x: x["digest"]), ""), 256).alias("digest"))
 
 
-def anchors(blocks: DataFrame, block: int = BLOCK, levels: int = LEVELS) -> DataFrame:
+def levels_for(blocks: DataFrame, block: int = BLOCK) -> int:
+    """Levels of digests that a log needs: the fewest whose groups cover the last block."""
+    last, levels = blocks.agg(F.max("pos")).first()[0] or 0, 1
+    while block ** levels <= last:
+        levels += 1
+    return levels
+
+
+def anchors(blocks: DataFrame, block: int = BLOCK, levels: int | None = None) -> DataFrame:
     """Value that the first entry of each block is chained to.
 
     ``blocks`` is (pos, digest). A group holds at most ``block`` digests on every level. Levels that have nothing to the left
-    of a block leave no trace in its trail, so more levels, or a longer log, change no anchor.
+    of a block leave no trace in its trail, so more levels, or a longer log, change no anchor. Without ``levels`` there are as many as it takes.
     """
     checkpoint_dir(blocks.sparkSession)
     blocks = blocks.checkpoint()  # one short row per block, so no level hashes payloads again
+    levels = levels_for(blocks, block) if levels is None else levels
     out = blocks.select("pos", F.lit("").alias("trail"), F.col("pos").alias("up"))
     level = blocks
     for _ in range(levels):
@@ -80,7 +87,7 @@ def block_digests(events: DataFrame, block: int = BLOCK) -> DataFrame:
     return _hashed(events, block).groupBy("pos").agg(F.sha2(joined, 256).alias("digest"))  # at most ``block`` rows: seq is unique
 
 
-def chain(events: DataFrame, block: int = BLOCK, earlier: DataFrame | None = None, levels: int = LEVELS) -> DataFrame:
+def chain(events: DataFrame, block: int = BLOCK, earlier: DataFrame | None = None, levels: int | None = None) -> DataFrame:
     """Events with ``previous_hash`` and ``integrity_hash``; ``earlier`` holds the digests of complete blocks before them."""
     rows = _hashed(events, block)
     packed = rows.groupBy("pos").agg(F.array_sort(F.collect_list(F.struct("seq", "payload"))).alias("body"))  # one block
@@ -95,7 +102,7 @@ def chain(events: DataFrame, block: int = BLOCK, earlier: DataFrame | None = Non
     return events.join(out, "seq")
 
 
-def append(log: DataFrame, events: DataFrame, block: int = BLOCK, digests: DataFrame | None = None, levels: int = LEVELS) -> DataFrame:
+def append(log: DataFrame, events: DataFrame, block: int = BLOCK, digests: DataFrame | None = None, levels: int | None = None) -> DataFrame:
     """New rows of the log for ``events``, whose numbers follow those of ``log``.
 
     Of the old log only the last number and its unfinished block are read when ``digests`` (see :func:`block_digests`) of the
@@ -111,7 +118,7 @@ def append(log: DataFrame, events: DataFrame, block: int = BLOCK, digests: DataF
     return chain(tail.unionByName(events), block, finished, levels).where(F.col("seq") > last)
 
 
-def verify(log: DataFrame, block: int = BLOCK, levels: int = LEVELS) -> DataFrame:
+def verify(log: DataFrame, block: int = BLOCK, levels: int | None = None) -> DataFrame:
     """One row: is the log intact, how long is the verified prefix, where is the first break.
 
     Every entry's own hash is recomputed from its payload and stored predecessor, every link inside a
@@ -151,6 +158,12 @@ def search(log: DataFrame, *, date_from=None, date_to=None, **equals) -> DataFra
     return out
 
 
+def leaves(events: DataFrame) -> DataFrame:
+    """Leaves (at, digest) of the accumulator over a log; numbers start where the log does."""
+    first = events.agg(F.min("seq")).scalar()
+    return events.select((F.col("seq") - first).cast("long").alias("at"), AC.leaf_digest(payload()).alias("digest"))
+
+
 def page(rows: DataFrame, limit: int = 50, offset: int = 0) -> tuple[DataFrame, DataFrame]:
     """Newest first: one page and the total count."""
     return rows.orderBy(F.desc("timestamp"), F.desc("seq")).offset(offset).limit(limit), rows.agg(F.count(F.lit(1)).alias("total"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lacuna.functions import scalar as S
+from lacuna.operators import accumulator as AC
 from lacuna.operators import audit as A
 from lacuna.params import GENESIS_HASH
 from lacuna.plans.ctes import cte
@@ -72,3 +73,54 @@ def audit_search(spark, d):
 def audit_page(spark, d):
     rows, total = A.page(audit_events(spark, d), 50, 100)
     return rows.select("seq", "action").withColumn("total", total.scalar())
+
+
+# --- accumulator -------------------------------------------------------------------------
+_SQL_LEVELS = 34  # enough for 2^34 events
+cte("mmr0", "audit_events", "SELECT 0 AS level, seq - (SELECT min(seq) FROM audit_events) AS at, sha256('leaf:' || payload) AS digest FROM audit_events")
+for _k in range(1, _SQL_LEVELS):
+    cte(f"mmr{_k}", f"mmr{_k - 1}", f"SELECT {_k} AS level, l.at // 2 AS at, sha256('node:' || l.digest || r.digest) AS digest FROM mmr{_k - 1} l JOIN mmr{_k - 1} r ON r.at = l.at + 1 WHERE l.at % 2 = 0")
+cte("mmr", " ".join(f"mmr{_k}" for _k in range(_SQL_LEVELS)), " UNION ALL ".join(f"SELECT * FROM mmr{_k}" for _k in range(_SQL_LEVELS)))
+cte("mmr_sizes", "audit_events", "SELECT (count(*) * 2) // 3 AS n FROM audit_events UNION SELECT count(*) FROM audit_events")
+cte("mmr_peaks", "mmr mmr_sizes", f"""SELECT s.n, m.level, m.at, m.digest FROM (SELECT n, unnest(range(0, {_SQL_LEVELS})) AS level FROM mmr_sizes) s JOIN mmr m ON m.level = s.level AND m.at = (s.n >> s.level) - 1
+ WHERE (s.n >> s.level) % 2 = 1""")
+
+
+def _accumulated(spark, d, share: int = 3):
+    """Nodes of the whole log: its first two thirds were accumulated earlier, the rest is appended. Both sizes are told."""
+    leaves = written(A.leaves(audit_events(spark, d)), "leaves", scratch(spark))
+    n = leaves.count()
+    old = n * 2 // share
+    root = scratch(spark)
+    nodes = written(AC.extended(leaves.where(F.col("at") < old)), "nodes_before", root)
+    more = written(AC.extended(leaves.where(F.col("at") >= old), nodes), "nodes_after", root)
+    return leaves, nodes.unionByName(more), old, n
+
+
+@query("audit_accumulator", "mmr_peaks", "SELECT n, sha256('root:' || n || ':' || string_agg(digest, '' ORDER BY level DESC)) AS root FROM mmr_peaks GROUP BY n")
+def audit_accumulator(spark, d):
+    """Roots of the log before and after the last third arrived."""
+    _, nodes, old, n = _accumulated(spark, d)
+    return AC.root(nodes, old).union(AC.root(nodes, n))
+
+
+@query("audit_inclusion", "mmr mmr_peaks", f"""SELECT e.at, count(m.digest) AS n_steps, sha256(coalesce(string_agg(m.digest, '' ORDER BY m.level), '')) AS path_digest, true AS is_included FROM
+ (SELECT l.at, p.level AS top FROM mmr0 l JOIN (SELECT * FROM mmr_peaks WHERE n = (SELECT max(n) FROM mmr_sizes)) p ON (l.at >> p.level) = p.at) e
+ LEFT JOIN (SELECT x.at AS leaf, unnest(range(0, {_SQL_LEVELS})) AS level FROM mmr0 x) k ON k.leaf = e.at AND k.level < e.top LEFT JOIN mmr m ON m.level = k.level AND m.at = xor(e.at >> k.level, 1) GROUP BY e.at""")
+def audit_inclusion(spark, d):
+    """The proof of every event under the last root: its length, a digest of it, and whether it holds."""
+    leaves, nodes, _, n = _accumulated(spark, d)
+    proofs = written(AC.inclusion(leaves, nodes, n), "proofs", scratch(spark))
+    path = proofs.groupBy("at").agg(F.array_sort(F.collect_list(F.struct("step", "sibling"))).alias("p"))
+    told = path.select("at", F.sha2(F.array_join(F.transform("p", lambda x: x["sibling"]), ""), 256).alias("path_digest"))
+    checked = AC.included(leaves, proofs, AC.peaks(nodes, n)).join(told, "at", "left")
+    return checked.select("at", F.col("n_steps").cast("long").alias("n_steps"), F.coalesce("path_digest", F.sha2(F.lit(""), 256)).alias("path_digest"), "is_included")
+
+
+@query("audit_consistency", "mmr mmr_peaks", f"""SELECT o.level, o.at, k.step, m.digest AS sibling FROM (SELECT * FROM mmr_peaks WHERE n = (SELECT min(n) FROM mmr_sizes)) o
+ JOIN (SELECT * FROM mmr_peaks WHERE n = (SELECT max(n) FROM mmr_sizes)) p ON p.level > o.level AND (o.at >> (p.level - o.level)) = p.at
+ JOIN (SELECT unnest(range(0, {_SQL_LEVELS})) AS step) k ON k.step < p.level - o.level JOIN mmr m ON m.level = o.level + k.step AND m.at = xor(o.at >> k.step, 1)""")
+def audit_consistency(spark, d):
+    """The proof that the log before is a beginning of the log after."""
+    _, nodes, old, n = _accumulated(spark, d)
+    return AC.consistency(nodes, old, n)
