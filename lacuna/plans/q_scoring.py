@@ -8,10 +8,12 @@ from lacuna.functions import scalar as S
 from lacuna.operators import lookups as L
 from lacuna.operators import review_queue as Q
 from lacuna.operators import risk as R
+from lacuna.plans import analysis_job as AJ
 from lacuna.plans.ctes import RUN_SQL, cte, key, one, r
 from lacuna.plans.lens import estate, tag
 from lacuna.plans.registry import query
-from lacuna.plans.stages import analysis
+from lacuna.plans.stages import analysis, scratch
+from lacuna.sources import sinks as SK
 
 _BAND = lambda c, mid: f"CASE WHEN {c} <= 24.99 THEN 'LOW' WHEN {c} >= 25 AND {c} <= 49.99 THEN '{mid}' WHEN {c} >= 50 AND {c} <= 74.99 THEN 'HIGH' WHEN {c} >= 75 THEN 'CRITICAL' ELSE 'LOW' END"
 _SEV = lambda a, b, c, d: f"CASE severity WHEN 'CRITICAL' THEN {a} WHEN 'HIGH' THEN {b} WHEN 'MEDIUM' THEN {c} ELSE {d} END"
@@ -204,3 +206,22 @@ def latest_risk(spark, d):
 @query("risk_by_entity", "contrib", "SELECT finding_id, rule_id, component, effective_contribution FROM contrib WHERE cse_id = 'CSE-3'")
 def risk_by_entity(spark, d):
     return L.by_key(R.contributions(analysis(spark, d).findings), cse_id="CSE-3").select("finding_id", "rule_id", "component", "effective_contribution")
+
+
+def _stored(spark, d, table: str, run_id: str = "RUN-1"):
+    """A table of the run, stored by an older run of the same id and then again, and read back."""
+    run, store = analysis(spark, d), scratch(spark, "store")
+    rows = getattr(run, table)
+    for df in (rows.limit(0), rows):
+        SK.replace_run(df, f"{store}/{table}", {"analysis_run_id": run_id})
+    return AJ.stored(spark, store, table, run_id)
+
+
+@query("stored_risk", "risk", f"SELECT {_R} FROM risk")
+def stored_risk(spark, d):
+    return _stored(spark, d, "risk").select(*_R.split(", "))
+
+
+@query("stored_queue", "queue", f"SELECT {_QC} FROM queue")
+def stored_queue(spark, d):
+    return _stored(spark, d, "queue").select(*_QC.split(", "))

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from lacuna.functions import scalar as S
+from lacuna.sources import commit_log as CL
 
 
 def append(df: DataFrame, path: str) -> None:
@@ -15,37 +16,44 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def replace_run(df: DataFrame, path: str, scope: dict[str, str]) -> None:
+def replace_run(df: DataFrame, path: str, scope: dict[str, str], seen: int | None = None) -> int:
     """Make the rows of a table under ``scope`` (say, a run and an engine) exactly those of ``df``, also if there are none.
 
-    Rows are written as a new generation of their scope; one small row then makes it the current one. Until then readers see the
-    old rows, after it the new ones, and a failed or repeated write changes nothing. See :func:`read_runs` and :func:`stale_generations`."""
+    Rows are written as a new generation of their scope; one numbered commit then makes it the current one, and its number is returned. Until
+    then readers see the old rows, after it the new ones, and a failed write changes nothing. Of two writers of one scope that started from the
+    same commit (``seen``, by default the last one now) one wins and the other gets a :class:`commit_log.Conflict`. See :func:`read_runs`
+    and :func:`stale_generations`."""
     spark, generation = df.sparkSession, uuid.uuid4().hex
+    seen = CL.head(spark, path) if seen is None else seen
     where = "".join(f"/{k}={v}" for k, v in scope.items())
     df.drop(*scope).write.parquet(f"{path}/rows{where}/generation={generation}")
-    now = spark.range(1).select(*[F.lit(str(v)).alias(k) for k, v in scope.items()], F.lit(generation).alias("generation"), F.current_timestamp().alias("since"))
-    now.write.mode("append").parquet(f"{path}/current")
-
-
-def _current(spark: SparkSession, path: str) -> DataFrame:
-    log = spark.read.parquet(f"{path}/current")
-    scope = [c for c in log.columns if c not in ("generation", "since")]
-    return log.groupBy(*scope).agg(F.max_by("generation", F.struct("since", "generation")).alias("generation"))
+    return CL.commit(spark, path, scope, generation, seen)
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
     """The current rows of a table written by :func:`replace_run`, with the columns of its scope."""
-    now = _current(spark, path)
+    now = CL.current(spark, path)
+    names = [e["key"] for e in now.select("scope").first()["scope"]]
     reader = spark.read.option("basePath", f"{path}/rows")
-    as_text = [T.StructField(f.name, T.StringType()) if f.name in now.columns else f for f in reader.parquet(f"{path}/rows").schema]
+    as_text = [T.StructField(f.name, T.StringType()) if f.name in (*names, "generation") else f for f in reader.parquet(f"{path}/rows").schema]
     rows = reader.schema(T.StructType(as_text)).parquet(f"{path}/rows")  # folder names are text: run 007 is not run 7
     return rows.join(now.select("generation"), "generation", "left_semi").drop("generation")
 
 
 def stale_generations(spark: SparkSession, path: str) -> DataFrame:
-    """Generations that no reader needs any more; the owner of the store deletes their folders when no old reader is left."""
-    log = spark.read.parquet(f"{path}/current")
-    return log.join(_current(spark, path).select("generation"), "generation", "left_anti").drop("since")
+    """(scope, generation) that commits have replaced; see :func:`remove_stale`."""
+    log = CL.commits(spark, path).select(F.col("scope"), "generation")
+    return log.join(CL.current(spark, path).select("generation"), "generation", "left_anti")
+
+
+def remove_stale(spark: SparkSession, path: str) -> int:
+    """Delete the folders of replaced generations and tell how many; for the owner of the store, when no old reader is left."""
+    removed, fs = 0, spark._jvm.org.apache.hadoop.fs
+    for row in stale_generations(spark, path).toLocalIterator():
+        # The scope's folders lie in the order in which the writer named them.
+        for status in fs.Path(f"{path}/rows").getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(fs.Path(f"{path}/rows{'/*' * len(row['scope'])}/generation={row['generation']}")):
+            removed += bool(status.getPath().getFileSystem(spark._jsc.hadoopConfiguration()).delete(status.getPath(), True))
+    return removed
 
 
 def with_engine(findings: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import pytest
 
 from lacuna.params import RULE_REGISTER
 from lacuna.plans import import_job as J
+from lacuna.sources import commit_log as CL
 from lacuna.sources import sinks as SK
 from lacuna.streaming import ingest_stream as IS
 
@@ -68,3 +69,17 @@ def test_run_ids_that_look_like_numbers_stay_apart(spark, tmp_path):
     rows = SK.read_runs(spark, store)
     assert dict(rows.dtypes)["run_id"] == "string"
     assert sorted((r.run_id, r.value) for r in rows.collect()) == [("007", 1), ("1e3", 3), ("2024-01-01", 4), ("7", 5)]
+
+
+def test_of_two_writers_of_one_scope_one_wins(spark, tmp_path):
+    store, rows = str(tmp_path / "runs"), lambda v: spark.createDataFrame([(v,)], "value int")
+    assert SK.replace_run(rows(0), store, {"run_id": "a"}) == 0
+    seen = CL.head(spark, store)
+    assert SK.replace_run(rows(1), store, {"run_id": "b"}, seen) == 1
+    assert SK.replace_run(rows(2), store, {"run_id": "a"}, seen) == 2  # another scope came between
+    with pytest.raises(CL.Conflict):
+        SK.replace_run(rows(3), store, {"run_id": "a"}, seen)
+    assert sorted((r.run_id, r.value) for r in SK.read_runs(spark, store).collect()) == [("a", 2), ("b", 1)]
+    assert [r["scope"] for r in SK.stale_generations(spark, store).collect()] == [{"run_id": "a"}]
+    assert SK.remove_stale(spark, store) == 1 and SK.read_runs(spark, store).count() == 2
+    assert sorted(p.name for p in (tmp_path / "runs" / "commits").glob("[!.]*")) == [f"{k:020d}.json" for k in range(3)]
