@@ -291,7 +291,7 @@ _NO_ID = -(1 << 63)
 
 
 def near_groups(docs: DataFrame, runs: int | None = None, leaf: int = LEAF, block: int = BLOCK, depth: int = DEPTH) -> DataFrame:
-    """A row per document: doc_id, k1, k2 (its set's key), class_id, n_copies, n_links and component_id."""
+    """A row per document: doc_id, k1, k2 (its set's key), class_id, n_copies, n_links, component_id and root (the group's own number)."""
     docs = docs.select("doc_id", "text")
     keyed = stage(docs.select("doc_id", _keyed(True)("text").alias("s")).select("doc_id", "s.*"), "keyed")
     found = keyed.where("n_shingles > 0")
@@ -317,19 +317,25 @@ def near_groups(docs: DataFrame, runs: int | None = None, leaf: int = LEAF, bloc
     labelled = classes.select("cid", "k1", "k2", "class_id", "copies").join(links, "cid", "left").join(groups.withColumnRenamed("node", "cid"), "cid", "left")
     labelled = stage(labelled.withColumn("root", F.coalesce("root", "cid")), "labelled")
     least_id = labelled.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    labelled = stage(labelled.join(least_id, "root").select("k1", "k2", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), "component_id"), "labelled")
+    labelled = stage(labelled.join(least_id, "root").select("k1", "k2", "root", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), "component_id"), "labelled")
     joined = keyed.select("doc_id", "n_shingles", "k1", "k2").hint("merge").join(labelled, ["k1", "k2"], "left")
     alone = F.col("n_shingles") == 0
     return joined.select("doc_id", "k1", "k2", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
                          F.when(alone, 1).otherwise(F.col("copies")).cast("long").alias("n_copies"), F.when(alone, 0).otherwise(F.col("copies") - 1 + F.col("links")).cast("long").alias("n_links"),
-                         F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), alone.alias("alone"))
+                         F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), alone.alias("alone"), "root")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: of each group of near-duplicates the one with the smallest id (null last), one row of it."""
-    verdict = near_groups(docs)
-    loses = ~F.col("alone") & F.col("n_links").cast("boolean")
-    kept = verdict.where(loses).select(F.col("doc_id").alias("__id"), F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("doc_id").eqNullSafe(F.col("component_id")).alias("__stays")).dropDuplicates()
+    """The rows of ``docs`` that stay: of each group of near-duplicates the one with the smallest id (null last), one row of it.
+
+    Ids may be missing or repeated: groups are told apart by a number of their own, and ties of the id are broken by the key of the text."""
+    linked = ~F.col("alone") & F.col("n_links").cast("boolean")
+    verdict = stage(near_groups(docs).where(linked).select("root", "doc_id", "k1", "k2").dropDuplicates(), "groups")
+    ranked = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
+    winners = verdict.groupBy("root").agg(F.min(ranked).alias("first")).select("first.*").drop("none").withColumn("__stays", F.lit(True))
+    same = F.col("v.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("v.k1") == F.col("w.k1")) & (F.col("v.k2") == F.col("w.k2"))
+    kept = verdict.alias("v").join(winners.alias("w"), same, "left").select(
+        F.col("v.doc_id").alias("__id"), F.col("v.k1").alias("__k1"), F.col("v.k2").alias("__k2"), F.coalesce("__stays", F.lit(False)).alias("__stays"))
     keyed = docs.withColumn("__s", _keyed(False)("text"))
     joined = keyed.hint("merge").join(stage(kept, "verdict"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__s.k1") == F.col("__k1")) & (F.col("__s.k2") == F.col("__k2")), "left")
     single = joined.where("__stays IS NULL").select(*[docs[c] for c in docs.columns])

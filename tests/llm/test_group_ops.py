@@ -197,3 +197,15 @@ def test_fisher_yates_is_uniform():
     seen = Counter(tuple(shuffle.fisher_yates(4, 9, b)) for b in range(6000))
     assert len(seen) == 24 and max(seen.values()) < 340 and min(seen.values()) > 170
     assert shuffle.fisher_yates(0, 1, 1).tolist() == [] and shuffle.fisher_yates(1, 1, 1).tolist() == [0]
+
+
+def test_one_of_each_when_ids_are_missing_or_repeated(spark):
+    words = [f"w{k}" for k in range(60)]
+    near = [" ".join(words), " ".join([*words, "more"]), " ".join([*words, "more", "still"])]
+    other = " ".join(f"v{k}" for k in range(60))
+    for ids in ((7, 7, 7), (None, None, None), (None, 7, 7), (7, None, 9)):
+        rows = [(i, t) for i, t in zip(ids, near, strict=True)] * 3 + [(ids[0], other)] * 3 + [(ids[1], "short"), (ids[1], None)]
+        kept = [(r["doc_id"], r["text"]) for r in chosen_path.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+        groups = Counter("near" if t in near else t for _, t in kept)
+        assert groups == {"near": 1, other: 1, "short": 1, None: 1}, (ids, groups)
+        assert next(i for i, t in kept if t in near) == min((i for i in ids if i is not None), default=None)

@@ -177,6 +177,24 @@ def test_mixing_against_plain_loops(spark, docs):
     assert mixing.repetition(empty(spark)).count() == 0 and mixing.mixed(empty(spark)).count() == 0
 
 
+def test_mixing_without_ids_or_with_one_id_comes_near_its_targets(spark):
+    """Half of the rows have no id, a third share one; many are equal in all columns."""
+    rows = [(None, "en", "some words here now", s) for s in "ab" for _ in range(900)] + [(7, "en", f"text number {k % 3} of it", s) for s in "bc" for k in range(600)] + [(k, "en", "one two three four", "c") for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string, source string").repartition(6)
+    for run in (mixing.RUN, 100):
+        out = mixing.repetition(docs, run).collect()
+        assert len(out) == len(rows)
+        taken, target = Counter(), {}
+        for r in out:
+            taken[r["source"]] += r["size"] * r["n_copies"]
+            target[r["source"]] = r["target"]
+        assert all(abs(taken[s] - t) < 0.06 * t for s, t in target.items()), (taken, target)
+        got = Counter()
+        for r in mixing.mixed(docs, run).collect():
+            got[r["source"]] += len(r["text"].split())
+        assert got == taken if run == mixing.RUN else all(abs(got[s] - t) < 0.06 * t for s, t in target.items())
+
+
 def test_bpe_equals_the_public_library(spark, docs):
     tiktoken, public_tokenizers = pytest.importorskip("tiktoken"), pytest.importorskip("public_tokenizers")
     tables = bpe.tables()
