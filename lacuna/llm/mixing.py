@@ -68,7 +68,7 @@ def numbered(sizes: DataFrame, run: int = RUN) -> DataFrame:
     """One row per document with ``nth``, its number among the rows equal in id, source and text. Equal rows are counted map side and
     dealt out again in runs of ``run`` numbers, so a row repeated any number of times is spread over the tasks."""
     counted = sizes.groupBy("doc_id", "source", "size", "key").agg(F.count(F.lit(1)).alias("rows"))
-    runs = counted.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / run)))).repartition("key", "run")
+    runs = counted.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / run)))).repartition("doc_id", "key", "run")
     last = F.least(F.col("rows"), (F.col("run") + 1) * run) - 1
     return runs.withColumn("nth", F.explode(F.sequence(F.col("run") * run, last))).drop("rows", "run")
 
