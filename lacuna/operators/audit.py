@@ -10,10 +10,11 @@ An anchor depends on earlier blocks alone, never on how long the log is: what wa
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from lacuna.functions import scalar as S
 from lacuna.operators import accumulator as AC
+from lacuna.operators.page_index import PageIndex
 from lacuna.params import GENESIS_HASH
 from lacuna.session import checkpoint_dir
 
@@ -164,6 +165,6 @@ def leaves(events: DataFrame) -> DataFrame:
     return events.select((F.col("seq") - first).cast("long").alias("at"), AC.leaf_digest(payload()).alias("digest"))
 
 
-def page(rows: DataFrame, limit: int = 50, offset: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Newest first: one page and the total count."""
-    return rows.orderBy(F.desc("timestamp"), F.desc("seq")).offset(offset).limit(limit), rows.agg(F.count(F.lit(1)).alias("total"))
+def pages(spark: SparkSession, path: str) -> PageIndex:
+    """The log as pages, newest first by ``page(..., newest_first=True)`` and ``page_before``; grows with the log."""
+    return PageIndex(spark, path, ["timestamp", "seq"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from lacuna.functions import scalar as S
@@ -69,10 +71,37 @@ def audit_search(spark, d):
                     actor_role="EXAMINER", entity_type="Event").select("seq", "user_id", "action", "status")
 
 
-@query("audit_page", "audit_events", """SELECT seq, action, (SELECT count(*) FROM audit_events) AS total FROM audit_events ORDER BY timestamp DESC, seq DESC LIMIT 50 OFFSET 100""")
+_PER_RANGE = 5000
+cte("audit_ranked", "audit_events", "SELECT seq, timestamp, action, row_number() OVER (ORDER BY timestamp DESC, seq DESC) AS r, count(*) OVER () AS total FROM audit_events")
+
+
+def _pages(spark, d, where=None):
+    """The log as pages; with ``where``, the rows that it holds for are stored first and the others appended."""
+    index, events = A.pages(spark, scratch(spark, "pages")), audit_events(spark, d)
+    for rows in [events] if where is None else [events.where(where), events.where(~where)]:
+        index.append(rows, _PER_RANGE)
+    return index
+
+
+@query("audit_page", "audit_ranked", "SELECT seq, action, total FROM audit_ranked WHERE r > 100 AND r <= 150")
 def audit_page(spark, d):
-    rows, total = A.page(audit_events(spark, d), 50, 100)
-    return rows.select("seq", "action").withColumn("total", total.scalar())
+    index = _pages(spark, d)
+    return index.page(50, 100, newest_first=True).select("seq", "action", F.lit(index.total()).alias("total"))
+
+
+@query("audit_page_deep", "audit_ranked", "SELECT seq, action, r - 1 AS before FROM audit_ranked WHERE r > total * 3 // 4 AND r <= total * 3 // 4 + 50")
+def audit_page_deep(spark, d):
+    """A page after three quarters of the log; it reads the one or two ranges that it overlaps."""
+    index = _pages(spark, d)
+    total = index.total()
+    return index.page(50, total * 3 // 4, newest_first=True).select("seq", "action", (F.lit(total - 1) - F.col("place")).alias("before"))
+
+
+@query("audit_page_next", "audit_ranked", "SELECT seq, action FROM audit_ranked WHERE timestamp < TIMESTAMP '2024-01-16' ORDER BY r LIMIT 50")
+def audit_page_next(spark, d):
+    """The page before a key that is no event's, in a log that was appended to after its first pages were stored."""
+    first = F.col("timestamp") < F.to_timestamp(F.lit("2024-01-15 12:00:00"))
+    return _pages(spark, d, first).page_before([datetime(2024, 1, 16), -1], 50).select("seq", "action")
 
 
 # --- accumulator -------------------------------------------------------------------------
