@@ -48,7 +48,7 @@ def stages(spark, folder: str) -> dict:
         "review_queue": lambda: run.queue,
         "graph_build": lambda: (run.case_links, run.nodes, run.edges),
         "graph_anomalies": lambda: run.anomalies,
-        "graph_metrics": lambda: G.metrics(run.nodes, run.edges).collect(),
+        "graph_metrics": lambda: G.metrics(run.nodes, run.edges, run.components).collect(),
         "vulnerability_parse": lambda: (force(q_intel._nvd(spark, folder)), force(q_intel._kev(spark, folder))),
         "asset_enrichment": lambda: force(q_intel.enriched(spark, folder)),
         "audit_chain": lambda: force(A.chain(audit_events(spark, folder))),

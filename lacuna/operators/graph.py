@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lacuna.functions import scalar as S
 from lacuna.plans.lens import Estate
-from lacuna.session import checkpoint_dir
 
 WORKFLOW_TYPES = ["INVESTIGATION", "ESCALATION", "CASE"]
 NODE_TYPES = ["CSE", "ASSET", "ANALYST", "ALERT", "INVESTIGATION", "ESCALATION", "CASE", "CLOSURE", "MISSING_EXPECTED"]
@@ -231,33 +230,6 @@ def anomalies(est: Estate, links: DataFrame, node_rows: DataFrame, edge_rows: Da
     return out
 
 
-def components(node_ids: DataFrame, edge_rows: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Weakly connected components: every node with the smallest node id it can reach.
-
-    Each round takes the smallest label among neighbours (a pre-aggregated min, so hubs combine map
-    side), then jumps to the label of that label, which roughly halves the remaining depth.
-    Rounds are cut with reliable checkpoints, so a lost executor only repeats one round.
-    """
-    spark = node_ids.sparkSession
-    checkpoint_dir(spark)
-    both = (edge_rows.select("src", "dst").unionByName(edge_rows.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-            .where("src <> dst").checkpoint())
-    labels = node_ids.select("id", F.col("id").alias("label")).checkpoint()
-    for _ in range(max_rounds):
-        offered = (both.join(labels, both["src"] == labels["id"]).groupBy(F.col("dst").alias("id"))
-                   .agg(F.min("label").alias("offer")))
-        lower = (labels.join(offered, "id", "left")
-                 .select("id", F.least("label", F.coalesce("offer", "label")).alias("label"), F.col("label").alias("before")))
-        jump = lower.select(F.col("id").alias("label"), F.col("label").alias("beyond"))
-        stepped = (lower.join(jump, "label", "left")
-                   .select("id", F.least("label", F.coalesce("beyond", "label")).alias("label"), "before").checkpoint())
-        changed = stepped.where("label <> before").limit(1).count()
-        labels = stepped.select("id", "label")
-        if not changed:
-            return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-
-
 def type_counts(node_rows: DataFrame, edge_rows: DataFrame) -> DataFrame:
     """Node counts by type and edge counts by relationship."""
     n = node_rows.groupBy(F.col("entity_type").alias("name")).agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit("node"))
@@ -265,16 +237,17 @@ def type_counts(node_rows: DataFrame, edge_rows: DataFrame) -> DataFrame:
     return n.unionByName(e).select("kind", "name", "n")
 
 
-def metrics(node_rows: DataFrame, edge_rows: DataFrame) -> DataFrame:
-    """One row of graph-level numbers, without the component count."""
+def metrics(node_rows: DataFrame, edge_rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row of graph-level numbers; ``labels`` are those of the components."""
     of = lambda kind: S.count_where(F.col("entity_type") == kind)
     n = node_rows.agg(F.count(F.lit(1)).alias("node_count"), of("INVESTIGATION").alias("inv"), of("ESCALATION").alias("esc"),
                       of("CASE").alias("cas"), of("CLOSURE").alias("clo"), of("MISSING_EXPECTED").alias("missing_expected_count"))
     n_edges = edge_rows.agg(F.count(F.lit(1))).scalar()
     n_orphans = orphans(node_rows, edge_rows).agg(F.count(F.lit(1))).scalar()
-    return n.withColumn("edge_count", n_edges).withColumn("orphan_nodes_count", n_orphans).select(
+    n_parts = labels.where("id = label").agg(F.countDistinct("label")).scalar()
+    return n.withColumn("edge_count", n_edges).withColumn("orphan_nodes_count", n_orphans).withColumn("component_count", n_parts).select(
         "node_count", "edge_count", S.ratio(F.col("esc"), F.col("inv")).alias("escalation_investigation_ratio"),
-        S.ratio(F.col("clo"), F.col("cas")).alias("closure_case_ratio"), "orphan_nodes_count", "missing_expected_count")
+        S.ratio(F.col("clo"), F.col("cas")).alias("closure_case_ratio"), "orphan_nodes_count", "missing_expected_count", "component_count")
 
 
 def induced(node_rows: DataFrame, edge_rows: DataFrame, entity_type: str = "ALL", cap: int = 40) -> tuple[DataFrame, DataFrame]:

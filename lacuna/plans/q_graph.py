@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lacuna.functions import scalar as S
+from lacuna.operators import components as CC
 from lacuna.operators import evaluation as V
 from lacuna.operators import graph as G
 from lacuna.plans.ctes import cte, r
 from lacuna.plans.lens import estate
-from lacuna.plans.stages import analysis
+from lacuna.plans.stages import analysis, scratch, written
 from lacuna.plans.registry import query
 
 _TS = lambda c: f"strftime({c}, '%Y-%m-%dT%H:%M:%S')"
@@ -110,20 +111,6 @@ def graph_type_counts(spark, d):
 _M = lambda t: f"(SELECT count(*) FROM nodes WHERE entity_type = '{t}')"
 
 
-@query("graph_metrics", "nodes edges orphans", f"""SELECT (SELECT count(*) FROM nodes) AS node_count, (SELECT count(*) FROM edges) AS edge_count, {r(_M('ESCALATION') + ' / ' + _M('INVESTIGATION'), 4)} AS escalation_investigation_ratio,
- {r(_M('CLOSURE') + ' / ' + _M('CASE'), 4)} AS closure_case_ratio, (SELECT count(*) FROM orphans) AS orphan_nodes_count, {_M('MISSING_EXPECTED')} AS missing_expected_count""")
-def graph_metrics(spark, d):
-    run = analysis(spark, d)
-    return G.metrics(run.nodes, run.edges)
-
-
-@query("graph_components")
-def graph_components(spark, d):
-    """Component sizes; iterative, so it has no SQL twin and is tested against brute force."""
-    run = analysis(spark, d)
-    return G.components(run.nodes.select("id"), run.edges).groupBy("label").agg(F.count(F.lit(1)).alias("members"))
-
-
 @query("graph_export", "nodes", """SELECT id, to_json(struct_pack(canonical_record_id := canonical_record_id, criticality := criticality, cse_id := cse_id, entity_type := entity_type, id := id, status := status, timestamp := timestamp))::varchar AS document FROM nodes""")
 def graph_export(spark, d):
     cols = ["canonical_record_id", "criticality", "cse_id", "entity_type", "id", "status", "timestamp"]
@@ -142,14 +129,38 @@ for _n in range(_HOPS):
  LEFT JOIN (SELECT src AS a, dst AS b FROM edges UNION ALL SELECT dst, src FROM edges) e ON e.a = l.id LEFT JOIN ({_from}) o ON o.id = e.b GROUP BY l.id, l.label""")
 
 
-@query("graph_component_count", f"comp{_HOPS - 1}", f"SELECT count(DISTINCT label) AS component_count, max(n) AS largest FROM (SELECT label, count(*) OVER (PARTITION BY label) AS n FROM comp{_HOPS - 1})")
-def graph_component_count(spark, d):
-    """The graph is shallow (every chain hangs off its entity), so the SQL twin spreads labels over a fixed number of hops."""
+_LABELS = f"comp{_HOPS - 1}"  # the graph is shallow (every chain hangs off its entity), so SQL spreads labels over a fixed number of hops
+
+
+@query("graph_metrics", f"nodes edges orphans {_LABELS}", f"""SELECT (SELECT count(*) FROM nodes) AS node_count, (SELECT count(*) FROM edges) AS edge_count, {r(_M('ESCALATION') + ' / ' + _M('INVESTIGATION'), 4)} AS escalation_investigation_ratio,
+ {r(_M('CLOSURE') + ' / ' + _M('CASE'), 4)} AS closure_case_ratio, (SELECT count(*) FROM orphans) AS orphan_nodes_count, {_M('MISSING_EXPECTED')} AS missing_expected_count, (SELECT count(DISTINCT label) FROM {_LABELS}) AS component_count""")
+def graph_metrics(spark, d):
     run = analysis(spark, d)
-    sizes = G.components(run.nodes.select("id"), run.edges).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return G.metrics(run.nodes, run.edges, run.components)
+
+
+@query("graph_components", _LABELS, f"SELECT label, count(*) AS members FROM {_LABELS} GROUP BY 1")
+def graph_components(spark, d):
+    return analysis(spark, d).components.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
+
+
+@query("graph_component_count", _LABELS, f"SELECT count(DISTINCT label) AS component_count, max(n) AS largest FROM (SELECT label, count(*) OVER (PARTITION BY label) AS n FROM {_LABELS})")
+def graph_component_count(spark, d):
+    sizes = analysis(spark, d).components.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     return sizes.agg(F.count(F.lit(1)).alias("component_count"), F.max("n").alias("largest"))
 
 
+@query("graph_components_grown", _LABELS, f"SELECT id, label FROM {_LABELS}")
+def graph_components_grown(spark, d):
+    """Stored labels of the graph without its cases and closures, to which these are then merged."""
+    run = analysis(spark, d)
+    late = F.col("entity_type").isin("CASE", "CLOSURE")
+    is_late = lambda end: F.col(end).startswith("CASE:") | F.col(end).startswith("CLOSURE:")
+    of_late = is_late("src") | is_late("dst")
+    stored = written(CC.labels(run.nodes.where(~late).select("id"), run.edges.where(~of_late)), "labels", scratch(spark, "components"))
+    return CC.merge(stored, run.nodes.where(late).select("id"), run.edges.where(of_late))
+
+
 @query("graph_subgraph", "nodes edges", """SELECT src, dst, relationship FROM edges WHERE src IN (SELECT id FROM nodes ORDER BY list_position(['CSE','ASSET','ANALYST','ALERT','INVESTIGATION','ESCALATION','CASE','CLOSURE','MISSING_EXPECTED'], entity_type), id LIMIT 40) AND dst IN (SELECT id FROM nodes ORDER BY list_position(['CSE','ASSET','ANALYST','ALERT','INVESTIGATION','ESCALATION','CASE','CLOSURE','MISSING_EXPECTED'], entity_type), id LIMIT 40)""")
 def graph_subgraph(spark, d):
     run = analysis(spark, d)

@@ -13,6 +13,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lacuna.operators import components as CC
 from lacuna.operators import findings as FD
 from lacuna.operators import graph as G
 from lacuna.operators import review_queue as Q
@@ -111,6 +112,10 @@ class AnalysisRun:
     def edges(self) -> DataFrame:
         return self._write(G.edges(self.estate, self.case_links), "edges")
 
+    @cached_property
+    def components(self) -> DataFrame:
+        return self._write(CC.labels(self.nodes.select("id"), self.edges), "components")
+
     @cached_property
     def anomalies(self) -> DataFrame:
         return self._write(G.anomalies(self.estate, self.case_links, self.nodes, self.edges), "anomalies")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lacuna.operators import audit as A
+from lacuna.operators import components as CC
 from lacuna.operators import graph as G
 from lacuna.params import GENESIS_HASH
 from tests.test_rules import NOW, alert, asset, make
@@ -79,7 +80,7 @@ def test_components_against_brute_force(spark):
     for a, b in edges:
         a, b = find(a), find(b)
         parent[max(a, b)] = min(a, b)
-    got = {r[0]: r[1] for r in G.components(spark.createDataFrame([(n,) for n in nodes], "id string"), spark.createDataFrame(edges, "src string, dst string")).collect()}
+    got = {r[0]: r[1] for r in CC.labels(spark.createDataFrame([(n,) for n in nodes], "id string"), spark.createDataFrame(edges, "src string, dst string")).collect()}
     assert got == {n: find(n) for n in nodes}
 
 
