@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 from lacuna.functions import scalar as S
 from lacuna.operators import evaluation as V
 from lacuna.operators import negative_space as N
+from lacuna.operators import sensitivity as SN
+from lacuna.operators.gap_rules import gap03
+from lacuna.operators.workflow import workflow
 from lacuna.params import T_CRITICAL_95
 from lacuna.plans.ctes import cte, r
-from lacuna.plans.lens import estate, tag
+from lacuna.plans.lens import asset_entities, estate, tag
 from lacuna.plans.registry import query
 from lacuna.plans.stages import analysis, written
 
@@ -201,6 +204,38 @@ def threshold_sensitivity(spark, d):
     return one.unionByName(two).unionByName(three)
 
 
+def _turns(rule, parameter, src, ever, always, value, at_least):
+    return f"SELECT '{rule}' AS rule_id, '{parameter}' AS parameter, {at_least} AS at_least, CASE WHEN NOT ({always}) THEN {value}::double END AS threshold FROM {src} WHERE {ever}"
+
+
+_LOUD = "asset_criticality IN ('CRITICAL','HIGH') AND asset_status = 'ACTIVE' AND peer_median IS NOT NULL AND density_ratio IS NOT NULL"
+cte("turns", "asset_base asset_entity_base flow", " UNION ALL ".join([
+    _turns("NEG-02", "drop_pct", "asset_entity_base", "maintenance_count = 0 AND (total_count IS NULL OR z_score >= 1.5)", "total_count IS NULL", "drop_pct", "true"),
+    _turns("NEG-02", "drop_z", "asset_entity_base", "maintenance_count = 0 AND (total_count IS NULL OR drop_pct >= 70)", "total_count IS NULL", "z_score", "true"),
+    _turns("NEG-04", "density_ratio", "asset_base", _LOUD, "false", "density_ratio", "false"),
+    _turns("NEG-05", "maintenance_silence_hours", "asset_base", "asset_status <> 'DECOMMISSIONED' AND maintenance_count = 0", "silence_hours IS NULL", "silence_hours", "true"),
+    _turns("GAP-03", "hasty_seconds", "flow", "investigation_id IS NOT NULL AND duration_seconds IS NOT NULL", "false", "duration_seconds", "false")]))
+cte("turn_counts", "turns", "SELECT rule_id, parameter, at_least, threshold, count(*) AS n FROM turns GROUP BY ALL")
+cte("steps", "turn_counts", """SELECT t.rule_id, t.parameter, threshold, t.n, coalesce(a.n, 0) AS always, coalesce(a.n, 0) + (CASE WHEN at_least THEN sum(t.n) OVER (PARTITION BY t.rule_id, t.parameter ORDER BY threshold DESC)
+ ELSE sum(t.n) OVER (PARTITION BY t.rule_id, t.parameter ORDER BY threshold) - t.n END)::BIGINT AS flagged FROM turn_counts t
+ LEFT JOIN (SELECT rule_id, parameter, n FROM turn_counts WHERE threshold IS NULL) a ON a.rule_id = t.rule_id AND a.parameter = t.parameter WHERE threshold IS NOT NULL""")
+
+
+def sweeps(est, by_asset):
+    """The rows of each rule and the thresholds to vary; NEG-02 reads assets in the role of entities, so its curve has many points."""
+    k, c = est.completeness, F.col
+    two = lambda parameter, measure: SN.Sweep("NEG-02", parameter, lambda p: N.neg02(k, p), c(measure), True)
+    return [(N.entity_rows(by_asset), [two("drop_pct", "drop_pct"), two("drop_z", "z_score")]),
+            (N.asset_rows(est), [SN.Sweep("NEG-04", "density_ratio", lambda p: N.neg04(k, p), c("density_ratio"), False),
+                                 SN.Sweep("NEG-05", "maintenance_silence_hours", lambda p: N.neg05(k, p), c("silence_hours"), True)]),
+            (workflow(est), [SN.Sweep("GAP-03", "hasty_seconds", lambda p: gap03(k, p), c("duration_seconds"), False)])]
+
+
+@query("threshold_steps", "steps", f"SELECT rule_id, parameter, {r('threshold', 6)} AS threshold, n, always, flagged FROM steps")
+def threshold_steps(spark, d):
+    return SN.steps(sweeps(analysis(spark, d).estate, asset_entities(spark, d))).drop("at_least").withColumn("threshold", S.rounded(F.col("threshold"), 6))
+
+
 _TC = "CASE greatest(1, n - 1) " + " ".join(f"WHEN {k} THEN {v}::double" for k, v in T_CRITICAL_95.items()) + " ELSE 1.96::double END"
 cte("run_values", "risk entities", """SELECT 'entity.' || m AS metric, v AS value FROM (SELECT unnest(['execution_gap','negative_space','asset_criticality','normalized_score']) AS m, unnest([execution_gap, negative_space, asset_criticality, normalized_score]) AS v FROM risk)
  UNION ALL SELECT 'sector.share' AS metric, count(*) / (SELECT count(*) FROM entities) AS value FROM entities GROUP BY sector""")
