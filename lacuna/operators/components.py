@@ -48,8 +48,8 @@ def stars(edges: DataFrame) -> DataFrame:
 
 
 def labels(node_ids: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, label): every node with the smallest node of its component. Edges with an end that is no node link nothing; repeated and null
-    ids keep one row each row, a null id has no label."""
+    """(id, label): every node with the smallest node of its component. Edges with an end that is no node link nothing; repeated
+    ids keep all their rows, a null id has no label."""
     ids = node_ids.select("id").distinct()
     known = (edges.select("src", "dst").join(ids.withColumnRenamed("id", "src"), "src", "left_semi")
              .join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi"))
