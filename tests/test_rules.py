@@ -147,3 +147,19 @@ def test_gap_rules(spark):
     rows = G.gap_evaluations(W.workflow(est), 100.0)
     assert statuses(rows, "GAP-01") == {"1": "FAIL", "2": "FAIL", "3": "PASS", "4": "PASS"}
     assert statuses(rows, "GAP-03") == {"1": "NOT_APPLICABLE", "2": "FAIL", "3": "PASS", "4": "PASS"}
+
+
+def test_findings_drop_calm_workflows_before_cases_are_joined(spark):
+    """Findings are those of all evaluations, although workflows without one never meet a case; repeated and null keys too."""
+    from lacuna.operators import findings as FD
+    t = NOW
+    est = make(spark, [asset("A"), asset("A", "LOW"), asset("B", "LOW")],
+               [alert("1", "A", t, "EXFILTRATION_SUSPICION", "CRITICAL"), alert("2", "B", t, "OTHER", "CRITICAL"), alert("3", None, t, "RANSOMWARE", "LOW"), alert(None, "A", t, "RANSOMWARE", "CRITICAL")],
+               investigations=[("i1", "1", None, t, None, 3, "CLOSED"), ("i1", "1", None, t, None, 40, None), ("i2", "2", None, t, None, 8, "CLOSED"), (None, "3", None, t, None, 2, "RESOLVED")],
+               escalations=[("e2", "i2", "SOC_LEAD", t, ""), ("e2b", "i2", None, t, "")],
+               cases=[("k1", "C1", "OPEN", t, None)], closures=[("x1", "k1", "FALSE_POSITIVE", None, t, None), ("x2", "k1", "FALSE_POSITIVE", None, t, None)])
+    every = [(r["rule_id"], r["target_id"]) for r in G.gap_evaluations(W.workflow(est), 100.0).where("status = 'FAIL'").collect()]
+    kept = W.workflow(est, keep=G.gap_hit(100.0))
+    found = [(r["rule_id"], r["target_id"]) for r in FD.gap_findings(est).collect()]
+    assert sorted(found, key=str) == sorted(every, key=str) and len(every) > 6
+    assert kept.count() < W.workflow(est).count()
