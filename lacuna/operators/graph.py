@@ -137,12 +137,12 @@ def paths(est: Estate, links: DataFrame) -> DataFrame:
         .where(c("src").startswith("INVESTIGATION:")).drop("src")
     behind = first_case.where(c("src").startswith("ESCALATION:")).select(
         F.expr("substring(src, length('ESCALATION:') + 1)").alias("escalation_id"), c("case_id").alias("escalated_case"))
-    base = est.alerts.select(c("id").alias("alert_id"), "cse_id", "severity", "created_at")
-    rows = (base.join(inv, "alert_id", "left").join(esc, "investigation_id", "left")
-            .join(direct, "investigation_id", "left").join(behind, "escalation_id", "left"))
     has_esc = c("escalation_id").isNotNull()
-    rows = rows.withColumn("case_id", F.when(has_esc, c("escalated_case")).otherwise(c("direct_case")))
-    rows = rows.join(clo, "case_id", "left")
+    # What follows an investigation is joined while it is narrow; the alert's own columns come last.
+    chain = (inv.join(esc, "investigation_id", "left").join(direct, "investigation_id", "left").join(behind, "escalation_id", "left")
+             .withColumn("case_id", F.when(has_esc, c("escalated_case")).otherwise(c("direct_case"))).drop("escalated_case")
+             .join(clo, "case_id", "left"))
+    rows = est.alerts.select(c("id").alias("alert_id"), "cse_id", "severity", "created_at").join(chain, "alert_id", "left")
     steps = F.filter(F.array(F.lit("ALERT"), F.when(c("investigation_id").isNotNull(), "INVESTIGATION"),
                              F.when(has_esc, "ESCALATION"), F.when(c("case_id").isNotNull(), "CASE"),
                              F.when(c("closure_id").isNotNull(), "CLOSURE")), lambda x: x.isNotNull())

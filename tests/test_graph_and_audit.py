@@ -113,6 +113,21 @@ def test_full_chain_has_no_gap(spark):
     assert G.paths(est, links).first()["observed_path"] == "ALERT>INVESTIGATION>ESCALATION>CASE>CLOSURE"
 
 
+def test_paths_join_the_alerts_last(spark):
+    """Repeated and null keys give the rows of the plain joins, and an alert's own columns meet one join alone."""
+    t = NOW
+    est = make(spark, [asset("A")], [alert("1", "A", t, sev="CRITICAL"), alert("1", "A", t, sev="LOW"), alert("2", "A", t, sev="CRITICAL"), alert("3", "A", t), alert(None, "A", t)],
+               investigations=[("i1", "1", None, t, None, 60, None), ("i2", "2", None, t, None, 60, None), ("i1", "3", None, t, None, 60, None), ("i9", None, None, t, None, 60, None)],
+               escalations=[("e2", "i2", "SOC_LEAD", t, "")], cases=[("k1", "C1", "OPEN", t, None), ("k2", "C1", "OPEN", t, None)], closures=[("c1", "k1", "TRUE_POSITIVE", "x", t, "")])
+    links = spark.createDataFrame([("k1", "INVESTIGATION:i1"), ("k2", "ESCALATION:e2")], "case_id string, src string")
+    out = G.paths(est, links)
+    assert sorted((str(r["alert_id"]), r["severity"], r["observed_path"], r["is_anomalous"]) for r in out.collect()) == sorted(
+        [("1", "CRITICAL", "ALERT>INVESTIGATION>CASE>CLOSURE", True), ("1", "LOW", "ALERT>INVESTIGATION>CASE>CLOSURE", False), ("2", "CRITICAL", "ALERT>INVESTIGATION>ESCALATION>CASE", False),
+         ("3", est.alerts.where("id = '3'").first()["severity"], "ALERT>INVESTIGATION>CASE>CLOSURE", False), ("None", est.alerts.where("id IS NULL").first()["severity"], "ALERT", False)])
+    joins = [x for x in out._jdf.queryExecution().analyzed().toString().split("\n") if "Join LeftOuter" in x]
+    assert "alert_id" in joins[0]  # the outermost one
+
+
 def test_analyst_concentration(spark):
     est = make(spark, alerts=[alert(str(i), "A", NOW) for i in range(12)],
                investigations=[(f"i{i}", str(i), "L1" if i < 8 else f"L{i % 3 + 2}", NOW, None, 60, "CLOSED") for i in range(12)])
