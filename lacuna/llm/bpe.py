@@ -182,7 +182,7 @@ class Codec:
         return list(chain.from_iterable(map(self.whole.__getitem__, self.pieces(text)))) if text else []
 
     def decode(self, ids) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+        return decoded(self.tokens, ids)
 
     def _tell(self, piece: str) -> tuple[int, bytes, bytes]:
         """Of a pre-token: the number of its ids, the ids in decimal with a comma behind each, and the bytes that they decode to."""
@@ -218,6 +218,17 @@ def tables(path: str | None = None, pattern: str | None = None) -> Tables:
     return _TABLES[key]
 
 
+def decoded(tokens: list[bytes], ids) -> bytes:
+    """The bytes that ids stand for."""
+    return b"".join(map(tokens.__getitem__, ids))
+
+
+def _as_it_is(value):
+    """For workers that need no more than what was sent; it forgets the codec of an earlier task."""
+    _CODECS.clear()
+    return value
+
+
 def _slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
     """Runs of rows with about ``SLICE_BYTES`` bytes, one row at least."""
     first = held = 0
@@ -230,12 +241,12 @@ def _slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
         yield first, len(sizes)
 
 
-def _appended(docs: DataFrame, name: str, kind: DataType, fn, path: str | None) -> DataFrame:
-    """``docs`` and a column that ``fn(codec, batch)`` gives for a few MB of rows at a time."""
-    shared = docs.sparkSession.sparkContext.broadcast(tables(path))  # bounded by the vocabulary
+def _appended(docs: DataFrame, name: str, kind: DataType, fn, needs, opened) -> DataFrame:
+    """``docs`` and a column that ``fn(own, batch)`` gives for a few MB of rows at a time; ``own`` is ``opened(needs)`` of the worker."""
+    shared = docs.sparkSession.sparkContext.broadcast(needs)  # bounded by the vocabulary
 
     def appended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(shared.value)
+        own = opened(shared.value)
         for batch in batches:
             for i, j in _slices(np.full(batch.num_rows, max(1, batch.nbytes // max(1, batch.num_rows)))):
                 part = batch.slice(i, j - i)
@@ -255,17 +266,17 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
             ends.append(len(flat))
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32)))
 
-    return _appended(docs, "__ids", ArrayType(IntegerType()), ids, path)
+    return _appended(docs, "__ids", ArrayType(IntegerType()), ids, tables(path), codec)
 
 
 def decode_documents(encoded: DataFrame, ids: str, path: str | None = None) -> DataFrame:
-    """All columns of ``encoded`` and __bytes, the bytes that the ids stand for."""
+    """All columns of ``encoded`` and __bytes, the bytes that the ids stand for. A worker holds the tokens alone, no merges."""
     at = encoded.columns.index(ids)
 
-    def back(own: Codec, part: pa.RecordBatch) -> pa.Array:
-        return pa.array([own.decode(v.as_py() or ()) for v in part.column(at)], pa.binary())
+    def back(tokens: list[bytes], part: pa.RecordBatch) -> pa.Array:
+        return pa.array([decoded(tokens, v.as_py() or ()) for v in part.column(at)], pa.binary())
 
-    return _appended(encoded, "__bytes", BinaryType(), back, path)
+    return _appended(encoded, "__bytes", BinaryType(), back, tables(path).tokens, _as_it_is)
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:

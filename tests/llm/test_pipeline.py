@@ -68,6 +68,15 @@ def test_stages_on_planted_documents(spark, folder, tmp_path):
     assert sorted(r["decoded_sha256"] for r in kept["byte_bpe"]) == sorted(hashlib.sha256((r["text"] or "").encode()).hexdigest() for r in kept["mixing"])
 
 
+def test_encoding_holds_one_worker_a_core_and_decoding_no_codec(spark):
+    rows = [(1, "some words", "a"), (2, None, "b"), (3, "\u00e9\u4e2d \U0001f600" * 40, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = corpus_pipeline.encoded(spark, docs, "")
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert {r["doc_id"]: r["decoded_sha256"] for r in out.collect()} == {k: hashlib.sha256((t or "").encode()).hexdigest() for k, t, _ in rows}
+    assert bpe._as_it_is([b"x"]) == [b"x"] and not bpe._CODECS
+
+
 def test_empty_documents(spark, folder, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
