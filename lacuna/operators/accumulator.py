@@ -121,6 +121,41 @@ def inclusion(positions: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     return _paths(positions.select(F.lit(0).alias("level"), F.col("at").cast("long").alias("at")), nodes, n).drop("level")
 
 
+def all_paths(nodes: DataFrame, n: int) -> DataFrame:
+    """(block, tree, above): what :func:`inclusion` says of all of the first ``n`` leaves, a row for each 256 of them.
+
+    ``tree`` has the digests of the block by level and place; ``above`` the siblings from the root of the block up to its peak, which its
+    leaves share. So the proofs of a whole log take two digests a leaf, not one for each of their steps."""
+    fits = F.expr(f"(at + 1) * cast(power(2, level) AS long) <= {n}L")
+    under = nodes.where((F.col("level") < RADIX) & fits).withColumn("block", F.expr(f"shiftright(at, {RADIX} - level)"))
+    held = under.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("level", "at", "digest"))).alias("held"))  # at most 510
+    of_level = lambda k: F.transform(F.filter("held", lambda x: x["level"] == k), lambda x: x["digest"])
+    tops = nodes.where((F.col("level") == RADIX) & fits).select("level", "at")
+    above = _paths(tops, nodes, n).groupBy(F.col("at").alias("block")).agg(F.array_sort(F.collect_list(F.struct("step", "sibling"))).alias("up"))  # at most 56
+    return held.join(above, "block", "left").select("block", F.array(*[of_level(k) for k in range(RADIX)]).alias("tree"),
+                                                    F.coalesce(F.transform("up", lambda x: x["sibling"]), F.array().cast("array<string>")).alias("above"))
+
+
+def _path(at: Column, tree: Column, above: Column) -> Column:
+    """The siblings from a leaf up to its peak, by the row of :func:`all_paths` of its block. A node has a sibling if the node above both exists."""
+    place = F.pmod(at, F.lit(1 << RADIX)).cast("int")
+    steps = []
+    for k in range(RADIX):
+        has = F.size(tree[0]) == 1 << RADIX if k == RADIX - 1 else F.shiftright(place, k + 1) < F.size(tree[k + 1])
+        steps.append(F.when(has, F.get(tree[k], F.shiftright(place, k).bitwiseXOR(F.lit(1)))))
+    return F.concat(F.filter(F.array(*steps), lambda x: x.isNotNull()), above)
+
+
+def all_included(leaves: DataFrame, paths: DataFrame, claimed_peaks: DataFrame) -> DataFrame:
+    """:func:`included` by the rows of :func:`all_paths`, with the ``path`` of each leaf. Leaves meet their proofs a block at a time."""
+    own = leaves.select(F.col("at").cast("long").alias("at"), "digest")
+    packed = own.groupBy(F.shiftright("at", RADIX).alias("block")).agg(F.collect_list(F.struct("at", "digest")).alias("leaves"))  # at most 256
+    known = lambda x: F.coalesce(_path(x["at"], F.col("tree"), F.col("above")), F.array().cast("array<string>"))
+    each = packed.join(paths, "block", "left").select(F.explode(F.transform("leaves", lambda x: F.struct(x["at"], x["digest"], known(x).alias("siblings")))).alias("x")).select("x.*")
+    turned = F.transform("siblings", lambda x, i: F.struct(x.alias("sibling"), (F.get(F.split(F.reverse(F.bin("at")), ""), i) == "1").alias("right")))
+    return _judged(_climb(each.withColumn("level", F.lit(0)).withColumn("path", turned)), claimed_peaks).select("at", F.col("siblings").alias("path"), "is_included")
+
+
 def consistency(nodes: DataFrame, old: int, n: int) -> DataFrame:
     """Proof rows (level, at, step, sibling) that every peak of the first ``old`` leaves is under a peak of the first ``n``."""
     starts = nodes.sparkSession.createDataFrame(peaks_of(old), "level int, at long")
@@ -132,16 +167,25 @@ def _climbed(starts: DataFrame, proofs: DataFrame) -> DataFrame:
     turned = proofs.withColumn("right", F.expr("shiftright(at, step) & 1L") == 1)  # a right child has its sibling on the left
     told = turned.groupBy("level", "at").agg(F.array_sort(F.collect_list(F.struct("step", "sibling", "right"))).alias("path"))  # at most 64
     both = starts.join(told, ["level", "at"], "left").withColumn("path", F.coalesce("path", F.array().cast("array<struct<step:int,sibling:string,right:boolean>>")))
+    return _climb(both)
+
+
+def _climb(rows: DataFrame) -> DataFrame:
+    """Rows (level, digest, path of step, sibling and right) with ``top`` and ``reached``."""
     climb = lambda acc, x: F.when(x["right"], node_digest(x["sibling"], acc)).otherwise(node_digest(acc, x["sibling"]))
-    return both.withColumn("top", F.col("level") + F.size("path")).withColumn("reached", F.aggregate("path", F.col("digest"), climb))
+    return rows.withColumn("top", F.col("level") + F.size("path")).withColumn("reached", F.aggregate("path", F.col("digest"), climb))
+
+
+def _judged(climbed: DataFrame, claimed_peaks: DataFrame) -> DataFrame:
+    """Climbed leaves with ``is_included``: do they reach one of the claimed peaks?"""
+    tops = F.broadcast(claimed_peaks.select(F.col("level").alias("top"), F.col("at").alias("top_at"), F.col("digest").alias("reached"), F.lit(True).alias("is_included")))
+    return climbed.withColumn("top_at", F.expr("shiftright(at, top)")).join(tops, ["top", "top_at", "reached"], "left").withColumn("is_included", F.coalesce("is_included", F.lit(False)))
 
 
 def included(leaves: DataFrame, proofs: DataFrame, claimed_peaks: DataFrame) -> DataFrame:
     """Leaves (at, digest) with ``is_included``: does the proof lead to a peak of the claimed ones (level, at, digest)?"""
     climbed = _climbed(leaves.select(F.lit(0).alias("level"), F.col("at").cast("long").alias("at"), "digest"), proofs.withColumn("level", F.lit(0)))
-    tops = F.broadcast(claimed_peaks.select(F.col("level").alias("top"), F.col("at").alias("top_at"), F.col("digest").alias("reached"), F.lit(True).alias("is_included")))
-    climbed = climbed.withColumn("top_at", F.expr("shiftright(at, top)"))
-    return climbed.join(tops, ["top", "top_at", "reached"], "left").select("at", F.size("path").alias("n_steps"), F.coalesce("is_included", F.lit(False)).alias("is_included"))
+    return _judged(climbed, claimed_peaks).select("at", F.size("path").alias("n_steps"), "is_included")
 
 
 def is_consistent(old: int, old_peaks: DataFrame, proofs: DataFrame, n: int, new_peaks: DataFrame) -> bool:

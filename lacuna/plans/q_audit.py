@@ -139,11 +139,9 @@ def audit_accumulator(spark, d):
 def audit_inclusion(spark, d):
     """The proof of every event under the last root: its length, a digest of it, and whether it holds."""
     leaves, nodes, _, n = _accumulated(spark, d)
-    proofs = written(AC.inclusion(leaves, nodes, n), "proofs", scratch(spark))
-    path = proofs.groupBy("at").agg(F.array_sort(F.collect_list(F.struct("step", "sibling"))).alias("p"))
-    told = path.select("at", F.sha2(F.array_join(F.transform("p", lambda x: x["sibling"]), ""), 256).alias("path_digest"))
-    checked = AC.included(leaves, proofs, AC.peaks(nodes, n)).join(told, "at", "left")
-    return checked.select("at", F.col("n_steps").cast("long").alias("n_steps"), F.coalesce("path_digest", F.sha2(F.lit(""), 256)).alias("path_digest"), "is_included")
+    proofs = written(AC.all_paths(nodes, n), "proofs", scratch(spark))
+    checked = AC.all_included(leaves, proofs, AC.peaks(nodes, n))
+    return checked.select("at", F.size("path").cast("long").alias("n_steps"), F.sha2(F.array_join("path", ""), 256).alias("path_digest"), "is_included")
 
 
 @query("audit_consistency", "mmr mmr_peaks", f"""SELECT o.level, o.at, k.step, m.digest AS sibling FROM (SELECT * FROM mmr_peaks WHERE n = (SELECT min(n) FROM mmr_sizes)) o

@@ -62,3 +62,19 @@ def test_proofs_hold_and_forgeries_fail(spark):
     assert not M.is_consistent(old + 1, M.peaks(nodes, old), path, n, top)
     rewritten = M.extended(forged).checkpoint()
     assert not M.is_consistent(old, M.peaks(nodes, old), M.consistency(rewritten, old, n), n, M.peaks(rewritten, n))
+
+
+def test_proofs_of_a_whole_log_by_blocks(spark):
+    top = M.size(nodes := M.extended(leaves(spark, 1031)).checkpoint())
+    for n in (1, 2, 3, 255, 256, 259, 1024, top):
+        want = {}
+        for r in M.inclusion(leaves(spark, n), nodes, n).collect():
+            want.setdefault(r["at"], []).append((r["step"], r["sibling"]))
+        paths = M.all_paths(nodes, n)
+        got = M.all_included(leaves(spark, n), paths, M.peaks(nodes, n)).collect()
+        assert sorted(r["at"] for r in got) == list(range(n)) and all(r["is_included"] for r in got)
+        assert {r["at"]: r["path"] for r in got} == {at: [d for _, d in sorted(want.get(at, []))] for at in range(n)}
+        assert paths.count() == -(-n // 256)  # rows do not grow with the steps
+    forged = leaves(spark, top).withColumn("digest", F.when(F.col("at") == 700, F.lit("0" * 64)).otherwise(F.col("digest")))
+    assert [r["at"] for r in M.all_included(forged, M.all_paths(nodes, top), M.peaks(nodes, top)).collect() if not r["is_included"]] == [700]
+    assert {r["at"] for r in M.all_included(leaves(spark, top), M.all_paths(nodes, top).where("block <> 2"), M.peaks(nodes, top)).collect() if not r["is_included"]} == set(range(512, 768))
