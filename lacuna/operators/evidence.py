@@ -131,13 +131,13 @@ def attach(findings: DataFrame, items: Column, kinds: Column) -> DataFrame:
                 F.col("confidence") * (F.col("evidence_completeness") / 100.0), 4)).otherwise(F.col("confidence"))))
 
 
-def evidence_rows(findings: DataFrame) -> DataFrame:
-    """One row per piece of evidence."""
-    rows = findings.select("finding_id", "rule_id", "analysis_run_id", F.posexplode("evidence").alias("position", "item"))
+def evidence_rows(findings: DataFrame, *carried: str) -> DataFrame:
+    """One row per piece of evidence, with the ``carried`` columns of its finding."""
+    rows = findings.select("finding_id", "rule_id", "analysis_run_id", *carried, F.posexplode("evidence").alias("position", "item"))
     return rows.select(
         S.key_hash(F.col("finding_id"), F.col("item.evidence_type"), F.col("item.source_table"),
                    F.col("item.source_record_id")).alias("evidence_id"),
-        "finding_id", "rule_id", "analysis_run_id", "item.*")
+        "finding_id", "rule_id", "analysis_run_id", "item.*", *carried)
 
 
 def packages(findings: DataFrame, as_of: str, import_id: str) -> DataFrame:

@@ -181,10 +181,16 @@ def ingest_issue_counts(spark, d):
     return out.groupBy("entity", "description").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _arrived(batch, entity, *more):
+    """The keys of a batch's valid rows, and ``more`` columns, stored: an import looks at them several times, and each would repeat the de-duplication."""
+    keys = dict.fromkeys([name for kind in I.KNOWN_BY[entity] for name in kind])
+    return written(batch.valid.select(*keys, *more), "arrived", scratch(batch.valid.sparkSession))
+
+
 @query("ingest_only_new", "", f"""SELECT {uid_sql('CLO', 'o_orderkey')} AS id FROM orders WHERE o_orderstatus <> 'F' AND o_orderstatus <> 'O'""")
 def ingest_only_new(spark, d):
     """Closures of which some are known by id and some only by their case."""
-    fresh = _valid(spark, d, "closures").valid
+    fresh = _arrived(_valid(spark, d, "closures"), "closures")
     orders = Tables(spark, d).orders
     by_id = orders.where("o_orderstatus = 'F'").select(uid("CLO", F.col("o_orderkey")).alias("id"), F.lit("-").alias("case_id"))
     by_case = orders.where("o_orderstatus = 'O'").select(F.lit("-").alias("id"), uid("CAS", F.col("o_orderkey")).alias("case_id"))
@@ -195,7 +201,7 @@ def ingest_only_new(spark, d):
 @query("ingest_only_new_alerts", "checked_alerts", f"""SELECT CASE WHEN id = '' THEN {_UU.format('record_key')} ELSE id END AS id FROM checked_alerts WHERE issue IS NULL AND severity <> 'P1'""")
 def ingest_only_new_alerts(spark, d):
     """A second import of the alerts of which the critical ones are known already."""
-    fresh = _alerts(spark, d).valid
+    fresh = _arrived(_alerts(spark, d), "alerts", "severity")
     index = KI.built(fresh.where("severity = 'CRITICAL'"), I.KNOWN_BY["alerts"], scratch(spark, "keys"), KEY_CAPACITY)
     return index.only_new(fresh, I.KNOWN_BY["alerts"]).select("id")
 

@@ -134,9 +134,9 @@ COMMON = ["findings", "evidence", "assets"]
 OWN_TABLES = {"EXECUTIVE": ["top_gaps", "kev_exposures"], "TECHNICAL": ["technical"], "RISK": ["risk_components", "asset_risk"], "ASSET": ["asset_report", "cve_inventory"], "THREAT": ["cve_inventory", "technique_coverage"]}
 
 
-def _tables(spark, d, findings, evidence):
+def _tables(spark, d, findings, evidence, context=None):
     """Whole rows of every table that a report shows, with a cse_id. A table over all entities counts for each of them, by its digest."""
-    run, assets, mapping = analysis(spark, d), enriched(spark, d), technique_map(spark, d)
+    run, (assets, mapping) = analysis(spark, d), context or _context(spark, d)
     ids = run.estate.entities.select(F.col("id").alias("cse_id"))
 
     def shared(df):
@@ -148,27 +148,37 @@ def _tables(spark, d, findings, evidence):
             "technique_coverage": shared(RP.technique_coverage(findings, mapping))}
 
 
+def _context(spark, d):
+    """Assets with their threats, and the techniques of the rules."""
+    return enriched(spark, d), technique_map(spark, d)
+
+
 def _evidence(findings):
     """All columns of the evidence, with the entity of its finding."""
-    return E.evidence_rows(findings).join(findings.select("finding_id", "cse_id"), "finding_id")
+    return E.evidence_rows(findings, "cse_id")
 
 
-def _summaries(spark, d):
+def _summaries(spark, d, context=None):
     """The own report of each kind, a row per entity."""
-    run, assets = analysis(spark, d), enriched(spark, d)
+    run, (assets, mapping) = analysis(spark, d), context or _context(spark, d)
     ids = run.estate.entities.select(F.col("id").alias("cse_id"))
     per_asset = RP.asset_report(assets, run.findings).groupBy("cse_id").agg(F.count(F.lit(1)).alias("assets"), F.sum("findings_count").alias("findings_count"), F.max("top_priority").alias("top_priority"), F.count_if("is_kev").alias("kev_assets"))
-    return {"EXECUTIVE": _executive(spark, d), "TECHNICAL": ids.join(RP.technical_summary(_technical(spark, d)), "cse_id", "left"), "RISK": ids.join(RP.risk_summary(run.risk, assets), "cse_id", "left"),
-            "ASSET": ids.join(per_asset, "cse_id", "left"), "THREAT": ids.crossJoin(RP.threat_summary(assets, run.findings, technique_map(spark, d)))}
+    executive = RP.executive_summary(run.estate.entities, run.findings, run.risk, assets)
+    technical = RP.technical_summary(RP.technical_findings(run.findings, assets, mapping))
+    return {"EXECUTIVE": executive, "TECHNICAL": ids.join(technical, "cse_id", "left"), "RISK": ids.join(RP.risk_summary(run.risk, assets), "cse_id", "left"),
+            "ASSET": ids.join(per_asset, "cse_id", "left"), "THREAT": ids.crossJoin(RP.threat_summary(assets, run.findings, mapping))}
 
 
 def _altered(spark, d, findings, evidence):
-    """(cse_id, part, kind): all five kinds are signed with their tables; what is found changed once findings and evidence are the given ones."""
+    """(cse_id, part, kind): all five kinds are signed with their tables; what is found changed once findings and evidence are the given ones.
+
+    The context is worked out once for all tables and summaries."""
     run, place = analysis(spark, d), scratch(spark, "reports")
-    then = written(RP.bound_tables(_tables(spark, d, run.findings, _evidence(run.findings))), "then", place)
-    now = written(RP.bound_tables(_tables(spark, d, findings, evidence)), "now", place)
+    context = [written(df, name, place) for df, name in zip(_context(spark, d), ("assets", "mapping"), strict=True)]
+    then = written(RP.bound_tables(_tables(spark, d, run.findings, _evidence(run.findings), context)), "then", place)
+    now = written(RP.bound_tables(_tables(spark, d, findings, evidence, context)), "now", place)
     found = None
-    for kind, summary in _summaries(spark, d).items():
+    for kind, summary in _summaries(spark, d, context).items():
         mine = F.col("part").isin(*COMMON, *OWN_TABLES[kind])
         signed = written(RP.snapshots(summary, kind, run.estate.run_id, AS_OF, then.where(mine)), f"signed_{kind}", place)
         one = RP.changed_parts(signed, now.where(mine)).withColumn("kind", F.lit(kind))

@@ -85,3 +85,24 @@ def test_every_kind_signs_its_own_report_and_whole_tables(spark):
 
 def test_entry_returns_rows(spark):
     assert entrypoint.entry(spark).count() == 25
+
+
+def test_altered_parts_work_out_threats_and_techniques_once(spark, monkeypatch):
+    from lacuna.plans import q_reports
+
+    asked = []
+    for name in ("enriched", "technique_map"):
+        monkeypatch.setattr(q_reports, name, lambda s, d, of=getattr(q_reports, name), name=name: asked.append(name) or of(s, d))
+    q_reports.report_altered_parts(spark, FOLDER)
+    assert asked == ["enriched", "technique_map"]
+
+
+def test_evidence_carries_the_entity_of_its_finding_without_a_join(spark):
+    from lacuna.plans import q_reports
+    from lacuna.plans.stages import analysis
+
+    findings = analysis(spark, FOLDER).findings
+    rows = q_reports._evidence(findings)
+    assert "Join" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    told = {(r["finding_id"], r["cse_id"]) for r in rows.select("finding_id", "cse_id").distinct().collect()}
+    assert told == {(r["finding_id"], r["cse_id"]) for r in findings.select("finding_id", "cse_id").collect()}
