@@ -5,7 +5,8 @@ comparison of bytes. All others are merged: bytes in a linked list, neighbouring
 lowest rank and, among equals, the leftmost pair goes first, and a very long pre-token costs n log n.
 
 Pre-tokens are the matches of the public pattern. What a pre-token gives (its ids, their decimals, the bytes decoded from them) is remembered in a
-bounded table, so texts are put together from pre-tokens, not from single ids.
+bounded table, so texts are put together from pre-tokens, not from single ids. Ids are remembered as packed 32-bit numbers, which take a
+third of the room of Python numbers and are joined into a column as they are.
 
 The tables depend on the rank file alone and are sent to the workers once. Texts are independent: no shuffle, no state between tasks.
 
@@ -16,11 +17,11 @@ equal rows give equal rows; an empty table gives no rows; other columns are pass
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import heapq
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -140,7 +141,7 @@ class Codec:
                 self.after[left] = {}
             self.after[left][right] = whole
         self.pieces = regex.compile(tables.pattern).findall
-        self.whole = Remembered(lambda text: tuple(self.piece(text)), remembered)
+        self.whole = Remembered(lambda text: array("i", self.piece(text)).tobytes(), remembered)
         self.told = Remembered(self._tell, remembered)
 
     def piece(self, text: str) -> tuple[int, ...] | list[int]:
@@ -178,8 +179,12 @@ class Codec:
                     push(heap, x << 32 | p)
         return [i for i in ids if i >= 0]
 
+    def packed(self, text: str | None) -> bytes:
+        """Ids of a text as 32-bit numbers, one after the other."""
+        return b"".join(map(self.whole.__getitem__, self.pieces(text))) if text else b""
+
     def encode(self, text: str | None) -> list[int]:
-        return list(chain.from_iterable(map(self.whole.__getitem__, self.pieces(text)))) if text else []
+        return array("i", self.packed(text)).tolist()
 
     def decode(self, ids) -> bytes:
         return decoded(self.tokens, ids)
@@ -223,9 +228,15 @@ def decoded(tokens: list[bytes], ids) -> bytes:
     return b"".join(map(tokens.__getitem__, ids))
 
 
+def _forget() -> None:
+    """Drops the codec of this process. A codec and what it remembers refer to each other, so only a collection frees them."""
+    _CODECS.clear()
+    gc.collect()
+
+
 def _as_it_is(value):
     """For workers that need no more than what was sent; it forgets the codec of an earlier task."""
-    _CODECS.clear()
+    _forget()
     return value
 
 
@@ -242,7 +253,9 @@ def _slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def _appended(docs: DataFrame, name: str, kind: DataType, fn, needs, opened) -> DataFrame:
-    """``docs`` and a column that ``fn(own, batch)`` gives for a few MB of rows at a time; ``own`` is ``opened(needs)`` of the worker."""
+    """``docs`` and a column that ``fn(own, batch)`` gives for a few MB of rows at a time; ``own`` is ``opened(needs)`` of the worker.
+
+    Tasks take turns on all workers that an executor has had use for, so a worker keeps no codec while others work."""
     shared = docs.sparkSession.sparkContext.broadcast(needs)  # bounded by the vocabulary
 
     def appended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,6 +264,8 @@ def _appended(docs: DataFrame, name: str, kind: DataType, fn, needs, opened) ->
             for i, j in _slices(np.full(batch.num_rows, max(1, batch.nbytes // max(1, batch.num_rows)))):
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*part.columns, fn(own, part)], names=[*part.schema.names, name])
+        own = None
+        _forget()
 
     return docs.mapInArrow(appended, StructType([*docs.schema.fields, StructField(name, kind)]))
 
@@ -260,11 +275,9 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     at = docs.columns.index("text")
 
     def ids(own: Codec, part: pa.RecordBatch) -> pa.Array:
-        flat, ends = array("i"), [0]
-        for text in part.column(at):
-            flat.extend(own.encode(text.as_py()))
-            ends.append(len(flat))
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32)))
+        flat = [own.packed(text.as_py()) for text in part.column(at)]
+        ends = np.cumsum([0, *map(len, flat)]) // 4
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(flat), np.int32)))
 
     return _appended(docs, "__ids", ArrayType(IntegerType()), ids, tables(path), codec)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,6 +33,20 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What is written in this block goes to Python workers in batches of at most ``rows`` rows.
+
+    By default a batch is 10,000 rows, which every core holds twice, in the JVM and in its worker; whole texts make that tens of MB."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def id_text(doc_id: Column) -> Column:
     """A doc_id as text; null has a text of its own, so no row drops out of a hash."""
     return F.coalesce(doc_id.cast("string"), F.lit("null"))

@@ -3,10 +3,13 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
 from lacuna.llm import bpe
+from lacuna.llm.common import arrow_rows
 from lacuna.llm.queries import ORACLES, QUERIES
 from tests.llm.test_text_ops import SCHEMA
 
@@ -77,6 +80,31 @@ def test_encoding_holds_one_worker_a_core_and_decoding_no_codec(spark):
     assert bpe._as_it_is([b"x"]) == [b"x"] and not bpe._CODECS
 
 
+def test_encoding_remembers_packed_ids_and_reads_small_batches(spark):
+    codec = bpe.Codec(bpe.tables())
+    for text in ("some words, some words", "\u00e9\u4e2d \U0001f600 xyzzyqwv", "", None):
+        assert codec.encode(text) == np.frombuffer(codec.packed(text), np.int32).tolist()
+    assert codec.whole and all(type(v) is bytes and len(v) % 4 == 0 for v in codec.whole.values())
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, rows = spark.conf.get(name), spark.range(0, 1000, 1, 1)
+    with arrow_rows(spark, 100):
+        sizes = rows.mapInArrow(lambda it: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in it), "n long").collect()
+    assert sum(r["n"] for r in sizes) == 1000 and max(r["n"] for r in sizes) <= 100 and spark.conf.get(name) == before
+
+
+def test_a_worker_keeps_no_codec_after_its_task(spark):
+    docs = spark.createDataFrame([(k, "some words", "a") for k in range(8)], "doc_id long, text string, source string").repartition(4)
+    assert bpe.encode_documents(docs).count() == 8
+
+    def left(it):
+        list(it)
+        yield pa.RecordBatch.from_pydict({"n": [len(bpe._CODECS)]})
+
+    bpe.encode_documents(docs).collect()
+    assert {r["n"] for r in spark.range(0, 8, 1, 8).mapInArrow(left, "n long").collect()} == {0}
+
+
 def test_empty_documents(spark, folder, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
