@@ -95,3 +95,12 @@ def test_empty_table(spark):
 def test_no_python_in_the_plan(docs):
     plan = found(docs)._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "InArrow"))
+
+
+def test_verdicts_meet_candidates_without_a_broadcast(spark):
+    """Both sides look small in their files, and grow with the corpus."""
+    found = S.candidates(S.scanned(spark.createDataFrame(rows(), SCHEMA), F.coalesce("source", F.lit("")), F.col("doc_id").cast("string")))
+    out = S.judged(found)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
